@@ -2,18 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A placeholder as the engine writes it: [TEL-001], [EMAIL-012], [NAME-003], [ITEM_7].
 PLACEHOLDER_TOKEN = r"\[[^\[\]]+[-_]\d+\]"
 
 
+def each_value(df: DataFrame, array: Column | str, name: str, *keep) -> DataFrame:
+    """One row per array element.
+
+    The outer generator and a filter after it, on purpose: for the inner one the
+    optimizer infers a filter on the size of the array and pushes it down, and
+    then an array of regular expression matches is computed twice.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
+def each_struct(df: DataFrame, array: Column | str, *keep) -> DataFrame:
+    """One row per struct of an array, its fields as columns; see ``each_value``."""
+    kept = df.select(*keep).columns
+    return each_value(df, array, "_each", *keep).select(*kept, "_each.*")
+
+
 def regex_flags(ignore_case: bool) -> str:
     """Unicode classes always, so that white space and digits are not ASCII-only."""
     return "(?iU)" if ignore_case else "(?U)"
 
 
+def engine_pattern(regex: str, ignore_case: bool = False) -> str:
+    """A catalogue pattern with its flags.
+
+    A pattern that opens with a word boundary gets a look-ahead on what follows
+    the boundary: same matches, but most positions fail on one character instead
+    of on two Unicode class tests.
+    """
+    first = re.match(r"\\b(\\d|[0-9A-Z])", regex)
+    return regex_flags(ignore_case) + (f"(?={first[1]})" if first else "") + regex
+
+
 def quote_pattern(literal: str) -> str:
     """Escape a literal for a Java regular expression."""
     return "".join(ch if ch.isalnum() or ch.isspace() or ord(ch) > 127 or ch == "_" else "\\" + ch for ch in literal)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import catalogue as cat
+from ..functions.text import each_struct
 from ..functions.keyed import jabber, keyed_digest, uniform
 from .numbering import hash_rank, lookup_join, number_rows, stash
 
@@ -386,7 +387,7 @@ def mask_tables(
     if keep_log:
         log = reduce(
             DataFrame.unionByName,
-            [df.select(F.inline(LOG_COLUMN), F.lit(n).alias("sourceFileName")) for n, df in frames.items()],
+            [each_struct(df, LOG_COLUMN).withColumn("sourceFileName", F.lit(n)) for n, df in frames.items()],
         )
         frames = {n: df.drop(LOG_COLUMN) for n, df in frames.items()}
     if escape:

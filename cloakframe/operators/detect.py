@@ -13,20 +13,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import catalogue as cat
-from ..functions.text import quote_pattern, regex_flags
+from ..functions.text import each_struct, engine_pattern, quote_pattern, regex_flags
 from ..functions.validators import is_valid_bsn, is_valid_iban, is_valid_postal_code
 
-# Necessary conditions.  A text that fails the guard cannot match any pattern of
-# the kind, so one cheap scan stands in for all of them on most documents.
+# Necessary conditions, cheap first.  A text that fails the guard cannot give a
+# finding of the kind, so most texts cost one scan instead of one per pattern.
 PHONE_GUARD = (
-    r"(?U)\+31[\s\-]?\d|\b00\s?31\s?6|\b0\s*6[\s\)\.–—\-]*\d{2}|\b0\d{1,3}[\s\-\.]\d{6}"
+    r"(?U)\+31[\s\-]?\d|(?=0)\b0(?:0\s?31\s?6|\s*6[\s\)\.–—\-]*\d{2}|\d{1,3}[\s\-\.]\d{6})"
 )
-BSN_GUARD = r"(?U)\b\d{3}[-.]?\d{2}[-.]?\d{4}\b"
-IBAN_GUARD = r"(?U)\b(?:NL|DE|BE|FR)\d{2}"
+BSN_GUARD = r"[0-9]{3}[-.]?[0-9]{2}[-.]?[0-9]{4}"
+IBAN_GUARD = r"(?:NL|DE|BE|FR)\d{2}"
 
 
 def has_phone_shape(text: Column) -> Column:
-    return text.rlike(PHONE_GUARD)
+    return (F.contains(text, F.lit("0")) | F.contains(text, F.lit("+31"))) & text.rlike(PHONE_GUARD)
 
 
 def has_email_shape(text: Column) -> Column:
@@ -39,19 +39,17 @@ def _empty_strings() -> Column:
 
 def matches_of(text: Column, patterns: list[tuple[str, str]], ignore_case: bool = False) -> Column:
     """All matches, duplicates kept, pattern after pattern."""
-    flags = regex_flags(ignore_case)
-    found = [F.regexp_extract_all(text, F.lit(flags + regex), F.lit(0)) for _, regex in patterns]
+    found = [F.regexp_extract_all(text, F.lit(engine_pattern(regex, ignore_case)), F.lit(0)) for _, regex in patterns]
     return found[0] if len(found) == 1 else F.concat(*found)
 
 
 def matches_by_pattern(text: Column, patterns: list[tuple[str, str]], ignore_case: bool = False) -> Column:
     """``array<struct<name, matches>>``: what each single pattern of a catalogue finds."""
-    flags = regex_flags(ignore_case)
     return F.array(
         *[
             F.struct(
                 F.lit(name).alias("name"),
-                F.regexp_extract_all(text, F.lit(flags + regex), F.lit(0)).alias("matches"),
+                F.regexp_extract_all(text, F.lit(engine_pattern(regex, ignore_case)), F.lit(0)).alias("matches"),
             )
             for name, regex in patterns
         ]
@@ -81,7 +79,7 @@ def find_bsns(text: Column) -> Column:
 
 def find_ibans(text: Column, ignore_case: bool = False) -> Column:
     """IBANs with the right length and check digits, duplicates kept."""
-    guard = regex_flags(ignore_case) + IBAN_GUARD.removeprefix("(?U)")
+    guard = regex_flags(ignore_case) + IBAN_GUARD
     found = matches_of(text, cat.IBAN_PATTERNS, ignore_case)
     return F.filter(_guarded(text.rlike(guard), found), is_valid_iban)
 
@@ -213,7 +211,7 @@ def confident(findings: Column, threshold: float = 0.8) -> Column:
 
 def explode_findings(df: DataFrame, *keep: str) -> DataFrame:
     """One row per finding: the kept columns and ``pattern, match, confidence``."""
-    return df.select(*keep, F.inline("findings"))
+    return each_struct(df, "findings", *keep)
 
 
 def summarise(findings: Column, patterns: list[str] | None = None) -> Column:

@@ -71,17 +71,23 @@ def _ranged(df: DataFrame, order_by: list[str]) -> DataFrame:
     )
 
 
-def _offsets(per_part: DataFrame, value: str, restart_by: str | None) -> DataFrame:
-    """Sum of ``value`` over the partitions before each one.
+def _offsets(per_part: DataFrame, restart_by: str | None) -> DataFrame:
+    """``_offset``: sum of ``_size`` over the partitions before each one, less ``_first``.
 
-    The input has a row per partition (and group), never per data row, so the
-    window over it and its broadcast are bounded by the number of partitions.
+    There is one row per partition (and group), never per data row, so the
+    driver holds as many numbers as the shuffle had partitions.
     """
     keys = [restart_by] if restart_by else []
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    return per_part.select(
-        *keys, "_part", F.coalesce(F.sum(value).over(before), F.lit(0)).alias("_offset")
-    )
+    before: dict = {}
+    rows = []
+    for row in per_part.orderBy(*keys, "_part").collect():
+        group = row[restart_by] if restart_by else None
+        total = before.get(group, 0)
+        rows.append((*[row[k] for k in keys], row["_part"], total - row["_first"]))
+        before[group] = total + row["_size"]
+    types = dict(per_part.dtypes)
+    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["_part int", f"_offset {types['_size']}"])
+    return per_part.sparkSession.createDataFrame(rows, schema)
 
 
 def number_rows(
@@ -94,14 +100,11 @@ def number_rows(
     """
     placed = _ranged(df, order_by)
     keys = [restart_by] if restart_by else []
-    per_part = placed.groupBy(*keys, "_part").agg(
-        F.count("*").alias("_rows"), F.min("_pos").alias("_first")
-    )
-    offsets = _offsets(per_part, "_rows", restart_by).join(
-        per_part.select(*keys, "_part", "_first"), keys + ["_part"]
-    )
+    # A group may start in the middle of a partition: ``_first`` is its place there.
+    per_part = placed.groupBy(*keys, "_part").agg(F.count("*").alias("_size"), F.min("_pos").alias("_first"))
+    offsets = _offsets(per_part, restart_by)
     numbered = placed.join(F.broadcast(offsets), keys + ["_part"])
-    number = F.col("_offset") + F.col("_pos") - F.col("_first") + F.lit(start)
+    number = F.col("_offset") + F.col("_pos") + F.lit(start)
     return numbered.select(*df.columns, number.cast("long").alias(name))
 
 
@@ -111,8 +114,8 @@ def running_total(
     """Inclusive running sum of ``weight`` in the order of ``order_by`` (unique)."""
     placed = _ranged(df, order_by)
     keys = [restart_by] if restart_by else []
-    per_part = placed.groupBy(*keys, "_part").agg(F.sum(weight).alias("_sum"))
-    offsets = _offsets(per_part, "_sum", restart_by)
+    per_part = placed.groupBy(*keys, "_part").agg(F.sum(weight).alias("_size"), F.lit(0).alias("_first"))
+    offsets = _offsets(per_part, restart_by)
     within = Window.partitionBy("_part", *keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     summed = placed.withColumn("_within", F.sum(weight).over(within))
     return summed.join(F.broadcast(offsets), keys + ["_part"]).select(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import catalogue as cat
-from ..functions.text import quote_replacement, regex_flags
+from ..functions.text import each_struct, engine_pattern, quote_replacement
 from . import detect
 from .numbering import lookup_join, number_rows, stash
 
@@ -37,14 +37,14 @@ def replace_phones(text: Column, placeholder: str = cat.PHONE_PLACEHOLDER, prese
     """
     replaced = text
     for _, regex in cat.PHONE_PATTERNS:
-        replaced = F.regexp_replace(replaced, regex_flags(False) + regex, quote_replacement(placeholder))
+        replaced = F.regexp_replace(replaced, engine_pattern(regex), quote_replacement(placeholder))
     return F.when(detect.has_phone_shape(text) if present is None else present, replaced).otherwise(text)
 
 
 def replace_emails(text: Column, placeholder: str = cat.EMAIL_PLACEHOLDER) -> Column:
     replaced = text
     for _, regex in cat.EMAIL_PATTERNS:
-        replaced = F.regexp_replace(replaced, regex_flags(False) + regex, quote_replacement(placeholder))
+        replaced = F.regexp_replace(replaced, engine_pattern(regex), quote_replacement(placeholder))
     return F.when(detect.has_email_shape(text), replaced).otherwise(text)
 
 
@@ -134,7 +134,7 @@ def redact_reversible(
 
 def mapping_rows(df: DataFrame, scope_col: str) -> DataFrame:
     """Long mapping table ``(scope_id, kind, placeholder, original)``."""
-    return df.select(F.col(scope_col).cast("string").alias("scope_id"), F.inline("mapping"))
+    return each_struct(df, "mapping", F.col(scope_col).cast("string").alias("scope_id"))
 
 
 def _labelled(values: Column, kind: str) -> Column:
@@ -145,7 +145,7 @@ def corpus_values(df: DataFrame, id_col: str, text_col: str = "text", kinds: tup
     """``(id, kind, original)``: the distinct values of each document."""
     text = F.col(text_col)
     arrays = [_labelled(_distinct_values(text, kind), kind) for kind in kinds]
-    return df.select(F.col(id_col), F.inline(F.concat(*arrays) if len(arrays) > 1 else arrays[0]))
+    return each_struct(df, F.concat(*arrays) if len(arrays) > 1 else arrays[0], id_col)
 
 
 def corpus_mapping(values: DataFrame, label_by_kind: dict[str, str] | None = None) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import PLACEHOLDER_TOKEN, rewrite_tokens
-from .numbering import lookup_join
+from ..functions.text import PLACEHOLDER_TOKEN, each_value, rewrite_tokens
+from .numbering import lookup_join, stash
 
 
 def restore_with_pairs(text: Column, pairs: Column) -> Column:
@@ -46,10 +46,8 @@ def restore_corpus(df: DataFrame, mapping: DataFrame, id_col: str, text_col: str
     a token that stands in a third of all documents is looked up by broadcast.
     """
     text = F.col(text_col)
-    tokens = df.select(
-        id_col,
-        F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(PLACEHOLDER_TOKEN), F.lit(0)))).alias("placeholder"),
-    )
+    in_text = F.array_distinct(F.regexp_extract_all(text, F.lit(PLACEHOLDER_TOKEN), F.lit(0)))
+    tokens = each_value(df, in_text, "placeholder", id_col)
     found = lookup_join(tokens, mapping.select("placeholder", "original"), ["placeholder"], ["original"], row_id=id_col)
     per_document = (
         found.where(F.col("original").isNotNull())
@@ -90,7 +88,7 @@ def restore_table(
     A value with no entry, or with more than one possible original, stays as it
     is.  ``types`` casts a restored column back, e.g. ``{"price": "double"}``.
     """
-    usable = unambiguous(mapping)
+    usable = stash(unambiguous(mapping))  # read once per column
     out = df
     for column in columns:
         lookup = usable.where(F.col("column_name") == column).select(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import catalogue as cat
-from ..functions.text import quote_pattern, quote_replacement, regex_flags
+from ..functions.text import each_struct, quote_pattern, quote_replacement, regex_flags
 
 RULE_LOG_TYPE = (
     "array<struct<ruleId:string,originalTermDisplay:string,appliedPattern:string,"
@@ -206,12 +206,9 @@ def apply_rules(
         for i, step in enumerate(active):
             counts[id(step)] = F.col(f"_count_{i}")
             out = out.withColumn(f"_count_{i}", F.regexp_count(output_col, F.lit(step.pattern)))
-            out = out.withColumn(
-                output_col,
-                F.when(
-                    F.col(f"_count_{i}") > 0, F.regexp_replace(output_col, step.pattern, step.replacement)
-                ).otherwise(F.col(output_col)),
-            )
+            # The text before is used once, so a filter on the outcome that the optimizer
+            # pushes down grows with the number of rules, not with its power.
+            out = out.withColumn(output_col, F.regexp_replace(output_col, step.pattern, step.replacement))
         scratch = [f"_count_{i}" for i in range(len(active))]
     else:
         program = F.array(
@@ -248,4 +245,4 @@ def apply_rules(
 
 def explode_log(df: DataFrame, *keep: str, log_col: str = "rule_log") -> DataFrame:
     """One row per log entry."""
-    return df.select(*keep, F.inline(log_col))
+    return each_struct(df, log_col, *keep)

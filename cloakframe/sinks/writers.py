@@ -56,8 +56,12 @@ def audit_line(keys: list[str]) -> Column:
 
 
 def append_audit(events: DataFrame, path: str) -> None:
-    """Append to the audit table, one folder per day."""
-    events.withColumn("dt", F.to_date("ts")).write.mode("append").partitionBy("dt").parquet(path)
+    """Append to the audit table, one folder per day.
+
+    ``rebalance`` gathers a day into few files and splits a day that is too big for one.
+    """
+    dated = events.withColumn("dt", F.to_date("ts")).hint("rebalance", "dt")
+    dated.write.mode("append").partitionBy("dt").parquet(path)
 
 
 def metric_events(jobs: DataFrame) -> DataFrame:

@@ -28,16 +28,22 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+sql_seconds = 0.0
+
+
 def _sort_key(row):
     return tuple((v is None, str(v)) for v in row)
 
 
 def differences(df, con, sql: str) -> list[str]:
     """Problems of a Spark result against the SQL: columns, types, row count, values."""
+    started = time.time()
     cursor = con.execute(sql)
     duck_types = {d[0]: str(d[1]) for d in cursor.description}
     duck_names = [d[0] for d in cursor.description]
     expected = cursor.fetchall()
+    global sql_seconds
+    sql_seconds = time.time() - started
     spark_types = dict(df.dtypes)
     problems = []
     if sorted(spark_types) != sorted(duck_names):
@@ -90,7 +96,7 @@ def main(argv: list[str]) -> int:
         except Exception as e:
             problems = [f"{type(e).__name__}: {str(e)[:600]}"]
         bad += bool(problems)
-        print(f"{'FAIL' if problems else 'ok  '} {name} {time.time() - started:.1f}s {'; '.join(problems)}", flush=True)
+        print(f"{'FAIL' if problems else 'ok  '} {name} {time.time() - started - sql_seconds:.1f}s sql {sql_seconds:.1f}s {'; '.join(problems)}", flush=True)
     print(f"{len(names) - bad} of {len(names)} agree")
     return bad
 

@@ -4,24 +4,25 @@ from pyspark.sql import functions as F
 
 from cloakframe.functions import catalogue as cat
 from cloakframe.functions import validators
-from cloakframe.operators import columns, detect
+from cloakframe.functions.text import each_struct, each_value
+from cloakframe.operators import columns, detect, redact
 from cloakframe.plans.text_job import preview_texts
 from cloakframe.sources import config
 
 from .inputs import (
-    IDENTITIES_SQL, MESSAGES_SQL, NOTES_SQL, identities, lit, messages, notes, sql_all, sql_emails,
-    sql_findings, sql_phones, sql_scored, sql_valid_bsn, sql_valid_iban, sql_valid_postal, table,
+    IDENTITIES_SQL, MESSAGES_SQL, NOTES_SQL, from_sql, identities, in_duck, lit, messages, notes, sql_all, sql_emails,
+    sql_findings, sql_phones, sql_scored, sql_valid_bsn, sql_valid_iban, sql_valid_postal, table, texts,
 )
 from .registry import query
 
 
 def _exploded(df, found, *keep):
-    return df.select(*keep, F.explode(found).alias("match"))
+    return each_value(df, found, "match", *keep)
 
 
 def _hits(df, patterns):
     return (
-        df.select(F.inline(detect.matches_by_pattern(F.col("text"), patterns)))
+        each_struct(df, detect.matches_by_pattern(F.col("text"), patterns))
         .groupBy("name")
         .agg(F.sum(F.size("matches")).cast("long").alias("n_matches"), F.count_if(F.size("matches") > 0).alias("n_texts"))
     )
@@ -73,7 +74,7 @@ def emails_found(spark, sf):
 
 @query("emails_in_documents", f"select doc_id, unnest({sql_emails('text')}) as match from documents")
 def emails_in_documents(spark, sf):
-    return _exploded(table(spark, sf, "documents"), detect.find_emails(F.col("text")), "doc_id")
+    return _exploded(texts(spark, sf, "documents"), detect.find_emails(F.col("text")), "doc_id")
 
 
 @query(
@@ -81,7 +82,7 @@ def emails_in_documents(spark, sf):
     f"select page_id, unnest({sql_emails('html')}) as match from pages",
 )
 def emails_in_pages(spark, sf):
-    return _exploded(table(spark, sf, "pages"), detect.find_emails(F.col("html")), "page_id")
+    return _exploded(texts(spark, sf, "pages"), detect.find_emails(F.col("html")), "page_id")
 
 
 @query(
@@ -89,11 +90,11 @@ def emails_in_pages(spark, sf):
     f"select conv_id, turn, unnest({sql_emails('text')}) as match from conversations",
 )
 def emails_in_conversations(spark, sf):
-    return _exploded(table(spark, sf, "conversations"), detect.find_emails(F.col("text")), "conv_id", "turn")
+    return _exploded(texts(spark, sf, "conversations"), detect.find_emails(F.col("text")), "conv_id", "turn")
 
 
 def _detected(df, found, key="id"):
-    return df.select(key, F.inline(found))
+    return each_struct(df, found, key)
 
 
 @query(
@@ -177,11 +178,11 @@ from (select o_orderkey, concat(substr(m, 1, 8), '-', substr(m, 9, 4), '-', subs
     f"""
     select o_orderkey, length(u) = 36 and u = lower(u)
       and regexp_full_match(replace(u, '-', ''), '[0-9a-f]+') and u = concat_ws('-', substr(u, 1, 8), substr(u, 10, 4), substr(u, 15, 4), substr(u, 20, 4), substr(u, 25)) as is_uuid
-    from ({UUID_SQL.replace('{T}', 'varchar')}) as x
+    from ({in_duck(UUID_SQL)}) as x
     """,
 )
 def uuid_validity(spark, sf):
-    ids = spark.sql(UUID_SQL.replace("{T}", "string").replace("from orders", "from {orders}"), orders=table(spark, sf, "orders"))
+    ids = from_sql(spark, sf, UUID_SQL, "orders")
     return ids.select("o_orderkey", validators.is_canonical_uuid(F.col("u")).alias("is_uuid"))
 
 
@@ -274,12 +275,9 @@ def summary_by_pattern(spark, sf):
     """,
 )
 def distinct_values_by_kind(spark, sf):
-    text = F.col("text")
-    rows = messages(spark, sf).select(
-        F.explode(F.create_map(F.lit("phone"), detect.find_phones(text), F.lit("email"), detect.find_emails(text))).alias("kind", "found")
-    ).select("kind", F.explode("found").alias("value"))
+    rows = redact.corpus_values(messages(spark, sf), "doc_id")
     # Counted per value first, so a value that fills a third of the corpus is one row in the second step.
-    per_value = rows.groupBy("kind", "value").agg(F.count("*").alias("n"))
+    per_value = rows.groupBy("kind", "original").agg(F.count("*").alias("n"))
     return per_value.groupBy("kind").agg(F.count("*").alias("n_values"), F.sum("n").alias("n_matches"))
 
 
@@ -309,7 +307,7 @@ def preview_report(spark, sf):
 )
 def preview_of_documents(spark, sf):
     emails = F.col("report.emails")
-    return detect.with_preview(table(spark, sf, "documents")).select(
+    return detect.with_preview(texts(spark, sf, "documents")).select(
         "doc_id", "preview_text", emails["count"].alias("n_emails"), F.array_join(emails["preview"], "|").alias("emails")
     )
 
@@ -323,7 +321,7 @@ def preview_of_documents(spark, sf):
     """,
 )
 def preview_batch_with_errors(spark, sf):
-    docs = table(spark, sf, "documents").withColumn("problem", F.when(F.col("doc_id") % 9 == 0, "onleesbaar"))
+    docs = texts(spark, sf, "documents").withColumn("problem", F.when(F.col("doc_id") % 9 == 0, "onleesbaar"))
     return preview_texts(docs, "doc_id", error_col="problem").select(
         "doc_id", "preview_text", "error", F.col("report.emails.count").alias("n_emails")
     )
@@ -348,12 +346,12 @@ _EMAIL, _PHONE = lit(cat.PROFILE_EMAIL), lit(cat.PROFILE_PHONE)
     from (
       select column_name, count(*) as n_values, count(*) filter (regexp_matches(v, {_EMAIL})) as n_emails,
         count(*) filter (regexp_matches(regexp_replace(v, '\\s', '', 'g'), {_PHONE})) as n_phones
-      from (unpivot (select mail, phone, remark, status from ({CONTACT_SQL.replace('{T}', 'varchar')}) as c) on mail, phone, remark, status into name column_name value v) as u
+      from (unpivot (select mail, phone, remark, status from ({in_duck(CONTACT_SQL)}) as c) on mail, phone, remark, status into name column_name value v) as u
       where trim(v) <> '' group by column_name) as g
     """,
 )
 def column_pii_profile(spark, sf):
-    contacts = spark.sql(CONTACT_SQL.replace("{T}", "string").replace("from orders", "from {orders}"), orders=table(spark, sf, "orders"))
+    contacts = from_sql(spark, sf, CONTACT_SQL, "orders")
     return columns.column_pii_profile(contacts, ["mail", "phone", "remark", "status"])
 
 

@@ -17,7 +17,7 @@ from cloakframe.plans import text_job
 from cloakframe.sinks import writers
 from cloakframe.sources import config, files, logs, office
 
-from .inputs import JOBS_SQL, MESSAGES_SQL, NOTES_SQL, UPLOADS_SQL, jobs, lit, messages, notes, sql_all, sql_redacted, table, uploads
+from .inputs import JOBS_SQL, MESSAGES_SQL, NOTES_SQL, UPLOADS_SQL, from_sql, jobs, lit, messages, notes, sql_all, sql_redacted, table, texts, uploads
 from .registry import query
 
 PLAIN = "regexp_replace(text, '[^\\x20-\\x7E\\x0A\\u00A0-\\uD7FF]', '', 'g')"
@@ -35,7 +35,7 @@ def text_files_round_trip(spark, sf):
     notes(spark, sf).select("text").write.text(path)
     redacted = text_job.redact_texts(files.read_texts(spark, path))
     lines = F.filter(F.split("redacted", "\n", -1), lambda line: line != "")
-    return redacted.select(F.explode(lines).alias("t")).agg(
+    return text_functions.each_value(redacted, lines, "t").agg(
         F.count("*").alias("n_lines"), F.sum(F.length("t")).alias("n_chars"),
         F.sum(F.length("t") - F.length(F.replace("t", F.lit("[TEL"), F.lit("TEL")))).alias("n_phones"),
     )
@@ -56,7 +56,7 @@ select c_custkey, concat(' ', c_name, case c_custkey % 4 when 0 then ', "groot"'
 @query("csv_round_trip", f"select cast(c_custkey as varchar) as c_custkey, naam, c_mktsegment from ({TRICKY}) as t")
 def csv_round_trip(spark, sf):
     path = scratch_path(spark, "csv")
-    rows = spark.sql(TRICKY.replace("from customer", "from {customer}"), customer=table(spark, sf, "customer"))
+    rows = from_sql(spark, sf, TRICKY, "customer")
     writers.write_table_csv(rows, path)
     return files.read_table_csv(spark, path)
 
@@ -215,16 +215,18 @@ def audit_round_trip(spark, sf):
 
 @query(
     "audit_table",
-    f"select strftime(uploaded, '%Y-%m-%d') as dt, count(*) as n from {UPLOADS_SQL} as u where uploaded >= timestamp '1998-01-01' group by 1",
+    f"select strftime(ts, '%Y-%m-%d') as dt, count(*) as n, sum(entities_found)::bigint as n_mappings from {JOBS_SQL} as j where ts >= timestamp '2024-01-15' group by 1",
 )
 def audit_table(spark, sf):
     path = scratch_path(spark, "audit")
-    recent = uploads(spark, sf).withColumn("month", F.date_trunc("month", "uploaded"))
-    events = writers.audit_events(recent, "MAPPING_SAVED", F.col("batch_id").cast("string"), F.col("uploaded"), mappings=F.col("file_id") % 9)
-    # One writer per day, so that a day is a few files.
-    events.withColumn("dt", F.to_date("ts")).repartition("dt").write.mode("append").partitionBy("dt").parquet(path)
-    stored = spark.read.parquet(path).where("dt >= date'1998-01-01'")
-    return stored.groupBy(F.date_format("dt", "yyyy-MM-dd").alias("dt")).agg(F.count("*").alias("n"))
+    done = jobs(spark, sf)
+    writers.append_audit(
+        writers.audit_events(done, "MAPPING_SAVED", F.col("file_type"), F.col("ts"), mappings=F.col("entities_found")), path
+    )
+    recent = spark.read.parquet(path).where("dt >= date'2024-01-15'")
+    return recent.groupBy(F.date_format("dt", "yyyy-MM-dd").alias("dt")).agg(
+        F.count("*").alias("n"), F.sum(F.try_element_at("details", F.lit("mappings")).cast("bigint")).alias("n_mappings")
+    )
 
 
 @query(
@@ -295,7 +297,7 @@ def sanitized_names(spark, sf):
 )
 def encoding_check(spark, sf):
     latin = F.regexp_replace("text", r"[^\x{0000}-\x{00FF}]", "")
-    docs = table(spark, sf, "documents").select(
+    docs = texts(spark, sf, "documents").select(
         "doc_id", F.when(F.col("doc_id") % 4 == 0, F.encode(latin, "ISO-8859-1")).otherwise(F.encode(latin, "UTF-8")).alias("content")
     )
     return docs.select(
@@ -311,7 +313,7 @@ def encoding_check(spark, sf):
 def magic_check(spark, sf):
     body = F.regexp_replace("text", "^", "x")
     pdf = F.concat(F.lit("%PDF-1.4 "), body)
-    docs = table(spark, sf, "documents").select(
+    docs = texts(spark, sf, "documents").select(
         "doc_id",
         F.when(F.col("doc_id") % 3 == 0, body).otherwise(pdf).cast("binary").alias("content"),
         F.when(F.col("doc_id") % 3 == 2, "pdf").otherwise("txt").alias("ext"),
@@ -338,13 +340,13 @@ from part
     """,
 )
 def pattern_lint(spark, sf):
-    patterns = spark.sql(PATTERNS.replace("from part", "from {part}"), part=table(spark, sf, "part"))
+    patterns = from_sql(spark, sf, PATTERNS, "part")
     return rules.lint_patterns(patterns, "pattern").select("p_partkey", "is_valid", "reason")
 
 
 PAYLOADS = """
-select event_id, case event_id % 5 when 0 then props when 1 then concat('{{"rules": ', props, ', "text": "a [[[[ b"}}')
-  when 2 then concat('{{"rules": ', repeat('[', cast(event_id % 13 as int)), '1', repeat(']', cast(event_id % 13 as int)), ', "text": "x"}}')
+select event_id, case event_id % 5 when 0 then props when 1 then concat('{"rules": ', props, ', "text": "a [[[[ b"}')
+  when 2 then concat('{"rules": ', repeat('[', cast(event_id % 13 as int)), '1', repeat(']', cast(event_id % 13 as int)), ', "text": "x"}')
   when 3 then '[1, 2]' else 'geen json' end as payload
 from events
 """
@@ -355,11 +357,11 @@ from events
     f"""
     select event_id, case event_id % 5 when 0 then 'Required field ''rules'' ontbreekt' when 1 then null
       when 2 then case when 1 + event_id % 13 > 10 then 'JSON te diep genest (max 10 levels)' end else 'Data moet een object zijn' end as problem
-    from ({PAYLOADS.replace('{{', '{').replace('}}', '}')}) as p
+    from ({PAYLOADS}) as p
     """,
 )
 def payload_lint(spark, sf):
-    payloads = spark.sql(PAYLOADS.replace("from events", "from {events}"), events=table(spark, sf, "events"))
+    payloads = from_sql(spark, sf, PAYLOADS, "events")
     return payloads.select("event_id", admission.json_problem(F.col("payload"), ["rules", "text"]).alias("problem"))
 
 
@@ -477,7 +479,7 @@ def _as_docx(texts: pd.Series, names: pd.Series) -> pd.Series:
 
 def _docx_corpus(spark, sf):
     """Conversation turns as DOCX files; every 10th file is damaged."""
-    talks = table(spark, sf, "conversations").withColumn(
+    talks = texts(spark, sf, "conversations").withColumn(
         "path", F.concat("conv_id", F.lit("-"), "turn", F.lit(".docx"))
     )
     content = _as_docx(F.regexp_replace("text", r"[\r\p{Cntrl}&&[^\n]]", ""), F.col("path"))

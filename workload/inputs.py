@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cloakframe.functions import catalogue as cat
+from cloakframe.sources.files import spread
 
 # Type names that differ between the engines.
 SPARK = {"{T}": "string", "{N}": "decimal(38,0)"}
@@ -21,9 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def from_sql(spark: SparkSession, sf_dir: str, sql: str, source: str) -> DataFrame:
-    text = dialect(sql, SPARK).replace(f"from {source}", "from {source}")
-    return spark.sql(text, source=table(spark, sf_dir, source))
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are heavy to work on."""
+    return spread(table(spark, sf_dir, name))
+
+
+def from_sql(spark: SparkSession, sf_dir: str, sql: str, source: str, read=table) -> DataFrame:
+    """Run shared SQL over one supplied table in Spark."""
+    text = dialect(sql, SPARK).replace("{", "{{").replace("}", "}}")
+    return spark.sql(text.replace(f"from {source}", "from {source}"), source=read(spark, sf_dir, source))
 
 
 # --- customer notes: one phone, e-mail, number, IBAN and postal code each -----
@@ -139,15 +146,15 @@ from orders
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_sql(spark, sf_dir, NOTES, "customer")
+    return from_sql(spark, sf_dir, NOTES, "customer", texts)
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_sql(spark, sf_dir, MESSAGES, "orders")
+    return from_sql(spark, sf_dir, MESSAGES, "orders", texts)
 
 
 def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_sql(spark, sf_dir, IDENTITIES, "orders")
+    return from_sql(spark, sf_dir, IDENTITIES, "orders", texts)
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,6 +172,10 @@ JOBS_SQL = f"({dialect(JOBS, DUCK)})"
 UPLOADS_SQL = f"({dialect(UPLOADS, DUCK)})"
 
 
+def in_duck(sql: str) -> str:
+    return dialect(sql, DUCK)
+
+
 # --- SQL building blocks ------------------------------------------------------
 
 
@@ -172,6 +183,11 @@ def lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def sql_cents(value: str) -> str:
+    """Half-up to two decimals on the shortest decimal form of a double."""
+    return f"cast(round(cast(cast({value} as varchar) as decimal(32, 16)), 2) as double)"
+
+
 def sql_all(text: str, patterns: list[tuple[str, str]]) -> str:
     """All matches of a catalogue, as a list."""
     found = [f"regexp_extract_all({text}, {lit(regex)})" for _, regex in patterns]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.operators import columns
 
-from .inputs import table
+from .inputs import from_sql, in_duck, sql_cents, table
 from .registry import query
 
 SALT = "zout"
@@ -131,7 +131,7 @@ def _price_rule(column, strategy, **more):
 LINES = "l_orderkey, l_partkey, l_suppkey, l_linenumber"
 
 
-@query("mask_multiply_fixed", f"select {LINES}, round(l_extendedprice * 1.25::double, 2) as l_extendedprice from lineitem")
+@query("mask_multiply_fixed", f"select {LINES}, {sql_cents('l_extendedprice * 1.25::double')} as l_extendedprice from lineitem")
 def mask_multiply_fixed(spark, sf):
     rule = _price_rule("l_extendedprice", "fixed_multiplier", numberMultiplier=1.25)
     return columns.mask_table(table(spark, sf, "lineitem"), [rule]).table.select(*LINES.split(", "), "l_extendedprice")
@@ -140,7 +140,7 @@ def mask_multiply_fixed(spark, sf):
 @query(
     "mask_multiply_per_value",
     f"""
-    select o_orderkey, round(o_totalprice * (0.15::double + {sql_uniform(sql_digest('cast(o_totalprice as varchar)', 'o_totalprice'))} * (0.65::double - 0.15::double)), 2) as o_totalprice
+    select o_orderkey, {sql_cents(f"o_totalprice * (0.15::double + {sql_uniform(sql_digest('cast(o_totalprice as varchar)', 'o_totalprice'))} * (0.65::double - 0.15::double))")} as o_totalprice
     from orders
     """,
 )
@@ -152,7 +152,7 @@ def mask_multiply_per_value(spark, sf):
 @query(
     "mask_multiply_range",
     f"""
-    select o_orderkey, round(o_totalprice * (0.9::double + {sql_uniform(sql_digest('cast(o_totalprice as varchar)', 'o_totalprice'))} * (1.1::double - 0.9::double)), 2) as o_totalprice
+    select o_orderkey, {sql_cents(f"o_totalprice * (0.9::double + {sql_uniform(sql_digest('cast(o_totalprice as varchar)', 'o_totalprice'))} * (1.1::double - 0.9::double))")} as o_totalprice
     from orders
     """,
 )
@@ -211,7 +211,7 @@ from part
     """,
 )
 def formula_escape(spark, sf):
-    parts = spark.sql(DANGEROUS.replace("from part", "from {part}"), part=table(spark, sf, "part"))
+    parts = from_sql(spark, sf, DANGEROUS, "part")
     return columns.escape_all_formulas(parts)
 
 
@@ -226,7 +226,7 @@ from part
 @query(
     "column_types",
     f"""
-    with head as (select * from ({AS_TEXT.replace('{T}', 'varchar')}) as a order by id limit 20),
+    with head as (select * from ({in_duck(AS_TEXT)}) as a order by id limit 20),
       cells as (unpivot head on price, size, mixed, bought, blank, brand into name column_name value v)
     select column_name, case when coalesce(avg(case when v <> ' ' then (try_cast(v as double) is not null)::int end), 0) > 0.7 then 'number'
       when coalesce(avg(case when v <> ' ' then (try_cast(v as timestamp) is not null)::int end), 0) > 0.7 then 'date' else 'text' end as detected_type
@@ -234,14 +234,14 @@ from part
     """,
 )
 def column_types(spark, sf):
-    parts = spark.sql(AS_TEXT.replace("{T}", "string").replace("from part", "from {part}"), part=table(spark, sf, "part"))
+    parts = from_sql(spark, sf, AS_TEXT, "part")
     return columns.detected_types(parts, ["price", "size", "mixed", "bought", "blank", "brand"], row_id="id")
 
 
 @query(
     "rule_compatibility",
-    """
-    select o_orderkey, o_orderstatus, round(o_totalprice * 2::double, 2) as o_totalprice, o_orderdate, 4::bigint as n_rejected from orders
+    f"""
+    select o_orderkey, o_orderstatus, {sql_cents('o_totalprice * 2::double')} as o_totalprice, o_orderdate, 4::bigint as n_rejected from orders
     """,
 )
 def rule_compatibility(spark, sf):
@@ -279,8 +279,8 @@ def cell_log(spark, sf):
 
 @query(
     "rules_in_order",
-    """
-    select p_partkey, round(round(p_retailprice * 2::double, 2) * 0.5::double, 2) as p_retailprice, concat(chr(39), '=X') as p_name, '[ANONIEM]' as p_brand from part
+    f"""
+    select p_partkey, {sql_cents(sql_cents('p_retailprice * 2::double') + ' * 0.5::double')} as p_retailprice, concat(chr(39), '=X') as p_name, '[ANONIEM]' as p_brand from part
     """,
 )
 def rules_in_order(spark, sf):
@@ -303,7 +303,7 @@ union all select 'supplier', 1, s_suppkey, concat('Land ', cast(s_nationkey as {
 @query(
     "mask_several_tables",
     f"""
-    with rows as ({TWO_TABLES.replace('{T}', 'varchar')}),
+    with rows as ({in_duck(TWO_TABLES)}),
       numbers as (select land, row_number() over (order by min(i * 1000000000000 + id)) as n from rows group by land)
     select tab, id, printf('[LAND-%03d]', n) as land from rows join numbers using (land)
     """,
@@ -322,10 +322,10 @@ def mask_several_tables(spark, sf):
 
 @query(
     "mask_mapping_rows",
-    """
+    f"""
     select distinct 'o_orderdate' as column_name, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') as original, strftime(o_orderdate + interval 7 day, '%Y-%m-%d %H:%M:%S') as masked from orders
     union all
-    select distinct 'o_totalprice', cast(o_totalprice as varchar), cast(round(o_totalprice * 2::double, 2) as varchar) from orders
+    select distinct 'o_totalprice', cast(o_totalprice as varchar), cast({sql_cents('o_totalprice * 2::double')} as varchar) from orders
     """,
 )
 def mask_mapping_rows(spark, sf):
@@ -362,13 +362,13 @@ from orders
 @query(
     "mask_contact_table",
     f"""
-    with c as ({CONTACTS.replace('{T}', 'varchar')}),
+    with c as ({in_duck(CONTACTS)}),
       n as (select email as v, row_number() over (order by min(id)) as n from c group by 1)
     select id, '[NAAM]' as naam, printf('[EMAIL-%03d]', n) as email, telefoon, adres, postcode from c join n on email = v
     """,
 )
 def mask_contact_table(spark, sf):
-    contacts = spark.sql(CONTACTS.replace("{T}", "string").replace("from orders", "from {orders}"), orders=table(spark, sf, "orders"))
+    contacts = from_sql(spark, sf, CONTACTS, "orders")
     rules = [
         {"id": "1", "columnName": "naam", "replaceWith": "[NAAM]"},
         {"id": "2", "columnName": "email", "reversible": True},

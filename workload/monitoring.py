@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from cloakframe.operators import monitor, rules
 from cloakframe.plans import text_job
 
-from .inputs import JOBS_SQL, MESSAGES_SQL, jobs, messages, sql_emails, sql_phones, table
+from .inputs import JOBS_SQL, MESSAGES_SQL, jobs, messages, sql_emails, sql_phones, table, texts
 from .registry import query
 
 NOW = "timestamp '2024-01-20 12:00:00'"
@@ -231,4 +231,4 @@ def first_manual_logs(spark, sf):
       sum(len({sql_phones('text')}) + len({sql_emails('text')}))::bigint as total_items from conversations group by role
     """)
 def conversation_totals(spark, sf):
-    return monitor.report_totals(text_job.redact_texts(table(spark, sf, "conversations")), "role")
+    return monitor.report_totals(text_job.redact_texts(texts(spark, sf, "conversations")), "role")

@@ -8,7 +8,7 @@ from cloakframe.plans import text_job
 
 from .inputs import (
     IDENTITIES_SQL, MESSAGES_SQL, NOTES_SQL, UPLOADS_SQL, identities, messages, notes, sql_all, sql_emails, sql_phones,
-    sql_redacted, sql_valid_bsn, sql_valid_iban, table, uploads,
+    sql_redacted, sql_valid_bsn, sql_valid_iban, table, texts, uploads,
 )
 from .registry import query
 
@@ -26,12 +26,12 @@ def redact_fixed(spark, sf):
 
 @query("redact_documents", f"select doc_id, {sql_redacted('text')} as redacted from documents")
 def redact_documents(spark, sf):
-    return redact.redact_fixed(table(spark, sf, "documents")).select("doc_id", "redacted")
+    return redact.redact_fixed(texts(spark, sf, "documents")).select("doc_id", "redacted")
 
 
 @query("redact_pages", f"select page_id, {sql_redacted('html')} as redacted from pages")
 def redact_pages(spark, sf):
-    return redact.redact_fixed(table(spark, sf, "pages"), "html").select("page_id", "redacted")
+    return redact.redact_fixed(texts(spark, sf, "pages"), "html").select("page_id", "redacted")
 
 
 @query("redact_paragraphs", f"""
@@ -39,7 +39,7 @@ def redact_pages(spark, sf):
     from conversations
     """)
 def redact_paragraphs(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", text_job.redact_paragraphs(F.col("text")).alias("redacted"))
+    return texts(spark, sf, "conversations").select("conv_id", "turn", text_job.redact_paragraphs(F.col("text")).alias("redacted"))
 
 
 def sql_numbered(source: str, key: str = "doc_id") -> str:
@@ -178,7 +178,7 @@ def rules_regex(spark, sf):
 def rules_remove(spark, sf):
     rule = {"id": "weg", "originalTerm": "of mail ", "replacementTerm": "x", "removeInsteadOfReplace": True}
     out = rules.apply_rules(messages(spark, sf), [rule])
-    return out.select("doc_id", "redacted", F.inline("rule_log")).select(
+    return rules.explode_log(out, "doc_id", "redacted").select(
         "doc_id", "redacted", "ruleId", "replacedWith", F.col("count").alias("n")
     )
 
@@ -308,7 +308,7 @@ def auto_log_reversible(spark, sf):
 
 def _runs(spark, sf):
     """Lines of the conversations as runs of one document per conversation."""
-    talks = table(spark, sf, "conversations")
+    talks = texts(spark, sf, "conversations")
     return talks.select(
         F.col("conv_id").cast("string").alias("path"),
         F.col("turn").alias("para_idx"),

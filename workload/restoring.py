@@ -8,7 +8,7 @@ from cloakframe.plans import restore_job
 from cloakframe.sinks import writers
 from cloakframe.sources import files
 
-from .inputs import MESSAGES_SQL, NOTES_SQL, messages, notes, sql_emails, sql_phones, table
+from .inputs import MESSAGES_SQL, NOTES_SQL, messages, notes, sql_cents, sql_emails, sql_phones, table
 from .masking import CUSTOMERS_SQL, customers
 from .redaction import sql_numbered
 from .registry import query
@@ -193,9 +193,9 @@ def restore_table(spark, sf):
 
 @query(
     "restore_ambiguous",
-    """
+    f"""
     select 'o_totalprice' as column_name, masked, count(distinct original) as n_originals
-    from (select cast(o_totalprice as varchar) as original, cast(round(o_totalprice * 0.0001::double, 2) as varchar) as masked from orders) as m
+    from (select cast(o_totalprice as varchar) as original, cast({sql_cents('o_totalprice * 0.0001::double')} as varchar) as masked from orders) as m
     group by masked having count(distinct original) > 1
     """,
 )
