@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from . import catalogue as cat
+from .text import engine_pattern
 
 
 def is_valid_bsn(value: Column) -> Column:
@@ -82,11 +85,41 @@ _SQL_FUNCTIONS = {
 }
 
 
+def _sql_string(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _sql_matches(patterns: list[tuple[str, str]]) -> str:
+    found = [f"regexp_extract_all(value, {_sql_string(engine_pattern(regex))}, 0)" for _, regex in patterns]
+    return f"concat({', '.join(found)})"
+
+
+def _sql_finders() -> dict[str, str]:
+    """Bodies of the finders: distinct sorted phones and e-mails, checked numbers."""
+    checked = {
+        "find_bsns": ("is_valid_bsn", cat.BSN_PATTERNS),
+        "find_ibans": ("is_valid_iban", cat.IBAN_PATTERNS),
+        "find_postal_codes": ("is_valid_postal_code", cat.POSTAL_PATTERNS),
+    }
+    bodies = {
+        "find_phones": f"array_sort(array_distinct({_sql_matches(cat.PHONE_PATTERNS)}))",
+        "find_emails": f"array_sort(array_distinct({_sql_matches(cat.EMAIL_PATTERNS)}))",
+    }
+    for name, (check, patterns) in checked.items():
+        # A SQL function cannot be called inside a lambda, so its body is written out.
+        body = re.sub(r"\bvalue\b", "m", _SQL_FUNCTIONS[check])
+        bodies[name] = f"filter({_sql_matches(patterns)}, m -> {body})"
+    return bodies
+
+
 def register_sql_functions(spark: SparkSession) -> list[str]:
-    """Make the predicates callable from SQL in this session."""
+    """Make the predicates and finders callable from SQL in this session."""
     for name, body in _SQL_FUNCTIONS.items():
         spark.sql(
             f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(value STRING) RETURNS BOOLEAN "
             f"RETURN coalesce({body}, false)"
         )
-    return list(_SQL_FUNCTIONS)
+    finders = _sql_finders()
+    for name, body in finders.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(value STRING) RETURNS ARRAY<STRING> RETURN {body}")
+    return [*_SQL_FUNCTIONS, *finders]

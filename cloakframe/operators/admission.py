@@ -94,7 +94,7 @@ def sanitize_filename(filename: Column, max_length: int = 255) -> Column:
     """ASCII letters, digits and ``._-`` only; inner dots become ``_``; length capped, extension kept."""
     # Only names with other characters go through Python.
     plain = F.when(filename.rlike(r"^[\x00-\x7F]*$"), filename).otherwise(_fold_accents(filename))
-    flat = F.regexp_replace(F.trim(F.regexp_replace(plain, r"[/\\]", " ")), r"\s+", "_")
+    flat = F.regexp_replace(F.trim(F.replace(plain, F.lit("/"), F.lit(" "))), r"\s+", "_")
     safe = F.regexp_replace(F.regexp_replace(flat, r"[^A-Za-z0-9_.-]", ""), r"^[._]+|[._]+$", "")
     stem = F.regexp_replace(safe, r"\.[^.]*$", "")
     ext = F.substring_index(safe, ".", -1)
@@ -174,11 +174,9 @@ def selected_sheets(chosen: Column, existing: Column) -> Column:
     )
 
 
-def has_formula(cells: DataFrame, row_col: str = "row_idx", value_col: str = "value", by: tuple[str, ...] = ("path", "sheet"), rows: int = 10) -> DataFrame:
+def has_formula(cells: DataFrame, by: tuple[str, ...] = ("path", "sheet"), rows: int = 10) -> DataFrame:
     """Whether the first rows of each sheet hold a formula cell."""
-    return cells.where(F.col(row_col) <= rows).groupBy(*by).agg(
-        F.coalesce(F.max(F.col(value_col).startswith("=")), F.lit(False)).alias("has_formulas")
-    )
+    return cells.where(F.col("row_idx") <= rows).groupBy(*by).agg(F.bool_or(F.col("type") == "f").alias("has_formulas"))
 
 
 def newer_than(df: DataFrame, ts_col: str, now: Column, hours: int = cat.RETENTION_HOURS) -> DataFrame:

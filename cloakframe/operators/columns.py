@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
+from secrets import token_hex
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -316,7 +317,7 @@ def mask_tables(
     tables: dict[str, DataFrame],
     rules: list,
     row_id=None,
-    salt="",
+    salt=None,
     reversible_mode: bool = False,
     keep_log: bool = False,
     escape: bool = True,
@@ -326,7 +327,12 @@ def mask_tables(
     Shuffles come first, then the other rules in list order, so a later rule on
     a column sees the earlier outcome.  Rules on absent columns are skipped;
     rules that do not fit the column are refused and reported.
+
+    ``salt`` keys the repeatable random values; without one the call draws its
+    own, so results agree within the call only.  A Column such as
+    ``secrets.scalar()`` keeps the salt out of plans.
     """
+    salt = token_hex(16) if salt is None else salt
     frames = {n: (df.withColumn(LOG_COLUMN, F.array().cast(LOG_TYPE)) if keep_log else df) for n, df in tables.items()}
     types = {n: column_types(df, row_id) for n, df in tables.items()}
     mappings, rejected = [], []

@@ -20,7 +20,7 @@ def write_table_csv(df: DataFrame, path: str, mode: str = "errorifexists", escap
     out = escape_all_formulas(df) if escape else df
     names = [escape_header(c) if escape else c for c in out.columns]
     if names:
-        names[0] = "﻿" + names[0]
+        names[0] = "\ufeff" + names[0]
     writer = out.toDF(*names).write.mode(mode).option("header", "true").option("escape", '"')
     writer = writer.option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
     writer.option("emptyValue", "").csv(path)
@@ -95,6 +95,22 @@ def memory_events(jobs: DataFrame) -> DataFrame:
     )
 
 
+def alert_events(alerts: DataFrame) -> DataFrame:
+    """Metric event rows for ``(ts, file_type, size_bracket, message, value)`` alerts."""
+    value = F.round("value", 3)
+    return alerts.select(
+        F.col("ts").alias("timestamp"),
+        F.lit("CRITICAL").alias("level"),
+        F.lit("metrics").alias("logger"),
+        F.concat(F.lit("ALERT: "), "message", F.lit(" (value: "), F.format_string("%.3f", value), F.lit(")")).alias("message"),
+        F.lit("alert").alias("metric_type"),
+        "file_type",
+        "size_bracket",
+        F.col("message").alias("alert_message"),
+        value.alias("alert_value"),
+    )
+
+
 def append_metrics(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
 

@@ -24,7 +24,7 @@ def file_name(path: Column) -> Column:
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """One row per text file: ``path, text``; line breaks kept."""
     return spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("path"), F.regexp_replace("value", "^﻿", "").alias("text")
+        F.input_file_name().alias("path"), F.regexp_replace("value", "^\ufeff", "").alias("text")
     )
 
 
@@ -47,7 +47,7 @@ def read_table_csv(spark: SparkSession, path: str, schema=None, multi_line: bool
     reader = reader.option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
     df = (reader.schema(schema) if schema else reader).csv(path)
     first = df.columns[0] if df.columns else ""
-    return df.withColumnRenamed(first, first.removeprefix("﻿"))
+    return df.withColumnRenamed(first, first.removeprefix("\ufeff"))
 
 
 def file_catalogue(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:

@@ -12,6 +12,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timedelta
+from itertools import groupby
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RUN_SCHEMA = "path string, part string, para_idx int, run_idx int, text string, error string"
+TEXT_SCHEMA = "path string, text string, error string"
 CELL_SCHEMA = (
     "path string, sheet string, sheet_idx int, row_idx int, col_idx int, header string, "
     "value string, type string, error string"
@@ -65,6 +67,11 @@ def _docx_runs(content: bytes) -> Iterator[tuple[str, int, int, str]]:
                         yield group, i, j, text
 
 
+def _docx_text(content: bytes) -> Iterator[tuple[str]]:
+    body = (run for run in _docx_runs(content) if run[0] == "body")
+    yield ("\n".join("".join(run[3] for run in paragraph) for _, paragraph in groupby(body, key=lambda run: run[1])),)
+
+
 def _column_number(reference: str) -> int:
     number = 0
     for ch in reference:
@@ -182,20 +189,8 @@ def read_docx_runs(files: DataFrame) -> DataFrame:
 
 
 def read_docx_texts(files: DataFrame) -> DataFrame:
-    """Body text per DOCX file, paragraphs joined by line breaks."""
-    runs = read_docx_runs(files).where("part = 'body' and error is null")
-    # A file's own runs: bounded by the admitted file size.
-    ordered = F.array_sort(F.collect_list(F.struct("para_idx", "run_idx", "text")))
-    text = F.aggregate(
-        ordered,
-        F.struct(F.lit(0).alias("para"), F.lit("").alias("text")),
-        lambda acc, r: F.struct(
-            r["para_idx"].alias("para"),
-            F.concat(acc["text"], F.when(r["para_idx"] > acc["para"], F.lit("\n")).otherwise(F.lit("")), r["text"]).alias("text"),
-        ),
-        lambda acc: acc["text"],
-    )
-    return runs.groupBy("path").agg(text.alias("text"))
+    """Body text per DOCX file, paragraphs joined by line breaks: ``path, text, error``."""
+    return files.select("path", "content").mapInPandas(_parser(_docx_text, _names(TEXT_SCHEMA), "Word document"), TEXT_SCHEMA)
 
 
 def read_xlsx_cells(files: DataFrame) -> DataFrame:
@@ -222,6 +217,35 @@ def cells_to_table(cells: DataFrame, columns: dict[str, str]) -> DataFrame:
     return cells.where("row_idx > 1 and error is null").groupBy("path", "sheet", "row_idx").agg(*values)
 
 
+def sheet_previews(cells: DataFrame, rows: int = 5) -> DataFrame:
+    """Per sheet: row count, column names and the first data rows as strings.
+
+    Only the header and the first rows are gathered; the count needs no rows.
+    """
+    header = (F.col("row_idx") == 1) & F.col("header").isNotNull()
+    shown = F.col("row_idx").between(2, rows + 1)
+    heads = cells.where("error is null").groupBy("path", "sheet", "sheet_idx").agg(
+        F.greatest(F.max("row_idx") - 1, F.lit(0)).alias("rows"),
+        F.array_sort(F.collect_list(F.when(header, F.struct("col_idx", "header")))).alias("heads"),
+        F.collect_list(F.when(shown, F.struct("row_idx", "col_idx", "value"))).alias("cells"),
+        F.max(F.when(shown, F.col("row_idx"))).alias("last"),
+    )
+    lines = F.transform(
+        F.sequence(F.lit(2), F.col("last")),
+        lambda r: F.transform(
+            "heads",
+            lambda h: F.coalesce(
+                F.get(F.transform(F.filter("cells", lambda c: (c["row_idx"] == r) & (c["col_idx"] == h["col_idx"])), lambda c: c["value"]), F.lit(0)),
+                F.lit(""),
+            ),
+        ),
+    )
+    return heads.select(
+        "path", "sheet", "sheet_idx", "rows", F.transform("heads", lambda h: h["header"]).alias("columns"),
+        F.when(F.col("last").isNull(), F.array().cast("array<array<string>>")).otherwise(lines).alias("preview"),
+    )
+
+
 def read_status(parsed: DataFrame) -> DataFrame:
     """``(path, valid, error)`` per file."""
     return parsed.groupBy("path").agg(F.max("error").alias("error")).select(

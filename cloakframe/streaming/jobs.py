@@ -57,6 +57,19 @@ def failures(events: DataFrame) -> DataFrame:
     )
 
 
+def live_feed(metrics: DataFrame) -> DataFrame:
+    """Failed jobs and alerts out of parsed metric events, as they arrive."""
+    is_alert = F.col("metric_type") == "alert"
+    unknown = F.lit("unknown")
+    return metrics.where(is_alert | ~F.coalesce("success", F.lit(True))).select(
+        "timestamp",
+        F.when(is_alert, "ALERT").otherwise("ERROR").alias("kind"),
+        F.coalesce("file_type", unknown).alias("file_type"),
+        F.when(is_alert, F.coalesce("alert_message", unknown)).otherwise(F.coalesce("error", unknown)).alias("message"),
+        F.when(is_alert, F.coalesce("alert_value", F.lit(0.0))).alias("value"),
+    )
+
+
 def sliding_error_rate(events: DataFrame, window: str = "60 minutes", slide: str = "5 minutes", lateness: str = "24 hours") -> DataFrame:
     """Error rate per file type over a sliding window, with the alert flag.
 

@@ -207,8 +207,18 @@ def validity_by_sql_function(spark, sf):
     f"select doc_id, pattern, match from ({sql_findings(NOTES_SQL + ' as n')}) as f",
 )
 def findings_by_lateral_view(spark, sf):
-    found = detect.with_findings(notes(spark, sf))
-    return spark.sql("select doc_id, f.pattern, f.match from {found} lateral view explode(findings) t as f", found=found)
+    """Finders called from SQL, one row per finding."""
+    validators.register_sql_functions(spark)
+    return spark.sql(
+        """
+        select doc_id, pattern, match from (
+          select doc_id, map('phone_nl', find_phones(text), 'email', find_emails(text), 'bsn', find_bsns(text),
+                             'iban', find_ibans(text), 'postal_code_nl', find_postal_codes(text)) as found from {notes})
+        lateral view outer explode(found) t as pattern, matches
+        lateral view outer explode(matches) u as match where match is not null
+        """,
+        notes=notes(spark, sf),
+    )
 
 
 @query("context_hits", f"select doc_id, pattern, match, cast(hits as int) as hits from ({sql_scored(NOTES_SQL + ' as n')}) as s")

@@ -278,7 +278,7 @@ def admission_batches(spark, sf):
     "sanitized_names",
     f"""
     select file_id, case when strlen(safe) - strlen(replace(safe, '.', '')) > 1 then concat(replace(regexp_replace(safe, '\\.[^.]*$', ''), '.', '_'), '.', regexp_extract(safe, '[^.]*$')) else safe end as safe
-    from (select file_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(n, '[/\\\\]', ' ', 'g')), '\\s+', '_', 'g'), '[^A-Za-z0-9_.-]', '', 'g'), '^[._]+', ''), '[._]+$', '') as safe
+    from (select file_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(replace(n, '/', ' ')), '\\s+', '_', 'g'), '[^A-Za-z0-9_.-]', '', 'g'), '^[._]+', ''), '[._]+$', '') as safe
           from (select file_id, concat(name, case when file_id % 3 = 0 then ' ea.txt' else '' end) as n from {UPLOADS_SQL} as u) as a) as b
     """,
 )
@@ -492,7 +492,7 @@ def _docx_corpus(spark, sf):
     "select concat(conv_id, '-', turn, '.docx') as path, text from conversations where conv_id % 10 <> 9",
 )
 def docx_texts(spark, sf):
-    return office.read_docx_texts(_docx_corpus(spark, sf))
+    return office.read_docx_texts(_docx_corpus(spark, sf)).where("error is null").select("path", "text")
 
 
 @query(
@@ -551,3 +551,18 @@ def xlsx_table(spark, sf):
 )
 def xlsx_formulas(spark, sf):
     return admission.has_formula(office.read_xlsx_cells(_xlsx_corpus(spark, sf)))
+
+
+@query(
+    "xlsx_previews",
+    """
+    select concat('boek', b, '.xlsx') as path, 'klanten' as sheet, 0 as sheet_idx, n as rows, 'nr|naam|saldo' as columns,
+      string_agg(concat_ws('|', cast(c_custkey as varchar), c_name, cast(c_acctbal as varchar)), '/' order by c_custkey) as preview
+    from (select c_custkey // 100 as b, c_custkey, c_name, c_acctbal, cast(count(*) over (partition by c_custkey // 100) as int) as n from customer) as x
+    where c_custkey % 100 < 5 group by b, n
+    """,
+)
+def xlsx_previews(spark, sf):
+    previews = office.sheet_previews(office.read_xlsx_cells(_xlsx_corpus(spark, sf))).where("sheet = 'klanten'")
+    lines = F.transform("preview", lambda cells: F.array_join(cells, "|"))
+    return previews.withColumns({"columns": F.array_join("columns", "|"), "preview": F.array_join(lines, "/")})

@@ -4,9 +4,12 @@ from pyspark.sql import functions as F
 
 from cloakframe.operators import monitor
 from cloakframe.operators.numbering import scratch_path
+from cloakframe.sinks import writers
+from cloakframe.sources import logs
 from cloakframe.streaming import jobs as streaming
 
 from .inputs import JOBS, JOBS_SQL, SPARK, dialect, sql_redacted, table
+from .inputs import jobs as monitoring_jobs
 from .registry import query
 
 
@@ -31,6 +34,27 @@ def stream_failures(spark, sf):
     return feed.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
+@query(
+    "stream_live_feed",
+    f"""
+    select kind, file_type, message, count(*) as n, round(max(value), 3) as highest from (
+      select 'ERROR' as kind, file_type, error as message, null::double as value from {JOBS_SQL} as j where not success
+      union all
+      select 'ALERT', file_type, 'Processing duration exceeded 60s', round(duration_seconds, 3) from {JOBS_SQL} as j where duration_seconds > 60) as x
+    group by all
+    """,
+)
+def stream_live_feed(spark, sf):
+    """The metric log as a stream of JSON lines."""
+    folder = scratch_path(spark, "metriclog")
+    jobs = monitoring_jobs(spark, sf)
+    writers.append_metrics(writers.metric_events(jobs), folder)
+    writers.append_metrics(writers.alert_events(monitor.duration_alerts(jobs).where("metric_type = 'alert'")), folder)
+    lines = spark.readStream.text(folder)
+    feed = _appended(spark, streaming.live_feed(logs.parse_metrics(lines)))
+    return feed.groupBy("kind", "file_type", "message").agg(F.count("*").alias("n"), F.round(F.max("value"), 3).alias("highest"))
+
+
 @query(
     "stream_error_rate",
     f"""
