@@ -112,7 +112,7 @@ def multiply_range(c: Column, salt, scope: str, percent: float = 10) -> Column:
 
 def escape_formula(c: Column) -> Column:
     """Spreadsheet programs run cells that start with one of ``= + - @``; quote them."""
-    return F.when(c.rlike(r"^[=+\-@]"), F.concat(F.lit("'"), c)).otherwise(c)
+    return F.when(F.substring(c, 1, 1).isin("=", "+", "-", "@"), F.concat(F.lit("'"), c)).otherwise(c)
 
 
 def escape_all_formulas(df: DataFrame) -> DataFrame:
@@ -198,11 +198,12 @@ def shuffle_column(df: DataFrame, column: str, row_id: str | None, salt) -> Data
 # --- type detection ----------------------------------------------------------
 
 
-def column_types(df: DataFrame, row_id=None, sample: int = 20) -> dict[str, str]:
+def column_types(df: DataFrame, row_id=None, sample: int = 20, judged: list[str] | None = None) -> dict[str, str]:
     """``number``, ``date`` or ``text`` per column.
 
     Typed columns answer from the schema.  String columns are judged by the
     first ``sample`` rows: over 70 % numbers, else over 70 % dates, else text.
+    ``judged`` limits that look at the data to the string columns named there.
     """
     types, strings = {}, []
     for f in df.schema.fields:
@@ -212,10 +213,11 @@ def column_types(df: DataFrame, row_id=None, sample: int = 20) -> dict[str, str]
             types[f.name] = "date"
         else:
             types[f.name] = "text"
-            if isinstance(f.dataType, T.StringType):
+            if isinstance(f.dataType, T.StringType) and (judged is None or f.name in judged):
                 strings.append(f.name)
     if strings:
-        types.update({r["column_name"]: r["detected_type"] for r in detected_types(df, strings, row_id, sample).collect()})
+        found = detected_types(df, strings, row_id, sample).collect()
+        types.update({r["column_name"]: r["detected_type"] for r in found})
     return types
 
 
@@ -334,14 +336,18 @@ def mask_tables(
     """
     salt = token_hex(16) if salt is None else salt
     frames = {n: (df.withColumn(LOG_COLUMN, F.array().cast(LOG_TYPE)) if keep_log else df) for n, df in tables.items()}
-    types = {n: column_types(df, row_id) for n, df in tables.items()}
-    mappings, rejected = [], []
     parsed = parse_column_rules(rules)
+    judged = [r.column_name for r in parsed if r.anonymization_type in REQUIRED_TYPE]
+    types = {n: column_types(df, row_id, judged=judged) for n, df in tables.items()}
+    mappings, rejected = [], []
     ordered = [r for r in parsed if r.anonymization_type == "shuffle"] + [
         r for r in parsed if r.anonymization_type != "shuffle"
     ]
-    for rule in ordered:
+    for turn, rule in enumerate(ordered):
         column = rule.column_name
+        # The last pass over the table escapes every string; earlier it shows only in
+        # the log and to a later rule on the same column.
+        escape_now = escape and (keep_log or any(r.column_name == column for r in ordered[turn + 1 :]))
         usable = []
         for name in frames:
             if column not in types[name]:
@@ -384,7 +390,7 @@ def mask_tables(
                         )
                         .distinct()
                     )
-            if escape and isinstance(after.schema[column].dataType, T.StringType):
+            if escape_now and isinstance(after.schema[column].dataType, T.StringType):
                 after = after.withColumn(column, escape_formula(F.col(f"`{column}`")))
             if keep_log:
                 after = after.withColumn(LOG_COLUMN, _log_cell(rule, F.col("_before"), F.col(f"`{column}`")))

@@ -50,21 +50,16 @@ def trailing_error_rates(events: DataFrame, window_minutes: int = 60) -> DataFra
         events.groupBy("file_type", F.unix_micros("ts").alias("t"))
         .agg(F.count("*").alias("n"), F.sum(failed(F.col("success"))).alias("f"))
     )
-    own = moments.select(
-        "file_type", F.floor(F.col("t") / width).alias("slice"), "t", F.col("t").alias("at"), "n", "f", F.lit(False).alias("probe")
-    )
-    probes = moments.select(
-        "file_type",
-        F.floor((F.col("t") - width) / width).alias("slice"),
-        "t",
-        (F.col("t") - width).alias("at"),
-        F.lit(0).cast("long").alias("n"),
-        F.lit(0).cast("long").alias("f"),
-        F.lit(True).alias("probe"),
-    )
+    def point(at, n, f, probe) -> Column:
+        return F.struct(
+            F.floor(at / width).alias("slice"), at.alias("at"), n.alias("n"), f.alias("f"), F.lit(probe).alias("probe")
+        )
+
+    t, nothing = F.col("t"), F.lit(0).cast("long")
+    points = F.array(point(t, F.col("n"), F.col("f"), False), point(t - width, nothing, nothing, True))
     per_slice = Window.partitionBy("file_type", "slice")
     up_to = per_slice.orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    parts = own.unionByName(probes).select(
+    parts = moments.select("file_type", "t", F.inline(points)).select(
         "file_type", "t", "probe",
         *[
             F.when(F.col("probe"), F.sum(c).over(per_slice) - F.sum(c).over(up_to)).otherwise(F.sum(c).over(up_to)).alias(c)

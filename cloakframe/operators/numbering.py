@@ -142,7 +142,8 @@ def hash_rank(df: DataFrame, digest: Column, name: str = "rank", buckets: int |
     within = F.row_number().over(Window.partitionBy("_bucket").orderBy("_digest"))
     return (
         keyed.withColumn("_within", within)
-        .join(F.broadcast(offsets), "_bucket")
+        # Every bucket has its offset; a left join spares a filter that would hash twice.
+        .join(F.broadcast(offsets), "_bucket", "left")
         .withColumn(name, F.col("_offset") + F.col("_within"))
         .drop("_digest", "_bucket", "_within", "_offset")
     )

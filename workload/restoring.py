@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from cloakframe.operators import columns, mapping, redact, restore
-from cloakframe.operators.numbering import scratch_path
+from cloakframe.operators.numbering import scratch_path, stash
 from cloakframe.plans import restore_job
 from cloakframe.sinks import writers
 from cloakframe.sources import files
@@ -136,7 +136,7 @@ def mapping_is_encrypted(spark, sf):
 
 @query("restore_documents", f"select doc_id, text as restored from {MESSAGES_SQL} as m")
 def restore_documents(spark, sf):
-    redacted = redact.redact_reversible(messages(spark, sf))
+    redacted = stash(redact.redact_reversible(messages(spark, sf)))  # as a finished job leaves it
     return restore.restore_documents(
         redacted.select("doc_id", "redacted"), redact.mapping_rows(redacted, "doc_id"), "doc_id"
     ).select("doc_id", "restored")
@@ -145,7 +145,7 @@ def restore_documents(spark, sf):
 @query("restore_corpus", f"select doc_id, text as restored from {MESSAGES_SQL} as m")
 def restore_corpus(spark, sf):
     redacted, known = redact.redact_corpus(messages(spark, sf), "doc_id")
-    return restore.restore_corpus(redacted.select("doc_id", "redacted"), known, "doc_id").select("doc_id", "restored")
+    return restore.restore_corpus(stash(redacted.select("doc_id", "redacted")), known, "doc_id").select("doc_id", "restored")
 
 
 @query("restore_in_row", f"select doc_id, text as restored from {MESSAGES_SQL} as m")
@@ -219,7 +219,7 @@ def restore_csv(spark, sf):
     f"select doc_id, text as restored, (len({sql_phones('text')}) + len({sql_emails('text')}))::bigint as n_mappings from {MESSAGES_SQL} as m",
 )
 def restore_job_encrypted(spark, sf):
-    redacted = redact.redact_reversible(messages(spark, sf))
+    redacted = stash(redact.redact_reversible(messages(spark, sf)))
     path = scratch_path(spark, "mapping")
     writers.write_mapping(redact.mapping_rows(redacted, "doc_id"), path, _key(spark))
     texts = redacted.select("doc_id", "redacted", F.size("mapping").cast("long").alias("n_mappings"))
