@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import catalogue as cat
-from ..functions.text import each_struct, engine_pattern, quote_pattern, regex_flags
+from ..functions.text import bind, each_struct, engine_pattern, quote_pattern, regex_flags
 from ..functions.validators import is_valid_bsn, is_valid_iban, is_valid_postal_code
 
 # Necessary conditions, cheap first.  A text that fails the guard cannot give a
@@ -21,6 +21,11 @@ from ..functions.validators import is_valid_bsn, is_valid_iban, is_valid_postal_
 PHONE_GUARD = (
     r"(?U)\+31[\s\-]?\d|(?=0)\b0(?:0\s?31\s?6|\s*6[\s\)\.–—\-]*\d{2}|\d{1,3}[\s\-\.]\d{6})"
 )
+# What every match of a pattern holds.  Looking for it is far cheaper than the pattern.
+PHONE_LITERALS = {
+    "intl_plus_spaced": "+31", "intl_plus": "+31", "landline_intl": "+31", "intl_zero_spaced": "00",
+    "intl_zero": "00", "parentheses": "(", "dash": "-", "dots": ".",
+}
 BSN_GUARD = r"[0-9]{3}[-.]?[0-9]{2}[-.]?[0-9]{4}"
 IBAN_GUARD = r"(?:NL|DE|BE|FR)\d{2}"
 
@@ -62,8 +67,13 @@ def _guarded(guard: Column, found: Column) -> Column:
 
 def find_phones(text: Column) -> Column:
     """Distinct phone numbers in code-point order."""
-    found = F.array_sort(F.array_distinct(matches_of(text, cat.PHONE_PATTERNS)))
-    return _guarded(has_phone_shape(text), found)
+    found = [
+        _guarded(F.contains(text, F.lit(PHONE_LITERALS[name])), matches_of(text, [(name, regex)]))
+        if name in PHONE_LITERALS
+        else matches_of(text, [(name, regex)])
+        for name, regex in cat.PHONE_PATTERNS
+    ]
+    return _guarded(has_phone_shape(text), F.array_sort(F.array_distinct(F.concat(*found))))
 
 
 def find_emails(text: Column) -> Column:
@@ -162,8 +172,7 @@ def count_context_words(
             total = total + found.cast("int")
         return total
 
-    # The one-element array binds the snippet, so it is computed once for all words.
-    return F.element_at(F.transform(F.array(context_snippet(text, match, window)), count_in), 1)
+    return bind(context_snippet(text, match, window), count_in)
 
 
 def _boosted(text: Column, name: str, entry: dict, window: int, whole_word: bool) -> Callable[[Column], Column]:

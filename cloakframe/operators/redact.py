@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import catalogue as cat
-from ..functions.text import each_struct, engine_pattern, quote_replacement
+from ..functions.text import bind, each_struct, engine_pattern, quote_replacement
 from . import detect
 from .numbering import lookup_join, number_rows, stash
 
@@ -30,14 +30,26 @@ FINDERS = {
 DEFAULT_KINDS = ("phone", "email")
 
 
+def _replace_where_possible(text: Column, replaced: Column, regex: str, literal: str | None, placeholder: str) -> Column:
+    """One pattern on the outcome so far, skipped where the original lacks its literal.
+
+    A placeholder that shares a sign with the literal, or is empty, could form
+    the literal anew; then the pattern always runs.
+    """
+    run = lambda t: F.regexp_replace(t, engine_pattern(regex), quote_replacement(placeholder))
+    if literal is None or not placeholder or set(literal) & set(placeholder):
+        return run(replaced)
+    return bind(replaced, lambda t: F.when(F.contains(text, F.lit(literal)), run(t)).otherwise(t))
+
+
 def replace_phones(text: Column, placeholder: str = cat.PHONE_PLACEHOLDER, present: Column | None = None) -> Column:
     """All phone patterns in order, each on the output of the one before.
 
     ``present`` may be any condition that holds whenever the text has a phone.
     """
     replaced = text
-    for _, regex in cat.PHONE_PATTERNS:
-        replaced = F.regexp_replace(replaced, engine_pattern(regex), quote_replacement(placeholder))
+    for name, regex in cat.PHONE_PATTERNS:
+        replaced = _replace_where_possible(text, replaced, regex, detect.PHONE_LITERALS.get(name), placeholder)
     return F.when(detect.has_phone_shape(text) if present is None else present, replaced).otherwise(text)
 
 

@@ -1,6 +1,10 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from cloakframe.functions import catalogue as cat
 from cloakframe.operators import monitor, redact, restore, rules
 from cloakframe.plans import text_job
 from cloakframe.plans.restore_job import restore_texts
@@ -102,6 +106,22 @@ def test_placeholders_are_literal(spark):
     assert redact.redact_fixed(df, phone_placeholder=r"$0\1").first()["redacted"] == r"$0\1"
 
 
+@pytest.mark.parametrize("placeholder", ["[TEL VERWIJDERD]", "", "+31", "(06", "0.0", "-"])
+def test_skipping_patterns_changes_nothing(spark, placeholder):
+    """Chained replacement equals Python's, whatever the placeholder forms with its neighbours."""
+    rng = random.Random(11)
+    pieces = ["06", "+3", "1", "+31", "00", "31", "6", " ", "-", ".", "(", ")", "12345678", "1234567", "12", "020", "a", "@", "x.nl"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(2, 20))) for _ in range(4000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = {r["i"]: r["redacted"] for r in redact.redact_fixed(df, phone_placeholder=placeholder).collect()}
+    for i, text in enumerate(texts):
+        for _, regex in cat.PHONE_PATTERNS:
+            text = re.sub(regex, lambda _: placeholder, text)
+        for _, regex in cat.EMAIL_PATTERNS:
+            text = re.sub(regex, "[EMAIL VERWIJDERD]", text)
+        assert got[i] == text, texts[i]
+
+
 def test_reversible_numbers_and_longest_first(spark):
     df = spark.createDataFrame([("06-12345678, 06-87654321, 06-12345678",)], "text string")
     row = redact.redact_reversible(df).first()

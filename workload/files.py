@@ -20,9 +20,6 @@ from cloakframe.sources import config, files, logs, office
 from .inputs import JOBS_SQL, MESSAGES_SQL, NOTES_SQL, UPLOADS_SQL, from_sql, jobs, lit, messages, notes, sql_emails, sql_redacted, table, texts, uploads
 from .registry import query
 
-PLAIN = "regexp_replace(text, '[^\\x20-\\x7E\\x0A\\u00A0-\\uD7FF]', '', 'g')"
-
-
 # --- texts and tables on disk -----------------------------------------------------
 
 
@@ -205,7 +202,7 @@ def audit_round_trip(spark, sf):
 
 @query(
     "audit_table",
-    f"select strftime(ts, '%Y-%m-%d') as dt, count(*) as n, sum(entities_found)::bigint as n_mappings from {JOBS_SQL} as j where ts >= timestamp '2024-01-15' group by 1",
+    f"select strftime(ts, '%Y-%m-%d') as dt, count(*) as n, sum(entities_found)::bigint as n_mappings from {JOBS_SQL} as j group by 1",
 )
 def audit_table(spark, sf):
     path = scratch_path(spark, "audit")
@@ -213,8 +210,7 @@ def audit_table(spark, sf):
     writers.append_audit(
         writers.audit_events(done, "MAPPING_SAVED", F.col("file_type"), F.col("ts"), mappings=F.col("entities_found")), path
     )
-    recent = spark.read.parquet(path).where("dt >= date'2024-01-15'")
-    return recent.groupBy(F.date_format("dt", "yyyy-MM-dd").alias("dt")).agg(
+    return spark.read.parquet(path).groupBy(F.date_format("dt", "yyyy-MM-dd").alias("dt")).agg(
         F.count("*").alias("n"), F.sum(F.try_element_at("details", F.lit("mappings")).cast("bigint")).alias("n_mappings")
     )
 

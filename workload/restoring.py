@@ -21,54 +21,51 @@ def _key(spark):
     return spark.createDataFrame([(KEY,)], "key string").scalar()
 
 
-ITEMS_SQL = "select distinct o_custkey as v from orders where o_custkey % 3 = 0"
-
-
-def _known(spark, sf):
-    """Customers 0, 3, 6, ... that already have a placeholder."""
-    return table(spark, sf, "customer").where("c_custkey % 3 = 0").select(
+def _known(spark, sf, name="customer"):
+    """A mapping in which every customer (or supplier) has a placeholder."""
+    key = F.col("c_custkey" if name == "customer" else "s_suppkey")
+    prefix = F.lit("" if name == "customer" else "nieuw")
+    return table(spark, sf, name).select(
         F.lit("corpus").alias("scope_id"), F.lit("item").alias("kind"),
-        F.concat(F.lit("[ITEM_"), (F.col("c_custkey") / 3 + 1).cast("bigint").cast("string"), F.lit("]")).alias("placeholder"),
-        F.col("c_custkey").cast("string").alias("original"),
+        F.concat(F.lit("[ITEM_"), (key + 1).cast("string"), F.lit("]")).alias("placeholder"),
+        F.concat(prefix, key.cast("string")).alias("original"),
     )
 
 
-KNOWN_SQL = """(select 'corpus' as scope_id, 'item' as kind, concat('[ITEM_', cast(c_custkey // 3 + 1 as varchar), ']') as placeholder,
-  cast(c_custkey as varchar) as original, c_custkey // 3 + 1 as n from customer where c_custkey % 3 = 0)"""
+KNOWN_SQL = """(select 'corpus' as scope_id, 'item' as kind, concat('[ITEM_', cast(c_custkey + 1 as varchar), ']') as placeholder,
+  cast(c_custkey as varchar) as original, c_custkey + 1 as n from customer)"""
 
 
 @query(
     "mapping_union",
     f"""
-    select scope_id, kind, case when n % 2 = 0 then concat('nieuw', original) else original end as original, placeholder from {KNOWN_SQL} as k
+    select scope_id, kind, placeholder, case when s_suppkey is not null then concat('nieuw', original) else original end as original
+    from {KNOWN_SQL} as k left join supplier on s_suppkey + 1 = n
     """,
 )
 def mapping_union(spark, sf):
-    known = _known(spark, sf)
-    later = known.where(mapping.suffix_number(F.col("placeholder")) % 2 == 0).withColumn("original", F.concat(F.lit("nieuw"), "original"))
-    return mapping.add_mappings(known, later)
+    return mapping.add_mappings(_known(spark, sf), _known(spark, sf, "supplier"))
 
 
 @query(
     "mapping_conflicts",
-    f"select scope_id, placeholder, 2::bigint as n_originals from {KNOWN_SQL} as k where n % 5 = 0",
+    f"select scope_id, placeholder, 2::bigint as n_originals from {KNOWN_SQL} as k join supplier on s_suppkey + 1 = n",
 )
 def mapping_conflicts(spark, sf):
-    known = _known(spark, sf)
-    twice = known.where(mapping.suffix_number(F.col("placeholder")) % 5 == 0).withColumn("original", F.concat(F.lit("x"), "original"))
-    return mapping.placeholder_conflicts(known.unionByName(twice))
+    return mapping.placeholder_conflicts(_known(spark, sf).unionByName(_known(spark, sf, "supplier")))
 
 
 @query(
     "mapping_allocate",
     f"""
-    select 'corpus' as scope_id, 'item' as kind, cast(o_custkey as varchar) as original,
-      concat('[ITEM_', cast((select max(n) from {KNOWN_SQL} as k) + row_number() over (order by min(o_orderkey)) as varchar), ']') as placeholder
-    from orders where cast(o_custkey as varchar) not in (select original from {KNOWN_SQL} as k) group by o_custkey
+    select 'corpus' as scope_id, 'item' as kind, cast(l_partkey as varchar) as original,
+      concat('[ITEM_', cast((select max(n) from {KNOWN_SQL} as k) + row_number() over (order by min(l_orderkey), cast(l_partkey as varchar)) as varchar), ']') as placeholder
+    from lineitem where cast(l_partkey as varchar) not in (select original from {KNOWN_SQL} as k) group by l_partkey
     """,
 )
 def mapping_allocate(spark, sf):
-    values = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("original"), F.col("o_orderkey").alias("seen"))
+    """Part numbers of the order lines, of which some are known as customer numbers."""
+    values = table(spark, sf, "lineitem").select(F.col("l_partkey").cast("string").alias("original"), F.col("l_orderkey").alias("seen"))
     return mapping.allocate(values, _known(spark, sf))
 
 
@@ -81,11 +78,12 @@ def mapping_counter(spark, sf):
 
 @query(
     "mapping_lookup",
-    f"select o_orderkey, placeholder from orders left join {KNOWN_SQL} as k on cast(o_custkey as varchar) = original",
+    f"select l_orderkey, l_linenumber, l_partkey, placeholder from lineitem left join {KNOWN_SQL} as k on cast(l_partkey as varchar) = original",
 )
 def mapping_lookup(spark, sf):
-    rows = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("customer"))
-    return mapping.lookup_placeholders(rows, "customer", _known(spark, sf), "o_orderkey").select("o_orderkey", "placeholder")
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_partkey").cast("string").alias("part"))
+    found = mapping.lookup_placeholders(rows, "part", _known(spark, sf), "l_orderkey")
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "placeholder")
 
 
 @query(
