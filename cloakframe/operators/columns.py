@@ -225,7 +225,11 @@ def detected_types(df: DataFrame, columns: list[str], row_id=None, sample: int =
     """``(column_name, detected_type)`` from the head of the table, one pass for all columns."""
     if row_id is not None:
         names = [row_id] if isinstance(row_id, str) else list(row_id)
-        head = df.orderBy(*names).limit(sample)
+        # The last id of the head comes from the id column alone; as a filter it
+        # keeps the scan of the judged columns to the row groups that hold the head.
+        ids = df.select(names[0]).orderBy(names[0]).limit(sample)
+        last = ids.agg(F.max(names[0]).alias("last")).first()["last"]
+        head = (df if last is None else df.where(F.col(names[0]) <= F.lit(last))).orderBy(*names).limit(sample)
     else:
         head = df.limit(sample)
     shares = []

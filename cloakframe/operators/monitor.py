@@ -25,16 +25,19 @@ def failed(success: Column) -> Column:
     return (~success).cast("int")
 
 
-def error_rates(events: DataFrame, now: Column, window_minutes: int = 60) -> DataFrame:
+def error_rates(events: DataFrame, now: Column, window_minutes: int = 60, file_types: list[str] | None = None) -> DataFrame:
     """Share of failures per file type, strictly newer than ``now`` minus the window.
 
-    Types without a recent event report 0.0.
+    The time filter reaches the scan, so old row groups are not read.  The
+    ``file_types`` (by default those a job can have) without a recent event
+    report 0.0.
     """
-    recent = F.col("ts") > F.timestamp_add("MINUTE", F.lit(-window_minutes), now)
-    return events.groupBy("file_type").agg(
-        F.count_if(recent).alias("n_jobs"),
-        F.coalesce(F.avg(F.when(recent, failed(F.col("success")))), F.lit(0.0)).alias("error_rate"),
+    recent = events.where(F.col("ts") > F.timestamp_add("MINUTE", F.lit(-window_minutes), now))
+    rates = recent.groupBy("file_type").agg(
+        F.count("*").alias("n_jobs"), F.avg(failed(F.col("success"))).alias("error_rate")
     )
+    expected = events.sparkSession.createDataFrame([(t,) for t in file_types or cat.MONITORED_TYPES], "file_type string")
+    return rates.join(expected, "file_type", "full").fillna({"n_jobs": 0, "error_rate": 0.0})
 
 
 def trailing_error_rates(events: DataFrame, window_minutes: int = 60) -> DataFrame:

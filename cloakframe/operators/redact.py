@@ -184,10 +184,13 @@ def redact_corpus(
 ) -> tuple[DataFrame, DataFrame]:
     """Corpus-wide numbering: a value has the same placeholder in every document.
 
-    Returns the redacted documents and the mapping table.  The text itself is
-    shuffled once, for the join with its own small list of items.
+    Returns the redacted documents and the mapping table.  Documents that cannot
+    hold a value pass straight through; the others are shuffled once, for the
+    join with their own small list of items.
     """
-    values = stash(corpus_values(df, id_col, text_col, kinds))  # the patterns run once
+    suspect = detect.has_shape(F.col(text_col), kinds)
+    suspects = df.where(suspect)
+    values = stash(corpus_values(suspects, id_col, text_col, kinds))  # the patterns run once
     mapping = corpus_mapping(values)
     pairs = lookup_join(
         values, mapping.select("kind", "original", "placeholder", "n_documents"),
@@ -199,16 +202,9 @@ def redact_corpus(
             F.struct((-F.length("original")).alias("shorter"), "kind", "original", "placeholder")
         ).alias("_items")
     )
-    redacted = (
-        df.join(items, id_col, "left")
-        .withColumn(
-            output_col,
-            F.when(F.col("_items").isNull(), F.col(text_col)).otherwise(
-                substitute(F.col(text_col), F.col("_items"))
-            ),
-        )
-        .drop("_items")
-    )
+    replaced = F.when(F.col("_items").isNull(), F.col(text_col)).otherwise(substitute(F.col(text_col), F.col("_items")))
+    touched = suspects.join(items, id_col, "left").withColumn(output_col, replaced).select(*df.columns, output_col)
+    redacted = touched.unionByName(df.where(~suspect).withColumn(output_col, F.col(text_col)))
     return redacted, mapping.select(
         F.lit("corpus").alias("scope_id"), "kind", "placeholder", "original"
     )

@@ -29,14 +29,26 @@ def _restore_by_map(text: Column, originals: Column) -> Column:
     )
 
 
+def _with_tokens(df: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Texts that hold a placeholder, and those that pass through without a join."""
+    marked = F.coalesce(F.col(text_col).rlike(PLACEHOLDER_TOKEN), F.lit(False))
+    return df.where(marked), df.where(~marked)
+
+
+def _finish(joined: DataFrame, untouched: DataFrame, text_col: str, output_col: str) -> DataFrame:
+    restored = joined.withColumn(output_col, _restore_by_map(F.col(text_col), F.col("_originals")))
+    return restored.select(*untouched.columns, output_col).unionByName(untouched.withColumn(output_col, F.col(text_col)))
+
+
 def restore_documents(df: DataFrame, mapping: DataFrame, id_col: str, text_col: str = "redacted", output_col: str = "restored") -> DataFrame:
     """Restore with document-scoped mappings: one join on the document id."""
+    marked, untouched = _with_tokens(df, text_col)
     per_document = mapping.groupBy("scope_id").agg(
         # The entries of one document, so no larger than the document.
         F.map_from_entries(F.collect_list(F.struct("placeholder", "original"))).alias("_originals")
     )
-    joined = df.join(per_document, F.col(id_col).cast("string") == F.col("scope_id"), "left")
-    return joined.withColumn(output_col, _restore_by_map(F.col(text_col), F.col("_originals"))).drop("_originals", "scope_id")
+    joined = marked.join(per_document, F.col(id_col).cast("string") == F.col("scope_id"), "left")
+    return _finish(joined, untouched, text_col, output_col)
 
 
 def restore_corpus(df: DataFrame, mapping: DataFrame, id_col: str, text_col: str = "redacted", output_col: str = "restored") -> DataFrame:
@@ -45,20 +57,16 @@ def restore_corpus(df: DataFrame, mapping: DataFrame, id_col: str, text_col: str
     Only the distinct tokens of each document meet the mapping, never the texts;
     a token that stands in a third of all documents is looked up by broadcast.
     """
-    text = F.col(text_col)
-    in_text = F.array_distinct(F.regexp_extract_all(text, F.lit(PLACEHOLDER_TOKEN), F.lit(0)))
-    tokens = each_value(df, in_text, "placeholder", id_col)
+    marked, untouched = _with_tokens(df, text_col)
+    in_text = F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(PLACEHOLDER_TOKEN), F.lit(0)))
+    tokens = each_value(marked, in_text, "placeholder", id_col)
     found = lookup_join(tokens, mapping.select("placeholder", "original"), ["placeholder"], ["original"], row_id=id_col)
     per_document = (
         found.where(F.col("original").isNotNull())
         .groupBy(id_col)
         .agg(F.map_from_entries(F.collect_list(F.struct("placeholder", "original"))).alias("_originals"))
     )
-    return (
-        df.join(per_document, id_col, "left")
-        .withColumn(output_col, _restore_by_map(text, F.col("_originals")))
-        .drop("_originals")
-    )
+    return _finish(marked.join(per_document, id_col, "left"), untouched, text_col, output_col)
 
 
 def unambiguous(mapping: DataFrame) -> DataFrame:

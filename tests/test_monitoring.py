@@ -29,14 +29,14 @@ def test_error_rate_and_alert(spark):
     rows = [(i, "xlsx", 1, 1.0, i >= 6) for i in range(100)] + [(i, "pdf", 1, 1.0, True) for i in range(5)] + [(-7200, "csv", 1, 1.0, False)]
     rates = monitor.error_rates(_events(spark, rows), F.lit(T0 + dt.timedelta(seconds=100)))
     by_type = {r["file_type"]: r["error_rate"] for r in rates.collect()}
-    assert by_type == {"xlsx": 0.06, "pdf": 0.0, "csv": 0.0}
+    assert by_type == {"xlsx": 0.06, "pdf": 0.0, "csv": 0.0, "docx": 0.0, "txt": 0.0}
     assert [r["message"] for r in monitor.error_rate_alerts(rates).collect()] == ["High error rate for xlsx"]
 
 
 def test_window_end_is_exclusive(spark):
     df = _events(spark, [(0, "csv", 1, 1.0, False), (3600, "csv", 1, 1.0, True)])
     now = F.lit(T0 + dt.timedelta(seconds=3600))
-    assert monitor.error_rates(df, now).first()["error_rate"] == 0.0
+    assert monitor.error_rates(df, now, file_types=["csv"]).first()["error_rate"] == 0.0
     assert {(r["ts"], r["n_jobs"]) for r in monitor.trailing_error_rates(df).collect()} == {(T0, 1), (T0 + dt.timedelta(hours=1), 1)}
 
 
