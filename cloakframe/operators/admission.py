@@ -26,32 +26,28 @@ def file_type(ext: Column) -> Column:
 
 
 def _megabytes(size: Column) -> Column:
-    return F.format_string("%.1f", size / F.lit(float(MB)))
+    return size / F.lit(float(MB))
 
 
 def reject_reason(filename: Column, size: Column, max_bytes: int = cat.MAX_FILE_BYTES) -> Column:
     """Why a file is refused, or NULL."""
     ext = extension(filename)
     return (
-        F.when(filename.isNull() | (filename == ""), F.lit("Geen bestand gevonden"))
-        .when(ext.isNull(), F.lit("Bestand heeft geen extensie"))
-        .when(~ext.isin(cat.ALLOWED_EXTENSIONS), F.concat(F.lit("Bestandstype ."), ext, F.lit(" niet toegestaan")))
+        F.when(filename.isNull() | (filename == ""), F.lit(cat.NO_FILE))
+        .when(ext.isNull(), F.lit(cat.NO_EXTENSION))
+        .when(~ext.isin(cat.ALLOWED_EXTENSIONS), F.format_string(cat.TYPE_REFUSED, ext))
         .when(
             size > max_bytes,
-            F.concat(
-                F.lit("Bestand te groot ("), _megabytes(size),
-                F.lit(f"MB). Maximum toegestaan is {max_bytes // MB}MB. Split bestand of neem contact op."),
-            ),
+            F.format_string(cat.TOO_LARGE, _megabytes(size), F.lit(max_bytes // MB)),
         )
-        .when(size == 0, F.lit("Bestand is leeg"))
+        .when(size == 0, F.lit(cat.FILE_EMPTY))
     )
 
 
 def size_warning(size: Column) -> Column:
     """Warning text for large files, or NULL."""
-    band = F.when(size < cat.VERY_LARGE_FILE_BYTES, F.lit("10-30 seconden")).otherwise(F.lit("30-60 seconden"))
-    text = F.concat(F.lit("Groot bestand ("), _megabytes(size), F.lit("MB) - verwerking kan "), band, F.lit(" duren"))
-    return F.when(size > cat.LARGE_FILE_BYTES, text)
+    band = F.when(size < cat.VERY_LARGE_FILE_BYTES, cat.LARGE_FILE_TIME).otherwise(cat.VERY_LARGE_FILE_TIME)
+    return F.when(size > cat.LARGE_FILE_BYTES, F.format_string(cat.LARGE_FILE_WARNING, _megabytes(size), band))
 
 
 def magic_type(content: Column) -> Column:
@@ -65,16 +61,13 @@ def magic_agrees(content: Column, ext: Column) -> Column:
     return magic_type(content) == family
 
 
-ENCODING_WARNING = "Bestand gebruikt niet-UTF-8 encoding. Dit kan leiden tot encoding problemen."
-
-
 def is_utf8(content: Column) -> Column:
     """Whole content, not only its head."""
     return F.is_valid_utf8(content.cast("string"))
 
 
 def encoding_warning(content: Column) -> Column:
-    return F.when(~is_utf8(content), F.lit(ENCODING_WARNING))
+    return F.when(~is_utf8(content), F.lit(cat.ENCODING_WARNING))
 
 
 def decode_text(content: Column) -> Column:
@@ -122,11 +115,11 @@ def json_depth(value: Column) -> Column:
 def json_problem(value: Column, required: list[str], max_depth: int = cat.MAX_JSON_DEPTH) -> Column:
     """Why a JSON payload is refused, or NULL."""
     keys = F.json_object_keys(value)
-    problem = F.when(value.isNull() | keys.isNull(), F.lit("Data moet een object zijn"))
+    problem = F.when(value.isNull() | keys.isNull(), F.lit(cat.NOT_AN_OBJECT))
     for name in required:
-        problem = problem.when(~F.array_contains(keys, name), F.lit(f"Required field '{name}' ontbreekt"))
+        problem = problem.when(~F.array_contains(keys, name), F.lit(cat.FIELD_MISSING % name))
     return problem.when(
-        json_depth(value) > max_depth, F.lit(f"JSON te diep genest (max {max_depth} levels)")
+        json_depth(value) > max_depth, F.lit(cat.JSON_TOO_DEEP % max_depth)
     )
 
 
@@ -143,7 +136,7 @@ def with_admission(
     if content_col and check_magic:
         disagrees = ~magic_agrees(F.col(content_col), F.col("extension"))
         reason = F.coalesce(
-            reason, F.when(disagrees, F.concat(F.lit("Extensie ."), F.col("extension"), F.lit(" komt niet overeen met de inhoud")))
+            reason, F.when(disagrees, F.format_string(cat.CONTENT_DISAGREES, "extension"))
         )
     earlier = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
     warnings = [size_warning(size)]
@@ -170,7 +163,7 @@ def selected_sheets(chosen: Column, existing: Column) -> Column:
         F.filter(chosen, lambda name: F.array_contains(existing, name))
     )
     return F.when(F.size(kept) > 0, kept).otherwise(
-        F.raise_error(F.lit("No valid sheets selected for processing")).cast("array<string>")
+        F.raise_error(F.lit(cat.NO_VALID_SHEETS)).cast("array<string>")
     )
 
 

@@ -258,7 +258,7 @@ def rejection(rule: ColumnRule, detected: str) -> str | None:
     kind = rule.anonymization_type
     needed = REQUIRED_TYPE.get(kind)
     if needed and detected != needed:
-        return f"Type mismatch: Cannot apply '{kind}' to '{detected}' column '{rule.column_name}'"
+        return cat.TYPE_MISMATCH % (kind, detected, rule.column_name)
     if kind != "shuffle" and kind not in TRANSFORMATIONS.get(rule.column_type, set()):
         return f"No transformation '{kind}' for declared type '{rule.column_type}' of column '{rule.column_name}'"
     return None

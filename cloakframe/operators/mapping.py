@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keyed import as_column
-from .numbering import lookup_join, number_rows
+from .numbering import BROADCAST_BYTES, lookup_bytes, lookup_join, number_rows, stash
 
 MAPPING_JSON = "mappings map<string,string>, total_items bigint, version string"
 MAPPING_VERSION = "1.0"
@@ -52,10 +52,15 @@ def allocate(values: DataFrame, mapping: DataFrame, prefix: str = "ITEM", scope:
 
     ``values`` has ``original`` and ``seen`` (its order of appearance).  Values
     are reduced to one row each before the anti-join, so a frequent value costs
-    one row.  Numbers go on after the highest one in use.
+    one row.  A batch of checked small size goes to the mapping, so that a large
+    mapping is scanned and not shuffled.  Numbers go on after the highest in use.
     """
     first_seen = values.where(F.col("original").isNotNull()).groupBy("original").agg(F.min("seen").alias("seen"))
-    unknown = first_seen.join(mapping.select("original"), "original", "left_anti")
+    first_seen = stash(first_seen)
+    known = mapping.select("original")
+    if lookup_bytes(first_seen, ["original"]) <= BROADCAST_BYTES:
+        known = known.join(F.broadcast(first_seen.select("original")), "original", "left_semi")
+    unknown = first_seen.join(known, "original", "left_anti")
     numbered = number_rows(unknown, ["seen", "original"], start=last_number(mapping) + 1)
     return numbered.select(
         F.lit(scope).alias("scope_id"),

@@ -156,9 +156,9 @@ def slow_verdict(events: DataFrame) -> DataFrame:
     )
     return counts.withColumn(
         "verdict",
-        F.when(F.col("n_very_slow") > 0, F.concat(F.col("n_very_slow").cast("string"), F.lit(" operations took >60s (alert threshold)")))
-        .when(F.col("n_slow") > 0, F.concat(F.col("n_slow").cast("string"), F.lit(" operations took >30s (warning threshold)")))
-        .otherwise(F.lit("All operations completed within acceptable time")),
+        F.when(F.col("n_very_slow") > 0, F.format_string(cat.VERDICT_ALERT, "n_very_slow"))
+        .when(F.col("n_slow") > 0, F.format_string(cat.VERDICT_WARNING, "n_slow"))
+        .otherwise(F.lit(cat.VERDICT_GOOD)),
     )
 
 
@@ -182,8 +182,8 @@ def duration_alerts(events: DataFrame) -> DataFrame:
         "file_type",
         size_bracket(F.col("size_bytes")).alias("size_bracket"),
         F.when(d > cat.DURATION_ALERT_SECONDS, "alert").otherwise("duration_warning").alias("metric_type"),
-        F.when(d > cat.DURATION_ALERT_SECONDS, f"Processing duration exceeded {cat.DURATION_ALERT_SECONDS}s")
-        .otherwise("processing_slow")
+        F.when(d > cat.DURATION_ALERT_SECONDS, cat.DURATION_ALERT)
+        .otherwise(cat.DURATION_WARNING)
         .alias("message"),
         F.when(d > cat.DURATION_ALERT_SECONDS, F.round(d, 3)).otherwise(F.round(d, 2)).alias("value"),
     )
@@ -202,7 +202,7 @@ def memory_alerts(events: DataFrame) -> DataFrame:
 
 def error_rate_alerts(rates: DataFrame, threshold: float = cat.ERROR_RATE_THRESHOLD) -> DataFrame:
     return rates.where(F.col("error_rate") > threshold).withColumn(
-        "message", F.concat(F.lit("High error rate for "), F.col("file_type"))
+        "message", F.format_string(cat.ERROR_RATE_ALERT, "file_type")
     )
 
 
@@ -213,7 +213,7 @@ def slowest_jobs(events: DataFrame, n: int = 10, tie_break: str = "ts") -> DataF
 
 # --- totals over rule logs ---------------------------------------------------
 
-AUTO_RULES = ["auto_phone", "auto_email"]
+AUTO_RULES = [cat.PHONE_LOG[0], cat.EMAIL_LOG[0]]
 
 
 def is_auto(rule_id: Column) -> Column:
@@ -228,8 +228,8 @@ def job_totals(logs: DataFrame) -> DataFrame:
         return F.coalesce(F.sum(F.when(condition, count)), F.lit(0))
 
     totals = logs.agg(
-        total(rule == "auto_phone").alias("total_phones"),
-        total(rule == "auto_email").alias("total_emails"),
+        total(rule == cat.PHONE_LOG[0]).alias("total_phones"),
+        total(rule == cat.EMAIL_LOG[0]).alias("total_emails"),
         total(~is_auto(rule)).alias("total_manual_replacements"),
     )
     return totals.withColumn("total_items", F.col("total_phones") + F.col("total_emails") + F.col("total_manual_replacements"))

@@ -91,13 +91,13 @@ def java_replacement(template: str) -> str:
 def lint_pattern(pattern: str, max_length: int = cat.MAX_PATTERN_LENGTH) -> str | None:
     """Reason to refuse a pattern, or None."""
     if len(pattern) > max_length:
-        return f"Pattern te lang (max {max_length} karakters)"
+        return cat.PATTERN_TOO_LONG % max_length
     if any(re.search(shape, pattern) for shape in cat.DANGEROUS_SHAPES):
-        return "Mogelijk gevaarlijk regex pattern gedetecteerd"
+        return cat.PATTERN_DANGEROUS
     try:
         re.compile(pattern)
     except re.error as e:
-        return f"Ongeldig regex pattern: {e}"
+        return cat.PATTERN_INVALID % e
     return None
 
 
@@ -159,7 +159,7 @@ def plan_rules(spark: SparkSession, rules: list) -> list[_Step]:
     for rule in parse_rules(rules):
         if not rule.original_term:
             if rule.is_regex:
-                steps.append(_Step(rule, "(Lege Regex - Overgeslagen)"))
+                steps.append(_Step(rule, cat.EMPTY_REGEX_SKIPPED))
             continue
         flags = regex_flags(not rule.case_sensitive)
         if not rule.is_regex:
@@ -174,7 +174,7 @@ def plan_rules(spark: SparkSession, rules: list) -> list[_Step]:
             except re.error:
                 usable = False
             if not usable:
-                steps.append(_Step(rule, f"FOUT: {rule.original_term}"))
+                steps.append(_Step(rule, cat.BROKEN_REGEX % rule.original_term))
                 continue
         steps.append(_Step(rule, rule.shown_pattern, pattern, "" if rule.remove else replacement))
     return steps

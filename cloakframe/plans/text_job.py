@@ -12,12 +12,13 @@ from ..operators.redact import redact_fixed, redact_reversible, replace_emails,
 from ..operators.rules import RULE_LOG_TYPE, apply_rules, fill_default, parse_rules
 
 
-def _auto_entry(rule_id: str, label: str, pattern: str, shown: Column, count: Column) -> Column:
+def _auto_entry(fixed: tuple[str, str, str], suffix: str, shown: Column, count: Column) -> Column:
+    rule_id, label, pattern = fixed
     return F.when(
         count > 0,
         F.struct(
             F.lit(rule_id).alias("ruleId"),
-            F.lit(label).alias("originalTermDisplay"),
+            F.lit(label + suffix).alias("originalTermDisplay"),
             F.lit(pattern).alias("appliedPattern"),
             shown.alias("replacedWith"),
             count.alias("count"),
@@ -27,16 +28,16 @@ def _auto_entry(rule_id: str, label: str, pattern: str, shown: Column, count: Co
 
 def auto_log(report: Column, reversible: bool, phone_placeholder: str, email_placeholder: str) -> Column:
     """Log entries of the automatic redaction, one per kind that occurs."""
-    suffix = " (reversible)" if reversible else ""
+    suffix = cat.REVERSIBLE_SUFFIX if reversible else ""
     phones, emails = report["phone_numbers"]["count"], report["emails"]["count"]
 
     def shown(count: Column, placeholder: str) -> Column:
-        return F.concat(count.cast("string"), F.lit(" unieke placeholder(s)")) if reversible else F.lit(placeholder)
+        return F.format_string(cat.UNIQUE_PLACEHOLDERS, count) if reversible else F.lit(placeholder)
 
     return F.array_compact(
         F.array(
-            _auto_entry("auto_phone", f"Automatische telefoon detectie{suffix}", "NL Telefoon Patterns", shown(phones, phone_placeholder), phones),
-            _auto_entry("auto_email", f"Automatische email detectie{suffix}", "Email Patterns", shown(emails, email_placeholder), emails),
+            _auto_entry(cat.PHONE_LOG, suffix, shown(phones, phone_placeholder), phones),
+            _auto_entry(cat.EMAIL_LOG, suffix, shown(emails, email_placeholder), emails),
         )
     ).cast(RULE_LOG_TYPE)
 
@@ -97,7 +98,7 @@ def preview_texts(documents: DataFrame, id_col: str, text_col: str = "text", err
 def batch_results(processed: DataFrame, failed: DataFrame, id_col: str, name_col: str = "original_name") -> DataFrame:
     """``(id, original_name, status, error)`` for the whole batch."""
     ok = processed.select(id_col, name_col, F.lit("anonymized").alias("status"), F.lit(None).cast("string").alias("error"))
-    bad = failed.select(id_col, F.coalesce(name_col, F.lit("Unknown")).alias(name_col), F.lit("error").alias("status"), "error")
+    bad = failed.select(id_col, F.coalesce(name_col, F.lit(cat.UNKNOWN_NAME)).alias(name_col), F.lit("error").alias("status"), "error")
     return ok.unionByName(bad)
 
 
@@ -108,6 +109,6 @@ def route_by_type(files: DataFrame, type_col: str = "file_type") -> dict[str, Da
         "text": files.where(kind.isin("txt", "docx")),
         "table": files.where(kind == "xlsx"),
         "unsupported": files.where(~kind.isin("txt", "docx", "xlsx")).withColumn(
-            "error", F.concat(F.lit("Niet ondersteund bestandstype: "), kind)
+            "error", F.format_string(cat.UNSUPPORTED_TYPE, kind)
         ),
     }

@@ -102,7 +102,7 @@ def alert_events(alerts: DataFrame) -> DataFrame:
         F.col("ts").alias("timestamp"),
         F.lit("CRITICAL").alias("level"),
         F.lit("metrics").alias("logger"),
-        F.concat(F.lit("ALERT: "), "message", F.lit(" (value: "), F.format_string("%.3f", value), F.lit(")")).alias("message"),
+        F.format_string(cat.ALERT_LINE, "message", value).alias("message"),
         F.lit("alert").alias("metric_type"),
         "file_type",
         "size_bracket",

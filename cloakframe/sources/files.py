@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import catalogue as cat
 from ..operators.admission import decode_text
 
 
@@ -59,7 +60,7 @@ def file_catalogue(spark: SparkSession, path: str, glob: str = "*") -> DataFrame
     )
 
 
-def with_original_name(files: DataFrame, metadata: DataFrame, id_col: str, default: Column | str = "Unknown") -> DataFrame:
+def with_original_name(files: DataFrame, metadata: DataFrame, id_col: str, default: Column | str = cat.UNKNOWN_NAME) -> DataFrame:
     """Left join with ``(id, original_name)``; a missing name becomes the default."""
     fallback = default if isinstance(default, Column) else F.lit(default)
     return files.join(metadata.select(id_col, "original_name"), id_col, "left").withColumn(

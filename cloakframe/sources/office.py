@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import catalogue as cat
+
 RUN_SCHEMA = "path string, part string, para_idx int, run_idx int, text string, error string"
 TEXT_SCHEMA = "path string, text string, error string"
 CELL_SCHEMA = (
@@ -33,11 +35,11 @@ R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 def _open(content: bytes, kind: str) -> zipfile.ZipFile:
     if bytes(content[:4]) == b"\xd0\xcf\x11\xe0":  # an encrypted file sits in an OLE container
-        raise ValueError(f"{kind} is wachtwoord-beveiligd. Verwijder wachtwoord eerst.")
+        raise ValueError(cat.PASSWORD_PROTECTED % kind)
     try:
         return zipfile.ZipFile(io.BytesIO(content))
     except zipfile.BadZipFile:
-        raise ValueError(f"{kind} is corrupt (geen valide ZIP)") from None
+        raise ValueError(cat.NO_VALID_ZIP % kind) from None
 
 
 def _run_text(run) -> str:
@@ -47,7 +49,7 @@ def _run_text(run) -> str:
 
 def _docx_runs(content: bytes) -> Iterator[tuple[str, int, int, str]]:
     """``(part, paragraph, run, text)``: body, then tables, headers and footers."""
-    with _open(content, "Word document") as z:
+    with _open(content, cat.WORD_FILE) as z:
         names = z.namelist()
         parts = [("body", "word/document.xml")] + [
             (kind, n) for kind in ("header", "footer") for n in sorted(names) if re.fullmatch(rf"word/{kind}\d*\.xml", n)
@@ -119,7 +121,7 @@ def _cell(c, shared: list[str], date_styles: set[int]) -> tuple[str | None, str]
 
 def _xlsx_cells(content: bytes) -> Iterator[tuple]:
     """``(sheet, sheet_idx, row, col, header, value, type)`` of the cells that hold a value."""
-    with _open(content, "Excel bestand") as z:
+    with _open(content, cat.EXCEL_FILE) as z:
         names = set(z.namelist())
         shared = []
         if "xl/sharedStrings.xml" in names:
@@ -174,7 +176,7 @@ def _parser(read, columns: list[str], kind: str):
                 except ValueError as e:
                     yield (path, *[None] * width, str(e))
                 except Exception as e:  # malformed XML, missing parts, ...
-                    yield (path, *[None] * width, f"{kind} kan niet worden gelezen: {e}")
+                    yield (path, *[None] * width, cat.UNREADABLE % (kind, e))
 
     return lambda frames: _batches(rows(frames), columns)
 
@@ -185,17 +187,17 @@ def _names(schema: str) -> list[str]:
 
 def read_docx_runs(files: DataFrame) -> DataFrame:
     """Runs of DOCX files: ``path, part, para_idx, run_idx, text, error``."""
-    return files.select("path", "content").mapInPandas(_parser(_docx_runs, _names(RUN_SCHEMA), "Word document"), RUN_SCHEMA)
+    return files.select("path", "content").mapInPandas(_parser(_docx_runs, _names(RUN_SCHEMA), cat.WORD_FILE), RUN_SCHEMA)
 
 
 def read_docx_texts(files: DataFrame) -> DataFrame:
     """Body text per DOCX file, paragraphs joined by line breaks: ``path, text, error``."""
-    return files.select("path", "content").mapInPandas(_parser(_docx_text, _names(TEXT_SCHEMA), "Word document"), TEXT_SCHEMA)
+    return files.select("path", "content").mapInPandas(_parser(_docx_text, _names(TEXT_SCHEMA), cat.WORD_FILE), TEXT_SCHEMA)
 
 
 def read_xlsx_cells(files: DataFrame) -> DataFrame:
     """Cells of XLSX files in long form; row 1 holds the headers."""
-    return files.select("path", "content").mapInPandas(_parser(_xlsx_cells, _names(CELL_SCHEMA), "Excel bestand"), CELL_SCHEMA)
+    return files.select("path", "content").mapInPandas(_parser(_xlsx_cells, _names(CELL_SCHEMA), cat.EXCEL_FILE), CELL_SCHEMA)
 
 
 def only_sheets(cells: DataFrame, sheets: list[str] | None) -> DataFrame:

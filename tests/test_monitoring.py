@@ -115,6 +115,26 @@ def test_stream_equals_batch_over_many_batches(spark, tmp_path):
     assert final.exceptAll(batch).count() == 0 and batch.exceptAll(final).count() == 0
 
 
+def test_rows_later_than_the_watermark_are_dropped(spark, tmp_path):
+    import os
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    hour = 3600
+    batches = [[(0, "csv", 1, 1.0, True), (60 * hour, "csv", 1, 1.0, True)], [(61 * hour, "csv", 1, 1.0, False)], [(hour, "laat", 1, 1.0, False), (59 * hour, "op tijd", 1, 1.0, True)]]
+    for i, rows in enumerate(batches):
+        events = _events(spark, rows)
+        events.coalesce(1).write.parquet(str(tmp_path / f"b{i}"))
+        target = folder / f"{i}.parquet"
+        target.write_bytes(next((tmp_path / f"b{i}").glob("*.parquet")).read_bytes())
+        os.utime(target, (1_700_000_000 + i, 1_700_000_000 + i))
+    out = str(tmp_path / "out")
+    stream = streaming.read_stream(spark, str(folder), events.schema, files_per_trigger=1)
+    streaming.upsert_to(streaming.sliding_error_rate(stream), out, out + "-c").awaitTermination()
+    kinds = {r["file_type"] for r in streaming.latest(spark.read.parquet(out), ["window_start", "window_end", "file_type"]).collect()}
+    assert kinds == {"csv", "op tijd"}
+
+
 def test_placeholders_hold_across_batches_and_repeats(spark, tmp_path):
     values = spark.createDataFrame([(f"v{i % 40}", i) for i in range(400)], "original string, seen long")
     folder = _files(values, tmp_path / "in", 5)

@@ -11,7 +11,7 @@ from cloakframe.sources import config
 
 from .inputs import (
     IDENTITIES_SQL, MESSAGES_SQL, NOTES_SQL, from_sql, identities, in_duck, lit, messages, notes, sql_all, sql_emails,
-    sql_findings, sql_phones, sql_scored, sql_valid_bsn, sql_valid_iban, sql_valid_postal, table, texts,
+    sql_findings, sql_phones, sql_scored, sql_valid_bsn, sql_valid_iban, sql_valid_postal, texts,
 )
 from .registry import query
 

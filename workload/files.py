@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cloakframe.functions import text as text_functions
-from cloakframe.functions import validators
 from cloakframe.functions import catalogue as cat
 from cloakframe.operators import admission, detect, rules
 from cloakframe.operators.numbering import scratch_path
@@ -17,7 +16,7 @@ from cloakframe.plans import text_job
 from cloakframe.sinks import writers
 from cloakframe.sources import config, files, logs, office
 
-from .inputs import JOBS_SQL, MESSAGES_SQL, NOTES_SQL, UPLOADS_SQL, from_sql, jobs, lit, messages, notes, sql_emails, sql_redacted, table, texts, uploads
+from .inputs import JOBS_SQL, MESSAGES_SQL, NOTES_SQL, UPLOADS_SQL, from_sql, jobs, messages, notes, sql_emails, sql_redacted, table, texts, uploads
 from .registry import query
 
 # --- texts and tables on disk -----------------------------------------------------

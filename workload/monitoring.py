@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from cloakframe.operators import monitor, rules
 from cloakframe.plans import text_job
 
-from .inputs import JOBS_SQL, MESSAGES_SQL, jobs, messages, sql_emails, sql_phones, table, texts
+from .inputs import JOBS_SQL, MESSAGES_SQL, jobs, messages, sql_emails, sql_phones, texts
 from .registry import query
 
 NOW = "timestamp '2024-01-20 12:00:00'"

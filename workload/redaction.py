@@ -8,7 +8,7 @@ from cloakframe.plans import text_job
 
 from .inputs import (
     IDENTITIES_SQL, MESSAGES_SQL, NOTES_SQL, UPLOADS_SQL, identities, messages, notes, sql_all, sql_emails, sql_phones,
-    sql_redacted, sql_valid_bsn, sql_valid_iban, table, texts, uploads,
+    sql_redacted, sql_valid_bsn, sql_valid_iban, texts, uploads,
 )
 from .registry import query
 
