@@ -112,6 +112,30 @@ def _sql_finders() -> dict[str, str]:
     return bodies
 
 
+def _sql_find_pii(finders: dict[str, str]) -> str:
+    """Body of ``find_pii``: all findings of the default registry with their confidence."""
+    finder_of = {
+        "detect_phones": ("find_phones", cat.PHONE_CONFIDENCE), "detect_emails": ("find_emails", cat.EMAIL_CONFIDENCE),
+        "detect_bsn": ("find_bsns", cat.BSN_CONFIDENCE), "detect_iban": ("find_ibans", cat.IBAN_CONFIDENCE),
+        "detect_postal_codes": ("find_postal_codes", cat.POSTAL_CONFIDENCE),
+    }
+    place = "position(found, value)"
+    snippet = (
+        f"lower(substr(value, greatest(1, {place} - 50), "
+        f"least(length(value), {place} - 1 + 50) - greatest(0, {place} - 1 - 50)))"
+    )
+    parts = []
+    for name, entry in cat.REGISTRY.items():
+        finder, base = finder_of[entry["detector_function"]]
+        words = ", ".join(_sql_string(w) for w in entry["context_words"])
+        raised = min(1.0, base + entry["confidence_boost"])
+        parts.append(
+            f"transform({finders[finder]}, found -> named_struct('pattern', {_sql_string(name)}, 'match', found, "
+            f"'confidence', if(exists(array({words}), w -> contains({snippet}, w)), {raised}D, {base}D)))"
+        )
+    return f"concat({', '.join(parts)})"
+
+
 def register_sql_functions(spark: SparkSession) -> list[str]:
     """Make the predicates and finders callable from SQL in this session."""
     for name, body in _SQL_FUNCTIONS.items():
@@ -122,4 +146,8 @@ def register_sql_functions(spark: SparkSession) -> list[str]:
     finders = _sql_finders()
     for name, body in finders.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(value STRING) RETURNS ARRAY<STRING> RETURN {body}")
-    return [*_SQL_FUNCTIONS, *finders]
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION find_pii(value STRING) "
+        f"RETURNS ARRAY<STRUCT<pattern: STRING, match: STRING, confidence: DOUBLE>> RETURN {_sql_find_pii(finders)}"
+    )
+    return [*_SQL_FUNCTIONS, *finders, "find_pii"]

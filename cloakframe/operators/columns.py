@@ -187,7 +187,11 @@ def permuted_values(df: DataFrame, column: str, row_id: str, salt) -> DataFrame:
 
 
 def shuffle_column(df: DataFrame, column: str, row_id: str | None, salt) -> DataFrame:
-    """Permute one column over all rows; the multiset of values (nulls too) is kept."""
+    """Permute one column over all rows; the multiset of values (nulls too) is kept.
+
+    ``row_id`` names a column that is unique and never NULL; without one the rows
+    are written once with an id of their own.
+    """
     if row_id is None:
         df = stash(df.withColumn("_row", F.monotonically_increasing_id()))
         return shuffle_column(df, column, "_row", salt).drop("_row")

@@ -51,16 +51,20 @@ def restore_documents(df: DataFrame, mapping: DataFrame, id_col: str, text_col:
     return _finish(joined, untouched, text_col, output_col)
 
 
-def restore_corpus(df: DataFrame, mapping: DataFrame, id_col: str, text_col: str = "redacted", output_col: str = "restored") -> DataFrame:
-    """Restore with one corpus-wide mapping of any size.
+def restore_corpus(
+    df: DataFrame, mapping: DataFrame, id_col: str, text_col: str = "redacted", output_col: str = "restored", scope_col: str | None = None
+) -> DataFrame:
+    """Restore with one corpus-wide mapping of any size, or one per ``scope_col`` (e.g. a session).
 
     Only the distinct tokens of each document meet the mapping, never the texts;
     a token that stands in a third of all documents is looked up by broadcast.
     """
     marked, untouched = _with_tokens(df, text_col)
     in_text = F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(PLACEHOLDER_TOKEN), F.lit(0)))
-    tokens = each_value(marked, in_text, "placeholder", id_col)
-    found = lookup_join(tokens, mapping.select("placeholder", "original"), ["placeholder"], ["original"], row_id=id_col)
+    scope = [F.col(scope_col).cast("string").alias("scope_id")] if scope_col else []
+    tokens = each_value(marked, in_text, "placeholder", id_col, *scope)
+    keys = ["scope_id", "placeholder"] if scope_col else ["placeholder"]
+    found = lookup_join(tokens, mapping.select(*keys, "original"), keys, ["original"], row_id=id_col)
     per_document = (
         found.where(F.col("original").isNotNull())
         .groupBy(id_col)

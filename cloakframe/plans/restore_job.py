@@ -20,13 +20,17 @@ def open_mapping(mapping: DataFrame, key=None) -> DataFrame:
 
 
 def restore_texts(
-    df: DataFrame, mapping: DataFrame, id_col: str, text_col: str = "redacted", key=None, scope: str = "document"
+    df: DataFrame, mapping: DataFrame, id_col: str, text_col: str = "redacted", key=None, scope: str = "document", scope_col: str | None = None
 ) -> DataFrame:
-    """Adds ``restored``.  ``scope`` says whether the mapping is per document or for the corpus."""
+    """Adds ``restored``.
+
+    ``scope`` says whether the mapping is per document or for the whole corpus;
+    with ``scope_col`` the corpus has one mapping per value of that column.
+    """
     plain = open_mapping(mapping, key)
     if scope == "document":
         return restore_documents(df, plain, id_col, text_col)
-    return restore_corpus(df, plain, id_col, text_col)
+    return restore_corpus(df, plain, id_col, text_col, scope_col=scope_col)
 
 
 def restore_audit(df: DataFrame, session_id: Column, ts: Column, name_col: str, type_col: str, n_mappings: Column, encrypted: bool) -> DataFrame:

@@ -202,6 +202,21 @@ def validity_by_sql_function(spark, sf):
     )
 
 
+@query(
+    "findings_by_sql_function",
+    f"select doc_id, pattern, match, confidence from ({sql_scored(NOTES_SQL + ' as n')}) as s",
+)
+def findings_by_sql_function(spark, sf):
+    validators.register_sql_functions(spark)
+    return spark.sql(
+        """
+        select doc_id, f.* from (select doc_id, find_pii(text) as found from {notes})
+        lateral view outer explode(found) t as f where f is not null
+        """,
+        notes=notes(spark, sf),
+    )
+
+
 @query(
     "findings_by_lateral_view",
     f"select doc_id, pattern, match from ({sql_findings(NOTES_SQL + ' as n')}) as f",

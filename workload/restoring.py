@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from cloakframe.operators import columns, mapping, redact, restore
-from cloakframe.operators.numbering import scratch_path, stash
+from cloakframe.operators.numbering import number_rows, scratch_path, stash
 from cloakframe.plans import restore_job
 from cloakframe.sinks import writers
 from cloakframe.sources import files
@@ -146,6 +146,19 @@ def restore_corpus(spark, sf):
     return restore.restore_corpus(stash(redacted.select("doc_id", "redacted")), known, "doc_id").select("doc_id", "restored")
 
 
+@query("restore_by_session", "select o_orderkey, concat('klant ', cast(o_custkey as varchar), ' van ', o_orderpriority) as restored from orders")
+def restore_by_session(spark, sf):
+    """Sessions (order priorities) number their customers on their own, so placeholders repeat across sessions."""
+    orders = table(spark, sf, "orders").withColumn("session", F.col("o_orderpriority"))
+    numbered = number_rows(orders.select("session", "o_custkey").distinct(), ["session", "o_custkey"], restart_by="session")
+    customers_of = numbered.withColumn("placeholder", F.format_string("[ITEM_%d]", "n"))
+    text = F.concat(F.lit("klant "), "placeholder", F.lit(" van "), "session")
+    redacted = stash(orders.join(customers_of, ["session", "o_custkey"]).select("o_orderkey", "session", text.alias("redacted")))
+    known = customers_of.select(F.col("session").alias("scope_id"), "placeholder", F.col("o_custkey").cast("string").alias("original"))
+    out = restore_job.restore_texts(redacted, known, "o_orderkey", scope="corpus", scope_col="session")
+    return out.select("o_orderkey", "restored")
+
+
 @query("restore_in_row", f"select doc_id, text as restored from {MESSAGES_SQL} as m")
 def restore_in_row(spark, sf):
     redacted = redact.redact_reversible(messages(spark, sf))
