@@ -102,8 +102,8 @@ def _sql_finders() -> dict[str, str]:
         "find_postal_codes": ("is_valid_postal_code", cat.POSTAL_PATTERNS),
     }
     bodies = {
-        "find_phones": f"array_sort(array_distinct({_sql_matches(cat.PHONE_PATTERNS)}))",
-        "find_emails": f"array_sort(array_distinct({_sql_matches(cat.EMAIL_PATTERNS)}))",
+        "find_phones": f"sort_array(array_distinct({_sql_matches(cat.PHONE_PATTERNS)}))",
+        "find_emails": f"sort_array(array_distinct({_sql_matches(cat.EMAIL_PATTERNS)}))",
     }
     for name, (check, patterns) in checked.items():
         # A SQL function cannot be called inside a lambda, so its body is written out.

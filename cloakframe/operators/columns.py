@@ -431,7 +431,7 @@ def table_preview(df: DataFrame, name: str = "Sheet1", index: int = 0, rows: int
     cells = F.array(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns])
     first = head.select(
         F.struct(*[F.col(c) for c in order], cells.alias("cells")).alias("line")
-    ).agg(F.transform(F.array_sort(F.collect_list("line")), lambda x: x["cells"]).alias("preview"))
+    ).agg(F.transform(F.sort_array(F.collect_list("line")), lambda x: x["cells"]).alias("preview"))
     counted = df.agg(F.count("*").alias("rows"))
     return counted.withColumn("_one", F.lit(1)).join(first.withColumn("_one", F.lit(1)), "_one").select(
         F.lit(name).alias("name"),

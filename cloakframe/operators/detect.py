@@ -88,12 +88,12 @@ def find_phones(text: Column) -> Column:
         else matches_of(text, [(name, regex)])
         for name, regex in cat.PHONE_PATTERNS
     ]
-    return _guarded(has_phone_shape(text), F.array_sort(F.array_distinct(F.concat(*found))))
+    return _guarded(has_phone_shape(text), F.sort_array(F.array_distinct(F.concat(*found))))
 
 
 def find_emails(text: Column) -> Column:
     """Distinct e-mail addresses in code-point order."""
-    found = F.array_sort(F.array_distinct(matches_of(text, cat.EMAIL_PATTERNS)))
+    found = F.sort_array(F.array_distinct(matches_of(text, cat.EMAIL_PATTERNS)))
     return _guarded(has_email_shape(text), found)
 
 

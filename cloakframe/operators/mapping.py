@@ -101,7 +101,7 @@ def export_json(mapping: DataFrame, entries_per_object: int = 100_000) -> DataFr
     return keyed.groupBy("scope_id", "part").agg(
         F.to_json(
             F.struct(
-                F.map_from_entries(F.array_sort(F.collect_list(F.struct("placeholder", "original")))).alias("mappings"),
+                F.map_from_entries(F.sort_array(F.collect_list(F.struct("placeholder", "original")))).alias("mappings"),
                 F.count("*").alias("total_items"),
                 F.lit(MAPPING_VERSION).alias("version"),
             )

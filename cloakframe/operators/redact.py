@@ -103,7 +103,7 @@ def _numbered(values: Column, kind: str, kind_order: int) -> Column:
 
 def _distinct_values(text: Column, kind: str) -> Column:
     found = FINDERS[kind](text)
-    return found if kind in DEFAULT_KINDS else F.array_sort(F.array_distinct(found))
+    return found if kind in DEFAULT_KINDS else F.sort_array(F.array_distinct(found))
 
 
 def substitute(text: Column, items: Column) -> Column:
@@ -113,7 +113,7 @@ def substitute(text: Column, items: Column) -> Column:
     fields ``original`` and ``placeholder``.
     """
     return F.aggregate(
-        F.array_sort(items), text, lambda acc, item: F.replace(acc, item["original"], item["placeholder"])
+        F.sort_array(items), text, lambda acc, item: F.replace(acc, item["original"], item["placeholder"])
     )
 
 

@@ -228,7 +228,7 @@ def sheet_previews(cells: DataFrame, rows: int = 5) -> DataFrame:
     shown = F.col("row_idx").between(2, rows + 1)
     heads = cells.where("error is null").groupBy("path", "sheet", "sheet_idx").agg(
         F.greatest(F.max("row_idx") - 1, F.lit(0)).alias("rows"),
-        F.array_sort(F.collect_list(F.when(header, F.struct("col_idx", "header")))).alias("heads"),
+        F.sort_array(F.collect_list(F.when(header, F.struct("col_idx", "header")))).alias("heads"),
         F.collect_list(F.when(shown, F.struct("row_idx", "col_idx", "value"))).alias("cells"),
         F.max(F.when(shown, F.col("row_idx"))).alias("last"),
     )

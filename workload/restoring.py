@@ -97,7 +97,7 @@ def mapping_json_per_document(spark, sf):
     out = redact.redact_reversible(notes(spark, sf)).withColumn("json", mapping.mapping_json(F.col("mapping")))
     parsed = out.withColumn("m", F.from_json("json", mapping.MAPPING_JSON))
     entries = F.transform(F.map_entries("m.mappings"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    return parsed.select("doc_id", "m.total_items", "m.version", F.array_join(F.array_sort(entries), "|").alias("entries"))
+    return parsed.select("doc_id", "m.total_items", "m.version", F.array_join(F.sort_array(entries), "|").alias("entries"))
 
 
 @query("mapping_export_import", f"select scope_id, placeholder, original from {KNOWN_SQL} as k")
