@@ -1,3 +1,71 @@
-"""Queries of the training-data operators."""
+"""From raw documents to packed training batches, one written table per stage.
 
-from cloakframe.llm.queries import QUERIES, SQL  # noqa: F401
+Language identification drops texts without a language, near-duplicate detection
+keeps one document of each group, decontamination drops documents with benchmark
+passages, the secret scan masks what it finds, and packing lays the rest out in
+token-budget batches.  Every stage reads what the stage before it has written, so a
+lost executor repeats work of one stage only.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from cloakframe.llm import decontaminate, language_id, near_dup, packing, queries, secret_scan
+from cloakframe.llm.common import table
+from cloakframe.operators.numbering import scratch_path
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a letter and a language that the network is sure enough of."""
+    return language_id.reject_unknown(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similarity 0.8 on shingles of five words."""
+    return near_dup.keep_one(docs, size=5, percent=80)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, findings replaced by a mark."""
+    return secret_scan.mask_secrets(docs)
+
+
+def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bucket, batch and slot of every document."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secret_scan", mask_secrets),
+    ("packing", pack_batches),
+]
+
+# Trained models decide two of the stages: tested against brute force instead.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to ``documents``; each is written as Parquet and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = scratch_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
+
+
+QUERIES = queries.QUERIES | {"pipeline": run}
+SQL = queries.SQL
