@@ -6,7 +6,9 @@ A task sorts every dimension of its rows once.  For a query it reads the lists i
 parallel from the end that the sign of the query's component favours, scores the
 rows it meets, and stops when the bound, the sum of the products at the current
 depth, cannot reach the k-th score: a row not met yet scores at most the bound, and
-an equal score could still win by its smaller id, so only a lower bound stops.
+an equal score could still win by its smaller id, so only a lower bound stops.  With
+many dimensions the lists show most rows before the bound falls; once half of a
+block has been met the rest is scored without reading on.
 The best rows of all blocks are ranked per query at the end.
 """
 
@@ -46,25 +48,33 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
 
 def threshold_top(query: np.ndarray, own: int, rows: np.ndarray, ids: np.ndarray, order: np.ndarray, k: int):
     """``(ids, scores, rows met)`` of the k best rows, best first, ties to the smaller id."""
-    dims = np.flatnonzero(query)
+    up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
     n = len(ids)
     met = np.zeros(n, bool)
     best_ids, best = np.zeros(0, np.int64), np.zeros(0, rows.dtype)
-    lists = np.where(query[dims] > 0, order[::-1, dims], order[:, dims])
     depth, step = 0, _FIRST_DEPTH
     while depth < n:
-        until = min(n, depth + step)
+        # Lists that have shown half of the rows will show the rest: score it at once.
+        until = min(n, depth + step) if len(up) + len(down) and 2 * met.sum() < n else n
         new = np.zeros(n, bool)
-        new[lists[depth:until].ravel() if len(dims) else slice(None)] = True
+        if until < n:
+            new[order[n - until : n - depth, up].ravel()] = True
+            new[order[depth:until, down].ravel()] = True
+        else:
+            new[:] = True
         new &= ~met
         met |= new
         new = np.flatnonzero(new & (ids != own))
         if len(new):
-            best_ids = np.concatenate([best_ids, ids[new]])
-            best = np.concatenate([best, rows[new] @ query])
+            # Most rows in hand: one product over the block costs less than picking them out.
+            scores = (rows @ query)[new] if len(new) > n // 8 else rows[new] @ query
+            if len(best) == k:
+                better = scores >= best[-1]
+                new, scores = new[better], scores[better]
+            best_ids, best = np.concatenate([best_ids, ids[new]]), np.concatenate([best, scores])
             keep = np.lexsort((best_ids, -best))[:k]
             best_ids, best = best_ids[keep], best[keep]
-        bound = (rows[lists[until - 1], dims] * query[dims]).sum() if len(dims) else 0
+        bound = (rows[order[n - until, up], up] * query[up]).sum() + (rows[order[until - 1, down], down] * query[down]).sum()
         if met.all() or len(best) == k and bound < best[-1]:
             break
         depth, step = until, step * 2
