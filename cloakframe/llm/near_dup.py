@@ -38,8 +38,9 @@ BANDS, BAND_ROWS = 24, 5
 CHECKS, CHECK_BATCH = 64, 16
 # A pair is pruned if its posterior chance to reach the threshold is below this.
 MISS = 1e-4
-# Rounds of one pivot per bucket before the rest is compared in blocks of this many nodes.
-PIVOT_ROUNDS = 3
+# Most rounds of one pivot per bucket; they end when no open bucket has more nodes than this.
+PIVOT_ROUNDS, FEW = 4, 64
+# Nodes of a block when the rest is compared.
 BLOCK = 2048
 
 _rng = np.random.default_rng(7)
@@ -219,7 +220,6 @@ class _Links:
     def __init__(self, nodes: DataFrame, sets: DataFrame, percent: int):
         self.nodes = nodes.select("node", "n", "checks")
         self.sets, self.percent = sets, percent
-        self.found: list[DataFrame] = []
         self.comps: DataFrame | None = None
 
     def pruned(self, pairs: DataFrame) -> DataFrame:
@@ -230,19 +230,19 @@ class _Links:
         return sized.select("a", "b", "ca", "cb").mapInArrow(_prune(self.percent / 100), "a binary, b binary")
 
     def add(self, pairs: DataFrame) -> bool:
-        """Verify pairs on full sets and join the components of those that hold."""
+        """Verify pairs on full sets and join the components of those that hold.
+
+        Pairs are links between components already, so the earlier ones are edges to
+        their roots.
+        """
         left = self.sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
         right = self.sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
         both = stash(pairs).join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
         links = stash(both.mapInArrow(_verify(self.percent), "a binary, b binary"))
-        if links.isEmpty():
-            return False
-        self.found.append(links)
-        every = self.found[0]
-        for more in self.found[1:]:
-            every = every.union(more)
-        self.comps = stash(common.components(every))
-        return True
+        if self.comps is not None:
+            links = links.union(self.comps.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        self.comps = stash(common.components(links))
+        return not self.comps.isEmpty()
 
     def with_comp(self, rows: DataFrame) -> DataFrame:
         rows = rows.drop("comp")
@@ -285,19 +285,18 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     texts = docs.select(common.row_key().alias("key"), "text").join(wanted, "key").dropDuplicates(["key"]).select("node", "text")
     links = _Links(nodes, stash(texts.mapInArrow(_sets(size), "node binary, shingles binary")), percent)
 
-    members = links.with_comp(members)
-    for _ in range(PIVOT_ROUNDS):
-        members = stash(_open_buckets(members))
-        if members.isEmpty():
+    members = stash(links.with_comp(members))
+    for turn in range(PIVOT_ROUNDS):
+        largest = members.groupBy("bucket").agg(F.count("*").alias("m")).agg(F.max("m")).first()[0]
+        if largest is None or turn and largest <= FEW:
             break
         pivots = members.groupBy("bucket").agg(F.max(F.struct("weight", "node", "comp")).alias("p"))
         pivots = pivots.select("bucket", F.col("p.node").alias("pivot"), F.col("p.comp").alias("pivot_comp"))
         members = members.join(pivots, "bucket").where("node <> pivot")
         pairs = members.where("comp <> pivot_comp").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
         links.add(links.pruned(pairs.distinct()))
-        members = links.with_comp(members.drop("pivot", "pivot_comp"))
-    members = stash(_open_buckets(members))
-    if not members.isEmpty():
+        members = stash(_open_buckets(links.with_comp(members.drop("pivot", "pivot_comp"))))
+    if largest is not None and not members.isEmpty():
         links.add(_rest(members, nodes, percent / 100))
 
     found = rows.select("doc_id", "key", F.col("n").alias("n_shingles"), "node")
@@ -325,8 +324,8 @@ def _rest(members: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     few = members.where("comp <> top.comp").withColumn("x", F.pmod("at", blocks("few"))).withColumn("y", every("all"))
     rest = members.withColumn("y", F.pmod("at", blocks("all"))).withColumn("x", every("few"))
     keys, columns = ["bucket", "x", "y"], ["bucket", "x", "y", "node", "comp", "n", "checks"]
-    few, rest = few.select(columns).groupBy(keys), rest.select(columns).groupBy(keys)
-    return few.cogroup(rest).applyInArrow(_in_blocks(threshold), "a binary, b binary").distinct()
+    renamed = lambda df: df.select(*[F.col(c).alias(c) for c in columns]).groupBy(keys)
+    return renamed(few).cogroup(renamed(rest)).applyInArrow(_in_blocks(threshold), "a binary, b binary").distinct()
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
