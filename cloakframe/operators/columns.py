@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from decimal import Decimal
 from functools import reduce
 from secrets import token_hex
 
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 from ..functions import catalogue as cat
 from ..functions.text import each_struct
 from ..functions.keyed import jabber, keyed_digest, uniform
-from .numbering import hash_rank, lookup_join, number_rows, stash
+from .numbering import hash_rank, lookup_join, number_rows, quoted, stash
 
 # What a transformation needs of its column.
 REQUIRED_TYPE = {
@@ -95,6 +96,11 @@ def multiply_fixed(c: Column, factor: float) -> Column:
     return F.round(c * F.lit(float(factor)), 2)
 
 
+def multiply_decimal(c: Column, factor: Column, data_type: T.DecimalType) -> Column:
+    """A decimal times a factor of six decimals, rounded to cents, in decimal arithmetic throughout."""
+    return F.round(c * factor.cast("decimal(12,6)"), 2).cast(data_type)
+
+
 def multiply_random(c: Column, salt, scope: str, low: float, high: float) -> Column:
     """One factor in [low, high) per distinct value."""
     draw = uniform(keyed_digest(c, salt, scope))
@@ -130,8 +136,8 @@ def escape_header(name: str) -> str:
 def _row_order(row_id) -> Column:
     if row_id is None:
         return F.monotonically_increasing_id()
-    names = [row_id] if isinstance(row_id, str) else list(row_id)
-    return F.col(names[0]) if len(names) == 1 else F.struct(*names)
+    names = quoted(*([row_id] if isinstance(row_id, str) else row_id))
+    return names[0] if len(names) == 1 else F.struct(*names)
 
 
 def number_values(frames: list[DataFrame], column: str, row_id=None) -> DataFrame:
@@ -161,7 +167,7 @@ def with_value_number(df: DataFrame, column: str, numbers: DataFrame, masked: Co
     keyed = df.withColumn("_value", F.col(f"`{column}`").cast("string"))
     single = row_id if isinstance(row_id, str) else None
     joined = lookup_join(keyed, lookup, ["_value"], ["_masked"], weight="n_rows", row_id=single)
-    return joined.withColumn(column, F.col("_masked")).select(*df.columns)
+    return joined.withColumn(column, F.col("_masked")).select(*quoted(*df.columns))
 
 
 def numbered_name(rule: ColumnRule) -> Column:
@@ -178,36 +184,50 @@ def permuted_values(df: DataFrame, column: str, row_id: str, salt) -> DataFrame:
     Row ids are ranked by one keyed digest and values by another; equal ranks
     meet in an equi-join.  Only the id and the column travel.
     """
-    ids = hash_rank(df.select(row_id), keyed_digest(F.col(row_id), salt, f"slot:{column}"), "_rank")
+    (row,) = quoted(row_id)
+    ids = hash_rank(df.select(row.alias("_id")), keyed_digest(F.col("_id"), salt, f"slot:{column}"), "_rank")
     values = hash_rank(
-        df.select(row_id, F.col(f"`{column}`").alias("_new")),
-        keyed_digest(F.col(row_id), salt, f"value:{column}"), "_rank",
+        df.select(row.alias("_id"), F.col(f"`{column}`").alias("_new")),
+        keyed_digest(F.col("_id"), salt, f"value:{column}"), "_rank",
     ).select("_rank", "_new")
-    return ids.join(values, "_rank").select(row_id, "_new")
+    return ids.join(values, "_rank").select("_id", "_new")
+
+
+def identifies_rows(df: DataFrame, row_id: str) -> bool:
+    """Whether a column is unique and never NULL."""
+    (row,) = quoted(row_id)
+    repeated = df.groupBy(row.alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1 or _id is null")
+    return repeated.isEmpty()
 
 
 def shuffle_column(df: DataFrame, column: str, row_id: str | None, salt) -> DataFrame:
     """Permute one column over all rows; the multiset of values (nulls too) is kept.
 
-    ``row_id`` names a column that is unique and never NULL; without one the rows
-    are written once with an id of their own.
+    ``row_id`` should name a column that is unique and never NULL.  Without one, or
+    where the column turns out not to be, the rows are written once with an id of
+    their own, so no row is lost or multiplied.
     """
-    if row_id is None:
-        df = stash(df.withColumn("_row", F.monotonically_increasing_id()))
-        return shuffle_column(df, column, "_row", salt).drop("_row")
-    moved = df.join(permuted_values(df, column, row_id, salt), row_id)
-    return moved.withColumn(column, F.col("_new")).select(*df.columns)
+    if row_id is None or not identifies_rows(df, row_id):
+        rows = stash(df.withColumn("_row", F.monotonically_increasing_id()))
+        return _permuted(rows, column, "_row", salt).drop("_row")
+    return _permuted(df, column, row_id, salt)
+
+
+def _permuted(df: DataFrame, column: str, row_id: str, salt) -> DataFrame:
+    moved = df.withColumn("_id", quoted(row_id)[0]).join(permuted_values(df, column, row_id, salt), "_id")
+    return moved.withColumn(column, F.col("_new")).select(*quoted(*df.columns))
 
 
 # --- type detection ----------------------------------------------------------
 
 
-def column_types(df: DataFrame, row_id=None, sample: int = 20, judged: list[str] | None = None) -> dict[str, str]:
+def column_types(df: DataFrame, row_id=None, sample: int | None = 20, judged: list[str] | None = None) -> dict[str, str]:
     """``number``, ``date`` or ``text`` per column.
 
     Typed columns answer from the schema.  String columns are judged by the
-    first ``sample`` rows: over 70 % numbers, else over 70 % dates, else text.
-    ``judged`` limits that look at the data to the string columns named there.
+    first ``sample`` rows, or by all of them without a sample: over 70 % numbers,
+    else over 70 % dates, else text.  ``judged`` limits that look at the data to
+    the string columns named there.
     """
     types, strings = {}, []
     for f in df.schema.fields:
@@ -225,9 +245,16 @@ def column_types(df: DataFrame, row_id=None, sample: int = 20, judged: list[str]
     return types
 
 
-def detected_types(df: DataFrame, columns: list[str], row_id=None, sample: int = 20) -> DataFrame:
-    """``(column_name, detected_type)`` from the head of the table, one pass for all columns."""
-    if row_id is not None:
+def detected_types(df: DataFrame, columns: list[str], row_id=None, sample: int | None = 20) -> DataFrame:
+    """``(column_name, detected_type)`` from the head of the table, or from all of it without a sample."""
+    return type_counts(df, columns, row_id, sample).select("column_name", "detected_type")
+
+
+def type_counts(df: DataFrame, columns: list[str], row_id=None, sample: int | None = None) -> DataFrame:
+    """``(column_name, detected_type, n_values, n_numbers, n_dates)``, one pass for all columns."""
+    if sample is None:
+        head = df
+    elif row_id is not None:
         names = [row_id] if isinstance(row_id, str) else list(row_id)
         # The last id of the head comes from the id column alone; as a filter it
         # keeps the scan of the judged columns to the row groups that hold the head.
@@ -243,16 +270,19 @@ def detected_types(df: DataFrame, columns: list[str], row_id=None, sample: int =
         shares.append(
             F.struct(
                 F.lit(name).alias("column_name"),
-                F.coalesce(F.avg(F.when(value.isNotNull(), value.try_cast("double").isNotNull().cast("int"))), F.lit(0.0)).alias("numbers"),
-                F.coalesce(F.avg(F.when(value.isNotNull(), value.try_cast("timestamp").isNotNull().cast("int"))), F.lit(0.0)).alias("dates"),
+                F.count(value).alias("n_values"),
+                F.count(value.try_cast("double")).alias("n_numbers"),
+                F.count(value.try_cast("timestamp")).alias("n_dates"),
             )
         )
+    mostly = lambda n: F.col(n) > F.lit(0.7) * F.col("n_values")
     return (
         head.agg(F.array(*shares).alias("shares"))
         .select(F.inline("shares"))
         .select(
             "column_name",
-            F.when(F.col("numbers") > 0.7, "number").when(F.col("dates") > 0.7, "date").otherwise("text").alias("detected_type"),
+            F.when(mostly("n_numbers"), "number").when(mostly("n_dates"), "date").otherwise("text").alias("detected_type"),
+            "n_values", "n_numbers", "n_dates",
         )
     )
 
@@ -273,12 +303,17 @@ def rejection(rule: ColumnRule, detected: str) -> str | None:
 
 @dataclass
 class MaskedTables:
-    """Masked tables by name, mapping rows, refused rules and (optional) cell logs."""
+    """Masked tables by name, mapping rows, refused rules and (optional) cell logs.
+
+    ``left`` has a row per table and date or number rule on a string column: cells
+    that the rule changes, and cells it leaves because they are no date or number.
+    """
 
     tables: dict[str, DataFrame]
     mapping: DataFrame | None = None
     rejected: list[dict] = field(default_factory=list)
     log: DataFrame | None = None
+    left: list[dict] = field(default_factory=list)
 
     @property
     def table(self) -> DataFrame:
@@ -309,10 +344,15 @@ def _expression(rule: ColumnRule, data_type: T.DataType, salt) -> Column:
         return replace_constant(c, rule.replace_with)
     if rule.anonymization_type == "jabber":
         return jabber_keyed(c, salt, scope) if rule.preserve_uniqueness else jabber_fresh(c)
+    text = isinstance(data_type, T.StringType)
     if rule.anonymization_type == "date_offset":
-        source = c.try_cast("timestamp") if isinstance(data_type, T.StringType) else c
-        shifted = shift_days(source, rule.date_offset_days)
+        shifted = shift_days(c.try_cast("timestamp") if text else c, rule.date_offset_days)
+        if text:  # a day stays a day; what is no date stays as it is
+            day = c.rlike(r"^\s*\d{4}-\d{1,2}-\d{1,2}\s*$")
+            return F.coalesce(F.when(day, shifted.cast("date").cast("string")).otherwise(shifted.cast("string")), c)
         return shifted.cast("date") if isinstance(data_type, T.DateType) else shifted
+    if isinstance(data_type, T.DecimalType):
+        return multiply_decimal(c, _factor(rule, c, salt, scope), data_type)
     number = c.try_cast("double")
     if rule.price_strategy == "random_per_price":
         new = multiply_per_value(number, salt, scope)
@@ -320,7 +360,19 @@ def _expression(rule: ColumnRule, data_type: T.DataType, salt) -> Column:
         new = multiply_range(number, salt, scope, rule.random_range_percent)
     else:
         new = multiply_fixed(number, rule.number_multiplier)
-    return new.cast(data_type) if isinstance(data_type, T.DecimalType) else new
+    return F.coalesce(new.cast("string"), c) if text else new
+
+
+def _factor(rule: ColumnRule, c: Column, salt, scope: str) -> Column:
+    """What a decimal cell is multiplied by."""
+    draw = uniform(keyed_digest(c.cast("double"), salt, scope))
+    if rule.price_strategy == "random_per_price":
+        low, high = PER_PRICE_RANGE
+    elif rule.price_strategy == "random_range":
+        low, high = 1 - rule.random_range_percent / 100, 1 + rule.random_range_percent / 100
+    else:
+        return F.lit(Decimal(str(rule.number_multiplier)))
+    return F.lit(low) + draw * F.lit(high - low)
 
 
 def mask_tables(
@@ -336,7 +388,9 @@ def mask_tables(
 
     Shuffles come first, then the other rules in list order, so a later rule on
     a column sees the earlier outcome.  Rules on absent columns are skipped;
-    rules that do not fit the column are refused and reported.
+    rules that do not fit the column are refused and reported; all rows of a string
+    column are judged for that.  A date or number rule changes the cells that are a
+    date or a number and leaves the others; a string column stays one.
 
     ``salt`` keys the repeatable random values; without one the call draws its
     own, so results agree within the call only.  A Column such as
@@ -346,8 +400,14 @@ def mask_tables(
     frames = {n: (df.withColumn(LOG_COLUMN, F.array().cast(LOG_TYPE)) if keep_log else df) for n, df in tables.items()}
     parsed = parse_column_rules(rules)
     judged = [r.column_name for r in parsed if r.anonymization_type in REQUIRED_TYPE]
-    types = {n: column_types(df, row_id, judged=judged) for n, df in tables.items()}
-    mappings, rejected = [], []
+    types, cells = {}, {}
+    for n, df in tables.items():
+        types[n] = column_types(df, row_id, judged=[])
+        strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name in judged]
+        found = type_counts(df, strings).collect() if strings else []
+        types[n].update({r["column_name"]: r["detected_type"] for r in found})
+        cells.update({(n, r["column_name"]): r for r in found})
+    mappings, rejected, left = [], [], []
     ordered = [r for r in parsed if r.anonymization_type == "shuffle"] + [
         r for r in parsed if r.anonymization_type != "shuffle"
     ]
@@ -365,6 +425,10 @@ def mask_tables(
                 rejected.append({"table": name, "ruleId": rule.id, "column": column, "reason": reason})
             else:
                 usable.append(name)
+                if (name, column) in cells and rule.anonymization_type in REQUIRED_TYPE:
+                    counts = cells[name, column]
+                    changed = counts["n_dates" if rule.anonymization_type == "date_offset" else "n_numbers"]
+                    left.append({"table": name, "ruleId": rule.id, "column": column, "changed": changed, "left": counts["n_values"] - changed})
         if not usable:
             continue
         numbered = rule.reversible or (rule.preserve_uniqueness and rule.anonymization_type == "replace")
@@ -390,7 +454,7 @@ def mask_tables(
                 after = before.withColumn(column, _expression(rule, df.schema[column].dataType, salt))
                 if reversible_mode and rule.column_type in ("date", "number"):
                     mappings.append(
-                        after.where(F.col("_before").isNotNull())
+                        after.where(F.col("_before").isNotNull() & ~F.col("_before").eqNullSafe(F.col(f"`{column}`")))
                         .select(
                             F.lit(column).alias("column_name"),
                             F.col("_before").cast("string").alias("original"),
@@ -413,7 +477,7 @@ def mask_tables(
     if escape:
         frames = {n: escape_all_formulas(df) for n, df in frames.items()}
     mapping = reduce(DataFrame.unionByName, mappings).distinct() if mappings else None
-    return MaskedTables(frames, mapping, rejected, log)
+    return MaskedTables(frames, mapping, rejected, log, left)
 
 
 def mask_table(df: DataFrame, rules: list, name: str = "table", **options) -> MaskedTables:

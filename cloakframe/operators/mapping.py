@@ -28,6 +28,21 @@ def add_mappings(mapping: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+def latest_entries(mapping: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """One original per placeholder of a mapping that was written more than once.
+
+    The last write wins where the table says which one that is (``batch``);
+    otherwise the smallest original, so that every run gives the same answer.
+    ``placeholder_conflicts`` names placeholders with more than one.
+    """
+    keys = keys or ["scope_id", "placeholder"]
+    if "batch" in mapping.columns:
+        last = F.max(F.struct("batch", "original"))["original"]
+    else:
+        last = F.min("original")
+    return mapping.groupBy(*keys).agg(last.alias("original"))
+
+
 def placeholder_conflicts(mapping: DataFrame) -> DataFrame:
     """Placeholders that stand for more than one original."""
     return (
@@ -80,7 +95,7 @@ def mapping_json(entries: Column) -> Column:
     """Interchange JSON of one row's own mapping array."""
     return F.to_json(
         F.struct(
-            F.map_from_entries(F.transform(entries, lambda e: F.struct(e["placeholder"], e["original"]))).alias("mappings"),
+            F.map_from_entries(F.array_distinct(F.transform(entries, lambda e: F.struct(e["placeholder"], e["original"])))).alias("mappings"),
             F.size(entries).cast("long").alias("total_items"),
             F.lit(MAPPING_VERSION).alias("version"),
         )
@@ -93,6 +108,7 @@ def export_json(mapping: DataFrame, entries_per_object: int = 100_000) -> DataFr
     A scope with more entries than fit one object becomes several objects, each
     complete in itself; loading them all gives the whole mapping back.
     """
+    mapping = latest_entries(mapping)
     sizes = mapping.groupBy("scope_id").agg(F.count("*").alias("_n"))
     parts = F.ceil(F.col("_n") / F.lit(entries_per_object))
     keyed = lookup_join(mapping, sizes, ["scope_id"], ["_n"], weight="_n", row_id="placeholder").withColumn(

@@ -6,13 +6,14 @@ None of these sends a whole table or a whole group through one task:
   once, and add each partition's offset;
 * ``hash_rank`` ranks by a uniform digest, so its buckets are even whatever the
   data look like;
-* ``lookup_join`` splits off the most frequent keys before it shuffles.
+* ``lookup_join`` splits off the most frequent keys of the rows, and NULL keys, before it shuffles.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,11 @@ _POSITION_BITS = 33
 _LOCAL_FOLDER = "spark.cloakframe.local.dir"
 
 
+def quoted(*names: str) -> list[Column]:
+    """Columns by name, whatever the names hold: dots, spaces, back-ticks."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for written intermediate tables, as the session names it.
 
@@ -167,25 +173,26 @@ def lookup_join(
     """Left join on unique keys that no frequent key can unbalance.
 
     A lookup of checked small size is broadcast.  Otherwise the ``FREQUENT_KEYS``
-    keys of largest ``weight`` are looked up by broadcast, and their rows go
-    through the shuffle of the remaining join without a key, spread by
-    ``row_id``.  Every row is kept.
+    most frequent keys of the rows, known to the lookup or not, are looked up by
+    broadcast.  Their rows, and rows with a NULL key, go through the shuffle of
+    the remaining join without a key, spread by ``row_id``.  Every row is kept.
+    The rows themselves are counted; ``weight`` only keeps older calls valid.
     """
     limit = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
     wanted = lookup.select(*keys, *values)
     if lookup_bytes(wanted, keys + values) <= limit:
-        return rows.join(F.broadcast(wanted), keys, "left").select(*rows.columns, *values)
-    if weight is None:
-        weight = "_weight"
-        lookup = lookup.join(rows.groupBy(*keys).agg(F.count("*").alias(weight)), keys, "left")
-
-    top = lookup.orderBy(F.col(weight).desc(), *keys).limit(FREQUENT_KEYS)
-    frequent = top.select(
+        return rows.join(F.broadcast(wanted), keys, "left").select(*quoted(*rows.columns), *values)
+    no_key = reduce(Column.__or__, [F.col(k).isNull() for k in keys])
+    top = rows.where(~no_key).groupBy(*keys).agg(F.count("*").alias("_rows")).where("_rows > 1")
+    top = stash(top.orderBy(F.col("_rows").desc(), *keys).limit(FREQUENT_KEYS).select(*keys))
+    # At most FREQUENT_KEYS rows, whatever the lookup holds.
+    found = wanted.join(F.broadcast(top), keys)
+    frequent = top.join(found, keys, "left").select(
         *keys, F.lit(True).alias("_frequent"), *[F.col(v).alias(f"_top_{v}") for v in values]
     )
     marked = rows.join(F.broadcast(frequent), keys, "left")
-    spread = F.pmod(F.xxhash64(*([row_id] if row_id else rows.columns)), F.lit(4096)).cast("int")
-    is_frequent = F.col("_frequent").isNotNull()
+    spread = F.pmod(F.xxhash64(*quoted(*([row_id] if row_id else rows.columns))), F.lit(4096)).cast("int")
+    is_frequent = F.col("_frequent").isNotNull() | no_key
     keyed = marked.withColumns(
         {f"_key_{k}": F.when(is_frequent, F.lit(None)).otherwise(F.col(k)) for k in keys}
         | {"_salt": F.when(is_frequent, spread).otherwise(F.lit(0))}
@@ -196,5 +203,5 @@ def lookup_join(
     )
     joined = keyed.join(rest, [f"_key_{k}" for k in keys] + ["_salt"], "left")
     return joined.select(
-        *rows.columns, *[F.coalesce(f"_top_{v}", f"_rest_{v}").alias(v) for v in values]
+        *quoted(*rows.columns), *[F.coalesce(f"_top_{v}", f"_rest_{v}").alias(v) for v in values]
     )

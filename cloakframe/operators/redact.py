@@ -186,24 +186,25 @@ def redact_corpus(
 
     Returns the redacted documents and the mapping table.  Documents that cannot
     hold a value pass straight through; the others are shuffled once, for the
-    join with their own small list of items.
+    join with their own small list of items.  Ids may be NULL or repeated: a
+    document is known by its id and text together.
     """
-    suspect = detect.has_shape(F.col(text_col), kinds)
-    suspects = df.where(suspect)
-    values = stash(corpus_values(suspects, id_col, text_col, kinds))  # the patterns run once
+    suspect = F.coalesce(detect.has_shape(F.col(text_col), kinds), F.lit(False))
+    suspects = df.where(suspect).withColumn("_document", F.xxhash64(id_col, text_col))
+    values = stash(corpus_values(suspects, "_document", text_col, kinds).distinct())  # the patterns run once
     mapping = corpus_mapping(values)
     pairs = lookup_join(
         values, mapping.select("kind", "original", "placeholder", "n_documents"),
-        ["kind", "original"], ["placeholder"], weight="n_documents", row_id=id_col,
+        ["kind", "original"], ["placeholder"], row_id="_document",
     )
-    items = pairs.groupBy(id_col).agg(
+    items = pairs.groupBy("_document").agg(
         # A document's own values: bounded by the document, which is one row anyway.
         F.collect_list(
             F.struct((-F.length("original")).alias("shorter"), "kind", "original", "placeholder")
         ).alias("_items")
     )
     replaced = F.when(F.col("_items").isNull(), F.col(text_col)).otherwise(substitute(F.col(text_col), F.col("_items")))
-    touched = suspects.join(items, id_col, "left").withColumn(output_col, replaced).select(*df.columns, output_col)
+    touched = suspects.join(items, "_document", "left").withColumn(output_col, replaced).select(*df.columns, output_col)
     redacted = touched.unionByName(df.where(~suspect).withColumn(output_col, F.col(text_col)))
     return redacted, mapping.select(
         F.lit("corpus").alias("scope_id"), "kind", "placeholder", "original"

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import PLACEHOLDER_TOKEN, each_value, rewrite_tokens
-from .numbering import lookup_join, stash
+from .mapping import latest_entries
+from .numbering import lookup_join, quoted, stash
 
 
 def restore_with_pairs(text: Column, pairs: Column) -> Column:
@@ -41,9 +42,12 @@ def _finish(joined: DataFrame, untouched: DataFrame, text_col: str, output_col:
 
 
 def restore_documents(df: DataFrame, mapping: DataFrame, id_col: str, text_col: str = "redacted", output_col: str = "restored") -> DataFrame:
-    """Restore with document-scoped mappings: one join on the document id."""
+    """Restore with document-scoped mappings: one join on the document id.
+
+    Of several entries for a placeholder the latest counts, see ``latest_entries``.
+    """
     marked, untouched = _with_tokens(df, text_col)
-    per_document = mapping.groupBy("scope_id").agg(
+    per_document = latest_entries(mapping).groupBy("scope_id").agg(
         # The entries of one document, so no larger than the document.
         F.map_from_entries(F.collect_list(F.struct("placeholder", "original"))).alias("_originals")
     )
@@ -58,19 +62,23 @@ def restore_corpus(
 
     Only the distinct tokens of each document meet the mapping, never the texts;
     a token that stands in a third of all documents is looked up by broadcast.
+    Documents may share an id; of several entries for a placeholder the latest counts.
     """
     marked, untouched = _with_tokens(df, text_col)
     in_text = F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(PLACEHOLDER_TOKEN), F.lit(0)))
     scope = [F.col(scope_col).cast("string").alias("scope_id")] if scope_col else []
-    tokens = each_value(marked, in_text, "placeholder", id_col, *scope)
+    # A key of the row's own: documents with a NULL id, or with the same one, stay apart.
+    marked = marked.withColumn("_document", F.xxhash64(id_col, text_col, *([scope_col] if scope_col else [])))
+    tokens = each_value(marked, in_text, "placeholder", "_document", *scope)
     keys = ["scope_id", "placeholder"] if scope_col else ["placeholder"]
-    found = lookup_join(tokens, mapping.select(*keys, "original"), keys, ["original"], row_id=id_col)
+    found = lookup_join(tokens, latest_entries(mapping, keys), keys, ["original"], row_id="_document")
     per_document = (
         found.where(F.col("original").isNotNull())
-        .groupBy(id_col)
-        .agg(F.map_from_entries(F.collect_list(F.struct("placeholder", "original"))).alias("_originals"))
+        .groupBy("_document")
+        # A set: rows that repeat a document repeat its tokens.
+        .agg(F.map_from_entries(F.collect_set(F.struct("placeholder", "original"))).alias("_originals"))
     )
-    return _finish(marked.join(per_document, id_col, "left"), untouched, text_col, output_col)
+    return _finish(marked.join(per_document, "_document", "left"), untouched, text_col, output_col)
 
 
 def unambiguous(mapping: DataFrame) -> DataFrame:
@@ -98,7 +106,9 @@ def restore_table(
     """Exact-match restore of masked columns from ``(column_name, original, masked)``.
 
     A value with no entry, or with more than one possible original, stays as it
-    is.  ``types`` casts a restored column back, e.g. ``{"price": "double"}``.
+    is.  A restored column keeps its type; ``types`` names another one, e.g.
+    ``{"price": "double"}``.  A cell that does not fit the type is an error, never
+    a NULL.
     """
     usable = stash(unambiguous(mapping))  # read once per column
     out = df
@@ -106,18 +116,54 @@ def restore_table(
         lookup = usable.where(F.col("column_name") == column).select(
             F.col("masked").alias("_masked"), F.col("original").alias("_original")
         )
-        keyed = out.withColumn("_masked", F.col(column).cast("string"))
+        (cell,) = quoted(column)
+        keyed = out.withColumn("_masked", cell.cast("string"))
         joined = lookup_join(keyed, lookup, ["_masked"], ["_original"], row_id=row_id)
         restored = F.coalesce("_original", "_masked")
-        target = (types or {}).get(column)
-        out = joined.withColumn(column, restored.try_cast(target) if target else restored).select(*df.columns)
+        target = (types or {}).get(column, df.schema[column].dataType.simpleString())
+        if target != "string":
+            restored = _cast_or_fail(restored, target, column)
+        out = joined.withColumn(column, restored).select(*quoted(*df.columns))
     return out
 
 
+def _cast_or_fail(value: Column, target: str, column: str) -> Column:
+    cast = value.try_cast(target)
+    misfit = F.raise_error(F.concat(F.lit(f"column {column}: a restored value is no {target}: "), value))
+    return F.when(value.isNotNull() & cast.isNull(), misfit.cast(target)).otherwise(cast)
+
+
 def restore_string_cells(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """Literal restore inside every string column, for a small driver-side mapping."""
     strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    return df.withColumns({c: restore_with_dict(F.col(c), mapping) for c in strings})
+    return df.withColumns({c: restore_with_dict(quoted(c)[0], mapping) for c in strings})
+
+
+def restore_cells(df: DataFrame, mapping: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Restore placeholders that stand among other text in string cells, from a mapping of any size.
+
+    All columns share one join: only the distinct tokens of a row meet the mapping.
+    ``mapping`` has ``placeholder`` and ``original``; of several entries the latest
+    counts.  NULL cells and cells without a known token stay as they are.
+    """
+    strings = columns or [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not strings:
+        return df
+    cells = F.concat_ws("\n", *quoted(*strings))
+    marked, untouched = _with_tokens(df.withColumn("_cells", cells), "_cells")
+    marked = marked.withColumn("_document", F.xxhash64("_cells"))
+    in_cells = F.array_distinct(F.regexp_extract_all("_cells", F.lit(PLACEHOLDER_TOKEN), F.lit(0)))
+    tokens = each_value(marked, in_cells, "placeholder", "_document").distinct()
+    found = lookup_join(tokens, latest_entries(mapping, ["placeholder"]), ["placeholder"], ["original"], row_id="_document")
+    per_row = (
+        found.where(F.col("original").isNotNull())
+        .groupBy("_document")
+        .agg(F.map_from_entries(F.collect_set(F.struct("placeholder", "original"))).alias("_originals"))
+    )
+    joined = marked.join(per_row, "_document", "left")
+    restored = joined.withColumns({c: _restore_by_map(quoted(c)[0], F.col("_originals")) for c in strings})
+    every = quoted(*df.columns)
+    return restored.select(*every).unionByName(untouched.select(*every))
 
 
 def number_if_changed(before: Column, after: Column) -> Column:

@@ -10,6 +10,7 @@ import re
 from dataclasses import dataclass, replace
 
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -145,18 +146,36 @@ class _Step:
     replacement: str = ""
 
 
-def _compiles(spark: SparkSession, pattern: str) -> bool:
+def _refused(spark: SparkSession, patterns: list[str]) -> set[str]:
+    """Patterns that the engine cannot compile; any other failure is raised.
+
+    One job for all; only if that one is refused, one for each.
+    """
+    if not patterns:
+        return set()
     try:
-        spark.range(1).select(F.regexp_count(F.lit(""), F.lit(pattern))).first()
-    except Exception:  # the JVM refuses the pattern
-        return False
-    return True
+        spark.range(1).select(*[F.regexp_count(F.lit(""), F.lit(p)).alias(f"p{i}") for i, p in enumerate(patterns)]).first()
+    except PySparkException as e:
+        if not (e.getCondition() or "").startswith("INVALID_PARAMETER_VALUE.PATTERN"):
+            raise
+        if len(patterns) == 1:
+            return set(patterns)
+        return set().union(*[_refused(spark, [p]) for p in patterns])
+    return set()
 
 
 def plan_rules(spark: SparkSession, rules: list) -> list[_Step]:
-    """Runnable steps and skip entries in rule order; empty literal rules vanish."""
-    steps = []
-    for rule in parse_rules(rules):
+    """Runnable steps and skip entries in rule order; empty literal rules vanish.
+
+    Regex rules are linted; one that is too long, dangerous or does not compile
+    becomes a skip entry.
+    """
+    steps, parsed = [], parse_rules(rules)
+    reasons = {r.original_term: lint_pattern(r.original_term) for r in parsed if r.is_regex and r.original_term}
+    sound = [r for r in parsed if r.is_regex and r.original_term and reasons[r.original_term] is None]
+    compiled = {r: regex_flags(not r.case_sensitive) + java_pattern(r.original_term) for r in sound}
+    refused = _refused(spark, list(dict.fromkeys(compiled.values())))
+    for rule in parsed:
         if not rule.original_term:
             if rule.is_regex:
                 steps.append(_Step(rule, cat.EMPTY_REGEX_SKIPPED))
@@ -168,12 +187,11 @@ def plan_rules(spark: SparkSession, rules: list) -> list[_Step]:
         else:
             pattern = flags + java_pattern(rule.original_term)
             replacement = java_replacement(rule.replacement_term)
-            try:
-                re.compile(rule.original_term)
-                usable = _compiles(spark, pattern)
-            except re.error:
-                usable = False
-            if not usable:
+            reason = reasons[rule.original_term]
+            if reason in (cat.PATTERN_DANGEROUS, cat.PATTERN_TOO_LONG % cat.MAX_PATTERN_LENGTH):
+                steps.append(_Step(rule, reason))
+                continue
+            if reason or pattern in refused:
                 steps.append(_Step(rule, cat.BROKEN_REGEX % rule.original_term))
                 continue
         steps.append(_Step(rule, rule.shown_pattern, pattern, "" if rule.remove else replacement))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,7 +14,24 @@ from ..operators.mapping import allocate
 from ..operators.monitor import failed
 from ..plans.text_job import redact_texts
 
-MAPPING_SCHEMA = "scope_id string, kind string, placeholder string, original string, batch bigint"
+MAPPING_SCHEMA = "scope_id string, kind string, placeholder string, original string, stream string, batch bigint"
+# Default trigger: run what has arrived and stop.  Give ``{"processingTime": "1 minute"}`` for a live stream.
+ONCE = {"availableNow": True}
+
+
+def stream_name(checkpoint: str) -> str:
+    """Name of the stream that owns a checkpoint, the same after a restart."""
+    return f"s{zlib.crc32(checkpoint.encode()):08x}"
+
+
+def _written(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """What streams have written to a path so far, None before the first batch."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
 
 
 def read_stream(spark: SparkSession, folder: str, schema, glob: str = "*.parquet", files_per_trigger: int | None = None) -> DataFrame:
@@ -21,32 +41,38 @@ def read_stream(spark: SparkSession, folder: str, schema, glob: str = "*.parquet
     return reader.parquet(folder)
 
 
-def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Exactly-once append of a stateless stream; runs what has arrived and stops."""
+def append_to(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Exactly-once append of a stateless stream."""
     return (
         stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start(path)
+        .trigger(**(trigger or ONCE)).start(path)
     )
 
 
-def upsert_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def upsert_to(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Changed groups of an aggregation, one folder per batch.
 
-    A batch that runs again overwrites its own folder, so nothing is doubled.
+    A batch that runs again overwrites its own folder, so nothing is doubled.  The
+    path belongs to one checkpoint: a stream with another one is refused, since its
+    counts would start anew and hide those that are there.
     """
+    own = stream_name(checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        there = _written(batch.sparkSession, path, "stream string, batch bigint")
+        if there is not None and not there.where(F.col("stream") != own).isEmpty():
+            raise ValueError(f"{path} was written by a stream with another checkpoint")
+        batch.write.mode("overwrite").parquet(f"{path}/stream={own}/batch={batch_id}")
 
     return (
         stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).foreachBatch(write).start()
+        .trigger(**(trigger or ONCE)).foreachBatch(write).start()
     )
 
 
 def latest(table: DataFrame, keys: list[str], batch_col: str = "batch") -> DataFrame:
     """Last state of every group written by ``upsert_to``."""
-    rest = [c for c in table.columns if c not in keys and c != batch_col]
+    rest = [c for c in table.columns if c not in keys and c not in (batch_col, "stream")]
     return table.groupBy(*keys).agg(F.max_by(F.struct(*rest), batch_col).alias("_last")).select(*keys, "_last.*")
 
 
@@ -92,22 +118,26 @@ def redact_stream(documents: DataFrame, rules: list | None = None, **options) ->
     return redact_texts(documents, rules, **options)
 
 
-def allocate_stream(values: DataFrame, mapping_path: str, checkpoint: str, prefix: str = "ITEM") -> StreamingQuery:
-    """One placeholder per value across all batches.
+def allocate_stream(
+    values: DataFrame, mapping_path: str, checkpoint: str, prefix: str = "ITEM", trigger: dict | None = None
+) -> StreamingQuery:
+    """One placeholder per value across all batches, and across streams that follow each other.
 
-    ``values`` has ``original`` and ``seen``.  Each batch sees the mapping of the
-    batches before it, numbers what is new and writes a folder of its own; a
-    batch that runs again writes the same folder again.
+    ``values`` has ``original`` and ``seen``.  Each batch sees all entries on disk but
+    those of its own folder and later ones of its stream, numbers what is new and
+    writes a folder of its own; a batch that runs again writes the same folder again.
+    A mapping has one writer at a time.
     """
+    own = stream_name(checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if batch_id == 0:
+        known = _written(spark, mapping_path, MAPPING_SCHEMA)
+        if known is None:
             known = spark.createDataFrame([], MAPPING_SCHEMA)
-        else:
-            known = spark.read.schema(MAPPING_SCHEMA).parquet(mapping_path).where(F.col("batch") < batch_id)
-        allocate(batch, known, prefix).write.mode("overwrite").parquet(f"{mapping_path}/batch={batch_id}")
+        known = known.where((F.coalesce("stream", F.lit("")) != own) | (F.col("batch") < batch_id))
+        allocate(batch, known, prefix).write.mode("overwrite").parquet(f"{mapping_path}/stream={own}/batch={batch_id}")
 
     return (
-        values.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+        values.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or ONCE)).foreachBatch(write).start()
     )

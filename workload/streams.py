@@ -91,7 +91,7 @@ def stream_mapping(spark, sf):
     path = scratch_path(spark, "mapping")
     values = _stream(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("original"), F.col("o_orderkey").alias("seen"))
     streaming.allocate_stream(values, path, path + "-checkpoint").awaitTermination()
-    return spark.read.schema(streaming.MAPPING_SCHEMA).parquet(path).drop("batch")
+    return spark.read.schema(streaming.MAPPING_SCHEMA).parquet(path).drop("stream", "batch")
 
 
 @query(
