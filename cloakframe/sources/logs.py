@@ -11,6 +11,7 @@ METRIC_SCHEMA = (
     "error string, error_rate double, memory_peak_mb double, memory_current_mb double, operation string, "
     "alert_message string, alert_value double"
 )
+AUDIT_LINE = r"^(\S+) \[SESSION:([^\]]*)\] (\S+) ?(.*)$"
 # Keys of an audit line whose values hold no spaces; ``error`` runs to the end.
 AUDIT_KEYS = ["file", "type", "rules_applied", "mappings", "encrypted", "mappings_applied"]
 
@@ -28,22 +29,22 @@ def parse_metrics(lines: DataFrame, line_col: str = "value") -> DataFrame:
 
 
 def parse_audit(lines: DataFrame, line_col: str = "value") -> DataFrame:
-    """``(ts, session_id, action, details)`` from audit lines; other lines are left out.
+    """``(ts, session_id, action, details)`` from audit lines; ``unparsed_audit`` has the others.
 
-    Files may hold spaces; a value ends where the next known key begins.  Old
-    lines carry a literal ``%f`` for the fraction of the second.
+    Files may hold spaces or be nameless; a value ends where the next known key
+    begins.  Old lines carry a literal ``%f`` for the fraction of the second.
     """
-    line = F.col(line_col)
-    head = r"^(\S+) \[SESSION:([^\]]*)\] (\S+) ?(.*)$"
-    rest = F.regexp_extract(line, head, 4)
+    line, head = F.col(line_col), AUDIT_LINE
+    whole = F.regexp_extract(line, head, 4)
+    rest = F.regexp_replace(whole, r"(?:^| )error=.*$", "")
     stamp = F.regexp_replace(F.regexp_extract(line, head, 1), r"\.%f", "")
     next_key = "(?= (?:" + "|".join(AUDIT_KEYS + ["error"]) + ")=|$)"
 
     def value(key: str) -> Column:
         found = F.regexp_extract(rest, rf"(?:^| ){key}=(.*?){next_key}", 1)
-        return F.when(found != "", F.struct(F.lit(key).alias("key"), found.alias("value")))
+        return F.when(rest.rlike(rf"(?:^| ){key}="), F.struct(F.lit(key).alias("key"), found.alias("value")))
 
-    error = F.regexp_extract(rest, r"(?:^| )error=(.*)$", 1)
+    error = F.regexp_extract(whole, r"(?:^| )error=(.*)$", 1)
     pairs = F.array_compact(
         F.array(
             *[value(k) for k in AUDIT_KEYS],
@@ -58,5 +59,13 @@ def parse_audit(lines: DataFrame, line_col: str = "value") -> DataFrame:
     )
 
 
+def unparsed_audit(lines: DataFrame, line_col: str = "value") -> DataFrame:
+    """``(line, error)``: the lines that ``parse_audit`` cannot read; empty ones do not count."""
+    line = F.col(line_col)
+    return lines.where(~line.rlike(AUDIT_LINE) & (F.trim(line) != "")).select(
+        line.alias("line"), F.lit("no audit line").alias("error")
+    )
+
+
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
     return parse_audit(spark.read.text(path))

@@ -340,13 +340,14 @@ def preview_of_documents(spark, sf):
 @query(
     "preview_batch_with_errors",
     f"""
-    select doc_id, case when doc_id % 9 = 0 then null else substr(text, 1, 500) end as preview_text,
-      case when doc_id % 9 = 0 then 'onleesbaar' end as error,
-      case when doc_id % 9 = 0 then null else len({sql_emails('text')})::bigint end as n_emails from documents
+    select doc_id, substr(text, 1, 500) as preview_text, null as error, len({sql_emails('text')})::bigint as n_emails from documents
+    union all select -1 - doc_id, null, 'onleesbaar', null from documents where doc_id % 9 = 0
     """,
 )
 def preview_batch_with_errors(spark, sf):
-    docs = texts(spark, sf, "documents").withColumn("problem", F.when(F.col("doc_id") % 9 == 0, "onleesbaar"))
+    docs = texts(spark, sf, "documents").withColumn("problem", F.lit(None).cast("string"))
+    broken = docs.where("doc_id % 9 = 0").withColumns({"doc_id": -1 - F.col("doc_id"), "text": F.lit(None).cast("string"), "problem": F.lit("onleesbaar")})
+    docs = docs.unionByName(broken)
     return preview_texts(docs, "doc_id", error_col="problem").select(
         "doc_id", "preview_text", "error", F.col("report.emails.count").alias("n_emails")
     )

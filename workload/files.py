@@ -174,15 +174,15 @@ def metric_log_round_trip(spark, sf):
     "audit_round_trip",
     f"""
     select session_id, action, file, type, rules_applied, error, day from (
-      select file_id % 50 as session_id, 'ANONYMIZE_START' as action, name as file, 'text' as type, null as rules_applied, null as error, strftime(uploaded, '%Y-%m-%d') as day from {UPLOADS_SQL} as u where name <> ''
+      select file_id % 50 as session_id, 'ANONYMIZE_START' as action, name as file, 'text' as type, null as rules_applied, null as error, strftime(uploaded, '%Y-%m-%d') as day from {UPLOADS_SQL} as u
       union all
-      select file_id % 50, 'ANONYMIZE_COMPLETE', name, null, cast(file_id % 9 as varchar), null, strftime(uploaded, '%Y-%m-%d') from {UPLOADS_SQL} as u where name <> '' and file_id % 5 <> 0
+      select file_id % 50, 'ANONYMIZE_COMPLETE', name, null, cast(file_id % 9 as varchar), null, strftime(uploaded, '%Y-%m-%d') from {UPLOADS_SQL} as u where file_id % 5 <> 0
       union all
-      select file_id % 50, 'ANONYMIZE_ERROR', name, null, null, 'fout = ' || name, strftime(uploaded, '%Y-%m-%d') from {UPLOADS_SQL} as u where name <> '' and file_id % 5 = 0) as x
+      select file_id % 50, 'ANONYMIZE_ERROR', name, null, null, 'fout = ' || name, strftime(uploaded, '%Y-%m-%d') from {UPLOADS_SQL} as u where file_id % 5 = 0) as x
     """,
 )
 def audit_round_trip(spark, sf):
-    done = uploads(spark, sf).where("name <> ''")
+    done = uploads(spark, sf)
     session, ts, name = (F.col("file_id") % 50).cast("string"), F.col("uploaded"), F.col("name")
     events = (
         writers.audit_events(done, "ANONYMIZE_START", session, ts, file=name, type=F.lit("text"))
@@ -275,22 +275,35 @@ def sanitized_names(spark, sf):
 @query(
     "encoding_check",
     """
-    select doc_id, doc_id % 4 <> 0 or regexp_full_match(text, '[\\x00-\\x7F]*') as is_utf8,
-      case when doc_id % 4 <> 0 or regexp_full_match(text, '[\\x00-\\x7F]*') then length(text) else length(text) end as n_chars
-    from (select doc_id, regexp_replace(text, '[^\\x{0000}-\\x{00FF}]', '', 'g') as text from documents) as d
+    select doc_id, doc_id % 4 <> 0 or regexp_full_match(latin, '[\\x00-\\x7F]*') as is_utf8,
+      case when doc_id % 4 = 0 then length(latin) else length(text) + 4 end as n_chars
+    from (select doc_id, text, regexp_replace(text, '[^\\x{0000}-\\x{00FF}]', '', 'g') as latin from documents) as d
     """,
 )
 def encoding_check(spark, sf):
-    latin = F.regexp_replace("text", r"[^\x{0000}-\x{00FF}]", "")
-    docs = texts(spark, sf, "documents").select(
-        "doc_id", F.when(F.col("doc_id") % 4 == 0, F.encode(latin, "ISO-8859-1")).otherwise(F.encode(latin, "UTF-8")).alias("content")
-    )
+    """Every fourth document in Latin-1, the others in UTF-8 with characters far beyond it."""
+    latin = F.encode(F.regexp_replace("text", r"[^\x{0000}-\x{00FF}]", ""), "ISO-8859-1")
+    utf8 = F.encode(F.concat("text", F.lit(" €漢😀")), "UTF-8")
+    docs = texts(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 0, latin).otherwise(utf8).alias("content"))
     return docs.select(
         "doc_id", admission.is_utf8(F.col("content")).alias("is_utf8"),
         F.length(admission.decode_text(F.col("content"))).cast("long").alias("n_chars"),
     )
 
 
+@query(
+    "audit_unparsed",
+    f"select line, count(*) as n from (select unnest(['geen regel', 'kapot ' || (file_id % 3)]) as line from {UPLOADS_SQL} as u) as x group by 1",
+)
+def audit_unparsed(spark, sf):
+    """Damaged lines among whole ones come back as error rows."""
+    done = uploads(spark, sf)
+    events = writers.audit_events(done, "ANONYMIZE_START", F.lit("s"), F.col("uploaded"), file=F.col("name"))
+    damaged = done.select(F.explode(F.array(F.lit("geen regel"), F.concat(F.lit("kapot "), (F.col("file_id") % 3).cast("string")))).alias("value"))
+    lines = events.select(writers.audit_line(["file"]).alias("value")).union(damaged)
+    return logs.unparsed_audit(lines).groupBy("line").agg(F.count("*").alias("n"))
+
+
 @query(
     "magic_check",
     "select doc_id, doc_id % 3 <> 1 as agrees, case doc_id % 3 when 0 then 'text' else 'pdf' end as family from documents",
@@ -463,18 +476,18 @@ def _as_docx(texts: pd.Series, names: pd.Series) -> pd.Series:
 
 
 def _docx_corpus(spark, sf):
-    """Conversation turns as DOCX files; every 10th file is damaged."""
+    """Conversation turns as DOCX files, and damaged files besides."""
     talks = texts(spark, sf, "conversations").withColumn(
         "path", F.concat("conv_id", F.lit("-"), "turn", F.lit(".docx"))
     )
     content = _as_docx(F.regexp_replace("text", r"[\r\p{Cntrl}&&[^\n]]", ""), F.col("path"))
-    damaged = F.col("conv_id") % 10 == 9
-    return talks.select("path", F.when(damaged, F.lit("geen zip").cast("binary")).otherwise(content).alias("content"))
+    damaged = talks.where("conv_id % 10 = 9").select(F.concat(F.lit("kapot-"), "path").alias("path"), F.lit("geen zip").cast("binary").alias("content"))
+    return talks.select("path", content.alias("content")).union(damaged)
 
 
 @query(
     "docx_texts",
-    "select concat(conv_id, '-', turn, '.docx') as path, text from conversations where conv_id % 10 <> 9",
+    "select concat(conv_id, '-', turn, '.docx') as path, text from conversations",
 )
 def docx_texts(spark, sf):
     return office.read_docx_texts(_docx_corpus(spark, sf)).where("error is null").select("path", "text")
@@ -484,9 +497,9 @@ def docx_texts(spark, sf):
     "docx_runs_redacted",
     """
     select concat(conv_id, '-', turn, '.docx') as path, 'body' as part, 2 * len(string_split(text, chr(10)))::bigint as n_runs, length(replace(text, chr(10), ''))::bigint as n_chars
-    from conversations where conv_id % 10 <> 9
+    from conversations
     union all
-    select concat(conv_id, '-', turn, '.docx'), 'footer1', 1, length(concat(conv_id, '-', turn, '.docx')) from conversations where conv_id % 10 <> 9
+    select concat(conv_id, '-', turn, '.docx'), 'footer1', 1, length(concat(conv_id, '-', turn, '.docx')) from conversations
     """,
 )
 def docx_runs_redacted(spark, sf):
@@ -497,8 +510,8 @@ def docx_runs_redacted(spark, sf):
 @query(
     "docx_quarantine",
     """
-    select concat(conv_id, '-', turn, '.docx') as path, conv_id % 10 <> 9 as valid,
-      case when conv_id % 10 = 9 then 'Word document is corrupt (geen valide ZIP)' end as error from conversations
+    select concat(conv_id, '-', turn, '.docx') as path, true as valid, null as error from conversations
+    union all select concat('kapot-', conv_id, '-', turn, '.docx'), false, 'Word document is corrupt (geen valide ZIP)' from conversations where conv_id % 10 = 9
     """,
 )
 def docx_quarantine(spark, sf):

@@ -342,15 +342,16 @@ def run_report_totals(spark, sf):
 @query(
     "batch_results",
     f"""
-    select file_id, case when file_id % 10 = 3 then 'error' else 'anonymized' end as status,
-      case when file_id % 10 = 3 and file_id % 20 = 3 then 'Unknown' else name end as original_name,
-      case when file_id % 10 = 3 then 'onleesbaar' end as error from {UPLOADS_SQL} as u
+    select file_id, 'anonymized' as status, name as original_name, null as error from {UPLOADS_SQL} as u
+    union all select -1 - file_id, 'error', case when file_id % 20 = 3 then 'Unknown' else name end, 'onleesbaar' from {UPLOADS_SQL} as u where file_id % 10 = 3
     """,
 )
 def batch_results(spark, sf):
-    files = uploads(spark, sf).withColumn("original_name", F.when(F.col("file_id") % 20 != 3, F.col("name")))
-    failed = files.where("file_id % 10 = 3").withColumn("error", F.lit("onleesbaar"))
-    return text_job.batch_results(files.where("file_id % 10 <> 3"), failed, "file_id")
+    files = uploads(spark, sf).withColumn("original_name", F.col("name"))
+    failed = files.where("file_id % 10 = 3").withColumns(
+        {"original_name": F.when(F.col("file_id") % 20 != 3, F.col("name")), "file_id": -1 - F.col("file_id"), "error": F.lit("onleesbaar")}
+    )
+    return text_job.batch_results(files, failed, "file_id")
 
 
 @query(
