@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,6 +27,8 @@ FREQUENT_KEYS = 1000
 _POSITION_BITS = 33
 # Where a local session without spark.checkpoint.dir keeps its folder.
 _LOCAL_FOLDER = "spark.cloakframe.local.dir"
+# Folder of the job at hand, see ``job_scratch``.
+_JOB_FOLDER = "spark.cloakframe.job.dir"
 
 
 def quoted(*names: str) -> list[Column]:
@@ -47,8 +51,27 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str = "table") -> str:
-    """A new path in the shared folder; it does not exist yet."""
-    return f"{shared_folder(spark)}/cloakframe/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, or in that of the job at hand; it does not exist yet."""
+    folder = spark.conf.get(_JOB_FOLDER, None) or f"{shared_folder(spark)}/cloakframe"
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def job_scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder for all intermediate tables written inside, removed at the end, after a failure too.
+
+    Write the job's output inside as well: results are lazy and may read the folder.
+    Originals in plain text then outlive no job.
+    """
+    outer = spark.conf.get(_JOB_FOLDER, None)
+    folder = f"{shared_folder(spark)}/cloakframe/job-{uuid.uuid4().hex}"
+    spark.conf.set(_JOB_FOLDER, folder)
+    try:
+        yield folder
+    finally:
+        spark.conf.set(_JOB_FOLDER, outer) if outer else spark.conf.unset(_JOB_FOLDER)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stash(df: DataFrame) -> DataFrame:
@@ -80,20 +103,21 @@ def _ranged(df: DataFrame, order_by: list[str]) -> DataFrame:
 def _offsets(per_part: DataFrame, restart_by: str | None) -> DataFrame:
     """``_offset``: sum of ``_size`` over the partitions before each one, less ``_first``.
 
-    There is one row per partition (and group), never per data row, so the
-    driver holds as many numbers as the shuffle had partitions.
+    There is one row per partition (and group), never per data row; each group has
+    a window of its own, so groups may be as many as they like.
     """
-    keys = [restart_by] if restart_by else []
-    before: dict = {}
-    rows = []
-    for row in per_part.orderBy(*keys, "_part").collect():
-        group = row[restart_by] if restart_by else None
-        total = before.get(group, 0)
-        rows.append((*[row[k] for k in keys], row["_part"], total - row["_first"]))
-        before[group] = total + row["_size"]
-    types = dict(per_part.dtypes)
-    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["_part int", f"_offset {types['_size']}"])
-    return per_part.sparkSession.createDataFrame(rows, schema)
+    keys = [F.col(restart_by)] if restart_by else [F.lit(0)]
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_first")
+    group = [F.col(restart_by).alias("_group")] if restart_by else []
+    return per_part.select(*group, F.col("_part").alias("_in"), offset.alias("_offset"))
+
+
+def _with_offsets(placed: DataFrame, offsets: DataFrame, restart_by: str | None) -> DataFrame:
+    """Only offsets without groups, one per partition, are broadcast; others if the engine finds them small."""
+    if restart_by is None:
+        return placed.join(F.broadcast(offsets), F.col("_part") == F.col("_in"))
+    return placed.join(offsets, (F.col("_part") == F.col("_in")) & F.col(restart_by).eqNullSafe(F.col("_group")))
 
 
 def number_rows(
@@ -101,15 +125,15 @@ def number_rows(
 ) -> DataFrame:
     """Consecutive numbers in the order of ``order_by`` (which should be unique).
 
-    With ``restart_by`` (the first ordering column, of few distinct values) the
-    numbers restart per group, however many rows a group has.
+    With ``restart_by`` (the first ordering column) the numbers restart per group,
+    however many groups there are and however many rows a group has.
     """
     placed = _ranged(df, order_by)
     keys = [restart_by] if restart_by else []
     # A group may start in the middle of a partition: ``_first`` is its place there.
     per_part = placed.groupBy(*keys, "_part").agg(F.count("*").alias("_size"), F.min("_pos").alias("_first"))
     offsets = _offsets(per_part, restart_by)
-    numbered = placed.join(F.broadcast(offsets), keys + ["_part"])
+    numbered = _with_offsets(placed, offsets, restart_by)
     number = F.col("_offset") + F.col("_pos") + F.lit(start)
     return numbered.select(*df.columns, number.cast("long").alias(name))
 
@@ -124,7 +148,7 @@ def running_total(
     offsets = _offsets(per_part, restart_by)
     within = Window.partitionBy("_part", *keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     summed = placed.withColumn("_within", F.sum(weight).over(within))
-    return summed.join(F.broadcast(offsets), keys + ["_part"]).select(
+    return _with_offsets(summed, offsets, restart_by).select(
         *df.columns, (F.col("_offset") + F.col("_within")).alias(name)
     )
 

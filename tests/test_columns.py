@@ -195,3 +195,57 @@ def test_frequent_keys_are_split_off_not_cut_off(spark, monkeypatch):
     lookup = spark.range(0, 30).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"), F.lit(30).alias("n"))
     out = numbering.lookup_join(rows, lookup, ["k"], ["v"], weight="n", broadcast_bytes=0)
     assert out.where("v = k * 10").count() == 900
+
+
+def test_numbers_restart_in_many_groups(spark):
+    rows = spark.range(0, 6000).select(F.when(F.col("id") % 7 != 0, F.col("id") % 1500).alias("g"), F.col("id"))
+    numbered = numbering.number_rows(rows, ["g", "id"], restart_by="g")
+    worst = numbered.groupBy("g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("m")).where("lo <> 1 or hi <> m")
+    assert numbered.count() == 6000 and worst.count() == 0
+
+
+def test_job_scratch_leaves_nothing(spark):
+    from pathlib import Path
+
+    for fail in (False, True):
+        try:
+            with numbering.job_scratch(spark) as folder:
+                assert numbering.stash(spark.range(10)).count() == 10
+                assert Path(folder.removeprefix("file:")).exists()
+                if fail:
+                    raise RuntimeError
+        except RuntimeError:
+            assert fail
+        assert not Path(folder.removeprefix("file:")).exists()
+        assert spark.conf.get(numbering._JOB_FOLDER, None) is None
+
+
+def test_lookup_join_spreads_null_and_unknown_keys(spark):
+    rows = spark.range(0, 40000).select(
+        "id", F.when(F.col("id") % 5 < 2, None).when(F.col("id") % 5 < 4, "onbekend").otherwise(F.concat(F.lit("k"), F.col("id") % 3000)).alias("k")
+    )
+    lookup = rows.where("k like 'k%'").groupBy("k").agg(F.max("id").alias("v"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = numbering.lookup_join(rows, lookup, ["k"], ["v"], row_id="id", broadcast_bytes=0)
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert joined.where("v is not null").count() == 8000 and sum(sizes) == 40000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(sizes) < 1.5 * sum(sizes) / len(sizes)
+
+
+def test_valid_rules_do_not_vanish_when_the_check_fails(spark, monkeypatch):
+    from pyspark.errors import PySparkException
+
+    from cloakframe.operators import rules
+
+    class Broken:
+        def range(self, *_):
+            raise PySparkException("no executor left")
+
+    with pytest.raises(PySparkException):
+        rules.plan_rules(Broken(), [{"id": "a", "originalTerm": "klant", "isRegex": True}])
