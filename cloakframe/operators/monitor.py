@@ -14,6 +14,8 @@ from ..functions import catalogue as cat
 from .numbering import running_total
 
 MICROS_PER_MINUTE = 60_000_000
+# Slices of a trailing window: a minute for an hour, 24 minutes for a day.
+SLICES = 60
 
 
 def size_bracket(size_bytes: Column) -> Column:
@@ -43,32 +45,32 @@ def error_rates(events: DataFrame, now: Column, window_minutes: int = 60, file_t
 def trailing_error_rates(events: DataFrame, window_minutes: int = 60) -> DataFrame:
     """Error rate of the trailing window at every event: ``(t - window, t]`` per file type.
 
-    Time is cut into slices as long as the window, so a frame touches two slices
-    and partitions are per type and slice, not per type.  Each slice needs one
-    ordered pass of running sums: ``head`` is what the slice of ``t`` holds up
-    to ``t``; ``tail`` is what the slice before holds after ``t - window``.
+    Time is cut into ``SLICES`` slices per window.  The window at ``t`` is what the
+    slice of ``t`` holds up to ``t``, plus the slices between, less what the slice of
+    ``t - window`` holds up to there.  Ordered work is per type and fine slice; the
+    slices between are sums of slice totals, each of which is sent ahead to the
+    slices that it counts for.
     """
     width = window_minutes * MICROS_PER_MINUTE
+    fine = width // SLICES
     moments = (
         events.groupBy("file_type", F.unix_micros("ts").alias("t"))
         .agg(F.count("*").alias("n"), F.sum(failed(F.col("success"))).alias("f"))
     )
-    def point(at, n, f, probe) -> Column:
-        return F.struct(
-            F.floor(at / width).alias("slice"), at.alias("at"), n.alias("n"), f.alias("f"), F.lit(probe).alias("probe")
-        )
+    def point(at, n, f, sign) -> Column:
+        return F.struct(F.floor(at / fine).alias("slice"), at.alias("at"), n.alias("n"), f.alias("f"), F.lit(sign).alias("sign"))
 
     t, nothing = F.col("t"), F.lit(0).cast("long")
-    points = F.array(point(t, F.col("n"), F.col("f"), False), point(t - width, nothing, nothing, True))
-    per_slice = Window.partitionBy("file_type", "slice")
-    up_to = per_slice.orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    parts = moments.select("file_type", "t", F.inline(points)).select(
-        "file_type", "t", "probe",
-        *[
-            F.when(F.col("probe"), F.sum(c).over(per_slice) - F.sum(c).over(up_to)).otherwise(F.sum(c).over(up_to)).alias(c)
-            for c in ("n", "f")
-        ],
+    points = F.array(point(t, F.col("n"), F.col("f"), 1), point(t - width, nothing, nothing, -1))
+    up_to = Window.partitionBy("file_type", "slice").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    edges = moments.select("file_type", "t", F.inline(points)).select(
+        "file_type", "t", *[(F.col("sign") * F.sum(c).over(up_to)).alias(c) for c in ("n", "f")]
     )
+    totals = moments.groupBy("file_type", F.floor(t / fine).alias("slice")).agg(F.sum("n").alias("n"), F.sum("f").alias("f"))
+    ahead = F.explode(F.sequence(F.col("slice") + 1, F.col("slice") + SLICES)).alias("later")
+    between = totals.select("file_type", ahead, "n", "f").groupBy("file_type", F.col("later").alias("slice")).agg(F.sum("n").alias("n"), F.sum("f").alias("f"))
+    inner = moments.select("file_type", "t", F.floor(t / fine).alias("slice")).join(between, ["file_type", "slice"]).select("file_type", "t", "n", "f")
+    parts = edges.union(inner)
     return parts.groupBy("file_type", "t").agg(F.sum("n").alias("n_jobs"), F.sum("f").alias("n_failed")).select(
         "file_type",
         F.timestamp_micros("t").alias("ts"),
