@@ -68,6 +68,10 @@ def stream_error_rate(spark, sf):
     path = scratch_path(spark, "rates")
     rates = streaming.sliding_error_rate(_job_stream(spark, sf))
     streaming.upsert_to(rates, path, path + "-checkpoint").awaitTermination()
+    return _rates(spark, path)
+
+
+def _rates(spark, path):
     final = streaming.latest(spark.read.parquet(path), ["window_start", "window_end", "file_type"])
     return final.select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "file_type", "n_jobs", "n_failed",
@@ -75,6 +79,27 @@ def stream_error_rate(spark, sf):
     )
 
 
+@query(
+    "stream_late_rows",
+    f"""
+    select strftime(w, '%Y-%m-%d %H:%M') as window_start, file_type, count(*) as n_jobs, sum((not success)::int)::bigint as n_failed,
+      round(avg((not success)::int), 9) as error_rate, avg((not success)::int) > 0.05 as alert
+    from (select *, unnest(list_transform(range(0, 12), lambda i: time_bucket(interval 5 minute, ts) - to_minutes((5 * i)::int))) as w from {JOBS_SQL} as j) as x
+    group by all
+    """,
+)
+def stream_late_rows(spark, sf):
+    """All jobs once more, three days too late, in a second run: none of them counts."""
+    source, path = scratch_path(spark, "events"), scratch_path(spark, "rates")
+    on_time = monitoring_jobs(spark, sf)
+    late = on_time.withColumn("ts", F.timestamp_add("DAY", F.lit(-3), "ts"))
+    for rows in (on_time, late):
+        rows.write.mode("append").parquet(source)
+        rates = streaming.sliding_error_rate(streaming.read_stream(spark, source, on_time.schema))
+        streaming.upsert_to(rates, path, path + "-checkpoint").awaitTermination()
+    return _rates(spark, path)
+
+
 @query("stream_redact", f"select doc_id, {sql_redacted('text')} as redacted from documents")
 def stream_redact(spark, sf):
     return _appended(spark, streaming.redact_stream(_stream(spark, sf, "documents")).select("doc_id", "redacted"))
