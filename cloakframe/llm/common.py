@@ -114,25 +114,38 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return span_hashes(running(byte_values(data)), starts, ends)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node``, ``root`` (smallest node of its component) of every node on an edge ``a``, ``b``.
+def contracted(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Edges ``a``, ``b`` (``a`` > ``b``) that connect the same nodes, drawn towards the smallest node.
 
-    Alternates large-star and small-star steps until the edges stay the same, with a
-    written table per round; no group of neighbours is ever gathered.
+    Alternates large-star and small-star steps until every node has one edge, to the
+    smallest node of its component, with a written table per round; no group of
+    neighbours is ever gathered.  After a given number of ``rounds`` it stops short.
     """
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    seen = None
-    while True:
-        edges = stash(edges)
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen or not state[0]:
-            break
-        seen = state
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    seen, turn = None, 0
+    while rounds is None or turn < rounds:
+        if rounds is None:
+            edges = stash(edges)
+            state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if state == seen or not state[0]:
+                break
+            seen = state
+        turn += 1
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = small.union(least).distinct()
-    roots = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
-    return roots.union(roots.select("root", "root").distinct())
+    return edges.select(F.col("u").alias("a"), F.col("v").alias("b"))
+
+
+def roots(edges: DataFrame) -> DataFrame:
+    """``node``, ``root``: the smallest node that an edge of contracted edges leads to."""
+    ends = edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b"))
+    return ends.groupBy("node").agg(F.min("root").alias("root"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node``, ``root`` (smallest node of its component) of every node on an edge ``a``, ``b``."""
+    return roots(contracted(edges))

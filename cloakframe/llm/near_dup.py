@@ -4,15 +4,15 @@
    shingle set, band hashes and a short verification signature.  Documents with the
    same set become one *node*, however many copies there are.
 2. Nodes that share a band are candidates.  Pairs of a bucket are never emitted
-   wholesale: each round takes one pivot per bucket, the node with the largest
-   buckets, and pairs it with the nodes that are not in its component yet.
+   wholesale: each bucket has a few pivots, the nodes with the largest buckets, and
+   every node is paired with them.
 3. A candidate's signatures are compared in batches.  After each batch the posterior
    of the similarity, Beta prior and binomial likelihood, prunes the pair if the
    chance that it reaches the threshold is below ``MISS``.  Survivors are verified
    on the full shingle sets.
-4. What the pivots leave, nodes outside their bucket's largest component against all
-   others, is compared in blocks of bounded size in tasks that return only pairs
-   which survive the same pruning; these are verified on full sets, too.
+4. What the pivots leave, nodes outside their bucket's largest component, is compared
+   with all of that component in blocks of bounded size: the same pruning, the same
+   verification, and only links between components leave the task.
 
 Only links between components are missing from the link table, none that would
 join two components.  Components come from star contraction.
@@ -38,10 +38,8 @@ BANDS, BAND_ROWS = 24, 5
 CHECKS, CHECK_BATCH = 64, 16
 # A pair is pruned if its posterior chance to reach the threshold is below this.
 MISS = 1e-4
-# Most rounds of one pivot per bucket; they end when no open bucket has more nodes than this.
-PIVOT_ROUNDS, FEW = 4, 64
-# Nodes of a block when the rest is compared.
-BLOCK = 2048
+# Pivots of a bucket; shingles of a block when the rest is compared.
+PIVOTS, BLOCK = 3, 500_000
 
 _rng = np.random.default_rng(7)
 _HASHES = _rng.integers(1, 1 << 63, BANDS * BAND_ROWS + CHECKS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -192,23 +190,36 @@ def _verify(percent: int):
     return run
 
 
-def _in_blocks(threshold: float):
-    """Cross-component survivors of one pair of blocks of a bucket."""
+def _in_blocks(percent: int):
+    """Links between different components in one pair of blocks of a group; one per node and component."""
 
     def run(few: pa.Table, rest: pa.Table) -> pa.Table:
         schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
         if not few.num_rows or not rest.num_rows:
             return schema.empty_table()
-        own, comp = rest.column("node").to_pylist(), rest.column("comp").to_pylist()
-        checks, sizes = _checks(rest.column("checks").combine_chunks()), rest.column("n").to_numpy()
-        numbers = {c: i for i, c in enumerate(dict.fromkeys(comp))}
-        group = np.array([numbers[c] for c in comp])
+        nodes, comps = rest.column("node").to_pylist(), rest.column("comp").to_pylist()
+        checks, sizes = _checks(rest.column("checks")), rest.column("n").to_numpy()
+        numbers = {c: i for i, c in enumerate(dict.fromkeys(comps))}
+        group = np.array([numbers[c] for c in comps])
+        known, place = np.unique(np.frombuffer(b"".join(rest.column("shingles").to_pylist()), np.uint64), return_inverse=True)
+        starts, wanted = np.cumsum(sizes) - sizes, np.zeros(len(known), bool)
         found = []
-        mine = _checks(few.column("checks").combine_chunks())
-        for node, c, n, check in zip(few.column("node").to_pylist(), few.column("comp").to_pylist(), few.column("n").to_pylist(), mine):
-            at = np.flatnonzero((group != numbers.get(c, -1)) & (100 * np.minimum(sizes, n) >= round(100 * threshold) * np.maximum(sizes, n)))
-            alive = at[survivors(np.broadcast_to(check, (len(at), CHECKS)), checks[at], threshold)]
-            found += [(min(node, own[i]), max(node, own[i])) for i in alive]
+        for node, comp, check, raw in zip(*(few.column(c).to_pylist() for c in ("node", "comp", "checks", "shingles"))):
+            own = np.frombuffer(raw, np.uint64)
+            small, large = np.minimum(sizes, len(own)), np.maximum(sizes, len(own))
+            at = np.flatnonzero((group != numbers.get(comp, -1)) & (100 * small >= percent * large))
+            mine = np.broadcast_to(np.frombuffer(check, np.uint16), (len(at), CHECKS))
+            at = at[survivors(mine, checks[at], percent / 100)]
+            if not len(at):
+                continue
+            here = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            here = here[known[here] == own]
+            wanted[here] = True
+            both = np.add.reduceat(wanted[place], starts, dtype=np.int64)[at]
+            wanted[here] = False
+            linked = at[100 * both >= percent * (sizes[at] + len(own) - both)]
+            linked = linked[np.unique(group[linked], return_index=True)[1]]
+            found += [(min(node, nodes[i]), max(node, nodes[i])) for i in linked]
         return pa.table([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], schema=schema)
 
     return run
@@ -220,6 +231,7 @@ class _Links:
     def __init__(self, nodes: DataFrame, sets: DataFrame, percent: int):
         self.nodes = nodes.select("node", "n", "checks")
         self.sets, self.percent = sets, percent
+        self.edges: DataFrame | None = None
         self.comps: DataFrame | None = None
 
     def pruned(self, pairs: DataFrame) -> DataFrame:
@@ -229,20 +241,23 @@ class _Links:
         sized = pairs.join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
         return sized.select("a", "b", "ca", "cb").mapInArrow(_prune(self.percent / 100), "a binary, b binary")
 
-    def add(self, pairs: DataFrame) -> bool:
-        """Verify pairs on full sets and join the components of those that hold.
-
-        Pairs are links between components already, so the earlier ones are edges to
-        their roots.
-        """
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose full sets are similar enough."""
         left = self.sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
         right = self.sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
         both = stash(pairs).join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-        links = stash(both.mapInArrow(_verify(self.percent), "a binary, b binary"))
-        if self.comps is not None:
-            links = links.union(self.comps.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        self.comps = stash(common.components(links))
-        return not self.comps.isEmpty()
+        return both.mapInArrow(_verify(self.percent), "a binary, b binary")
+
+    def add(self, links: DataFrame, last: bool = False) -> None:
+        """Join components by verified links.
+
+        Only the ``last`` call needs every component as a whole: until then one that
+        falls into several costs comparisons, no links.
+        """
+        if self.edges is not None:
+            links = links.union(self.edges)
+        self.edges = stash(common.contracted(stash(links), None if last else 3))
+        self.comps = stash(common.roots(self.edges))
 
     def with_comp(self, rows: DataFrame) -> DataFrame:
         rows = rows.drop("comp")
@@ -285,47 +300,52 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     texts = docs.select(common.row_key().alias("key"), "text").join(wanted, "key").dropDuplicates(["key"]).select("node", "text")
     links = _Links(nodes, stash(texts.mapInArrow(_sets(size), "node binary, shingles binary")), percent)
 
-    members = stash(links.with_comp(members))
-    for turn in range(PIVOT_ROUNDS):
-        largest = members.groupBy("bucket").agg(F.count("*").alias("m")).agg(F.max("m")).first()[0]
-        if largest is None or turn and largest <= FEW:
-            break
-        pivots = members.groupBy("bucket").agg(F.max(F.struct("weight", "node", "comp")).alias("p"))
-        pivots = pivots.select("bucket", F.col("p.node").alias("pivot"), F.col("p.comp").alias("pivot_comp"))
-        members = members.join(pivots, "bucket").where("node <> pivot")
-        pairs = members.where("comp <> pivot_comp").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-        links.add(links.pruned(pairs.distinct()))
-        members = stash(_open_buckets(links.with_comp(members.drop("pivot", "pivot_comp"))))
-    if largest is not None and not members.isEmpty():
-        links.add(_rest(members, nodes, percent / 100))
+    third = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
+    pivots = members.groupBy("bucket", third.alias("third")).agg(F.max(F.struct("weight", "node"))["node"].alias("pivot"))
+    pivots = pivots.groupBy("bucket").agg(F.collect_list("pivot").alias("pivots"))  # PIVOTS at most
+    members = stash(members.select("bucket", "node").join(pivots, "bucket"))
+    pairs = members.select("node", F.explode("pivots").alias("pivot")).where("node <> pivot")
+    pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    links.add(links.verified(links.pruned(pairs)))
+    members = members.where(~F.array_contains("pivots", F.col("node"))).select("bucket", "node")
+    members = stash(_open_buckets(links.with_comp(members)))
+    links.add(_rest(members, links), last=True)
 
     found = rows.select("doc_id", "key", F.col("n").alias("n_shingles"), "node")
-    if links.comps is not None:
-        roots = links.comps.select("node", F.col("root").alias("class"))
-        found = found.join(roots, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    else:
-        found = found.withColumn("class", F.col("node"))
-    found = stash(found)
+    roots = links.comps.select("node", F.col("root").alias("class"))
+    found = stash(found.join(roots, "node", "left").withColumn("class", F.coalesce("class", "node")))
     least = found.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     found = found.join(least, "class", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
     kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     return found.select("doc_id", "key", "n_shingles", "component_id", kept, "class")
 
 
-def _rest(members: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Pruned pairs of the nodes outside a bucket's largest component with all its other nodes."""
-    members = members.join(nodes.select("node", "n", "checks"), "node").select("bucket", "node", "comp", "n", "checks")
+def _rest(members: DataFrame, links: _Links) -> DataFrame:
+    """Links that the pivots did not see, of nodes outside their bucket's largest component.
+
+    Such a node is compared with the whole of that component and with the other
+    nodes that came to it, in blocks of about ``BLOCK`` shingles.
+    """
     sizes = members.groupBy("bucket", "comp").agg(F.count("*").alias("m"))
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("all"))
-    largest = largest.withColumn("few", F.col("all") - F.col("top.m"))
-    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("long")
-    members = members.join(largest, "bucket").withColumn("at", F.xxhash64("node"))
-    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), blocks(c) - 1))
-    few = members.where("comp <> top.comp").withColumn("x", F.pmod("at", blocks("few"))).withColumn("y", every("all"))
-    rest = members.withColumn("y", F.pmod("at", blocks("all"))).withColumn("x", every("few"))
-    keys, columns = ["bucket", "x", "y"], ["bucket", "x", "y", "node", "comp", "n", "checks"]
-    renamed = lambda df: df.select(*[F.col(c).alias(c) for c in columns]).groupBy(keys)
-    return renamed(few).cogroup(renamed(rest)).applyInArrow(_in_blocks(threshold), "a binary, b binary").distinct()
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("m", "comp"))["comp"].alias("group"))
+    few = stash(members.join(largest, "bucket").where("comp <> group").select("group", "node", "comp").distinct())
+    groups = few.select("group").distinct()
+    whole = links.comps.select(F.col("root").alias("group"), "node", F.col("root").alias("comp")).join(groups, "group")
+    alone = groups.select("group", F.col("group").alias("node"), F.col("group").alias("comp"))
+    rest = whole.union(alone).union(few).distinct()
+
+    size = links.nodes.select("node", "n")
+    few, rest = (stash(df.join(size, "node")) for df in (few, rest))
+    blocks = lambda df, name: df.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK).cast("long").alias(name))
+    counts = blocks(few, "xs").join(blocks(rest, "ys"), "group")
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    own = lambda c: F.pmod(F.xxhash64("node"), F.col(c))
+    few = few.join(counts, "group").withColumn("x", own("xs")).withColumn("y", every("ys"))
+    rest = rest.join(counts, "group").withColumn("y", own("ys")).withColumn("x", every("xs"))
+    full = links.nodes.select("node", "checks").join(links.sets, "node")
+    columns, keys = ["group", "x", "y", "node", "comp", "n", "checks", "shingles"], ["group", "x", "y"]
+    named = lambda df: df.join(full, "node").select(*[F.col(c).alias(c) for c in columns]).groupBy(keys)
+    return named(few).cogroup(named(rest)).applyInArrow(_in_blocks(links.percent), "a binary, b binary")
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -130,8 +130,8 @@ def test_near_duplicates(awkward):
 
 
 def test_near_duplicates_in_one_large_group(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "BLOCK", 7)
-    monkeypatch.setattr(near_dup, "PIVOT_ROUNDS", 1)
+    monkeypatch.setattr(near_dup, "BLOCK", 700)
+    monkeypatch.setattr(near_dup, "PIVOTS", 1)
     base = prose(77, 150)
     rows = [(i, edited(base, i, 0.004 * (i % 12))) for i in range(90)] + [(200 + i, prose(900 + i, 60)) for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
