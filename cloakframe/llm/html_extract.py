@@ -19,7 +19,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
 from .url_filter import host_of
 
 # A subtree is template from so many different pages of its host, and this share of them.

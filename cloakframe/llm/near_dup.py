@@ -43,7 +43,7 @@ PIVOTS, BLOCK = 3, 500_000
 
 _rng = np.random.default_rng(7)
 _HASHES = _rng.integers(1, 1 << 63, BANDS * BAND_ROWS + CHECKS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FIRST, _SECOND, _ONE, _DIGEST = (np.uint64(x) for x in _rng.integers(1, 1 << 63, 4) * 2 + 1)
+_FIRST, _ONE, _DIGEST = (np.uint64(x) for x in _rng.integers(1, 1 << 62, 3) * 2 + 1)
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
