@@ -56,6 +56,12 @@ def scratch_path(spark: SparkSession, label: str = "table") -> str:
     return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
+def remove_folder(spark: SparkSession, folder: str) -> bool:
+    """Delete a folder in whatever store it lies; False if there was none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
 def job_scratch(spark: SparkSession) -> Iterator[str]:
     """A folder for all intermediate tables written inside, removed at the end, after a failure too.
@@ -70,8 +76,7 @@ def job_scratch(spark: SparkSession) -> Iterator[str]:
         yield folder
     finally:
         spark.conf.set(_JOB_FOLDER, outer) if outer else spark.conf.unset(_JOB_FOLDER)
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove_folder(spark, folder)
 
 
 def stash(df: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from cloakframe.operators import admission, detect, rules
 from cloakframe.operators.numbering import scratch_path
 from cloakframe.plans import text_job
 from cloakframe.sinks import writers
+from cloakframe.sinks.retention import purge, remove_session
 from cloakframe.sources import config, files, logs, office
 
 from .inputs import JOBS_SQL, MESSAGES_SQL, NOTES_SQL, UPLOADS_SQL, from_sql, jobs, messages, notes, sql_emails, sql_redacted, table, texts, uploads
@@ -379,7 +380,24 @@ def retention(spark, sf):
     return admission.newer_than(jobs(spark, sf), "ts", F.expr("timestamp '2024-01-20 12:00:00'")).select("event_id")
 
 
-def _sessions(spark, sf):
+@query("retention_purged", "select event_id from events where ts > timestamp '2024-01-20 12:00:00' - interval 24 hour")
+def retention_purged(spark, sf):
+    """Old days leave the stored table; the day that the limit cuts is written again."""
+    path = scratch_path(spark, "events")
+    jobs(spark, sf).withColumn("dt", F.to_date("ts")).repartition("dt").write.partitionBy("dt").parquet(path)
+    purge(spark, path, "ts", F.expr("timestamp '2024-01-20 12:00:00'"))
+    return spark.read.parquet(path).select("event_id")
+
+
+@query("session_deleted", "select c_custkey from customer where c_nationkey <> 3")
+def session_deleted(spark, sf):
+    path = _session_folder(spark, sf)
+    remove_session(spark, path, _SESSION_3)
+    remove_session(spark, path, "geen-uuid")
+    return spark.read.parquet(path).select("c_custkey")
+
+
+def _session_folder(spark, sf):
     """Outputs partitioned by session: one session per nation."""
     path = scratch_path(spark, "sessions")
     hexed = F.md5(F.col("c_nationkey").cast("string"))
@@ -387,7 +405,11 @@ def _sessions(spark, sf):
         "-", F.substring(hexed, 1, 8), F.substring(hexed, 9, 4), F.substring(hexed, 13, 4), F.substring(hexed, 17, 4), F.substring(hexed, 21, 12)
     )
     table(spark, sf, "customer").withColumn("session_id", session).write.partitionBy("session_id").parquet(path)
-    return spark.read.parquet(path)
+    return path
+
+
+def _sessions(spark, sf):
+    return spark.read.parquet(_session_folder(spark, sf))
 
 
 _SESSION_3 = "eccbc87e-4b5c-e2fe-2830-8fd9f2a7baf3"  # of nation 3
