@@ -32,8 +32,8 @@ from cloakframe.operators.numbering import stash
 
 from . import common
 
-# 24 bands of 5: a pair at similarity 0.8 shares no band with probability 7e-5.
-BANDS, BAND_ROWS = 24, 5
+# 40 bands of 5: a pair at similarity 0.8 shares no band with probability 1.2e-7.
+BANDS, BAND_ROWS = 40, 5
 # Verification hashes, apart from those of the bands, compared in batches.
 CHECKS, CHECK_BATCH = 64, 16
 # A pair is pruned if its posterior chance to reach the threshold is below this.
