@@ -124,8 +124,8 @@ def contracted(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     seen, turn = None, 0
     while rounds is None or turn < rounds:
+        edges = stash(edges)  # a plan that grew over rounds would double with each
         if rounds is None:
-            edges = stash(edges)
             state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
             if state == seen or not state[0]:
                 break

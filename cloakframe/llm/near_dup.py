@@ -256,7 +256,7 @@ class _Links:
         """
         if self.edges is not None:
             links = links.union(self.edges)
-        self.edges = stash(common.contracted(stash(links), None if last else 3))
+        self.edges = stash(common.contracted(stash(links), None if last else 2))
         self.comps = stash(common.roots(self.edges))
 
     def with_comp(self, rows: DataFrame) -> DataFrame:
