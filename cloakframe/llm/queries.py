@@ -78,4 +78,53 @@ SQL: dict[str, str] = {
         select query_id, cast(rank as int) as rank, vec_id, score
         from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scores)
         where rank <= 5""",
+    "op4_suffix_dedup": r"""
+        with docs as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as hx from documents),
+          bytes as (select r, unnest(range(0, length(hx) // 2)) as i, unnest(regexp_extract_all(hx, '..')) as b from docs),
+          windows as (
+            select r, i, b, case when count(*) over f = 200 then md5(string_agg(b, '') over f) end as h
+            from bytes window f as (partition by r order by i rows between current row and 199 following)),
+          often as (select h from windows where h is not null group by h having count(*) > 1),
+          flags as (
+            select r, i, b, max(case when o.h is not null then 1 else 0 end) over (partition by r order by i rows between 199 preceding and current row) as gone
+            from windows as w left join often as o on w.h = o.h),
+          edges as (select *, lag(gone, 1, 0) over (partition by r order by i) as before from flags),
+          kept as (
+            select r, count(*) as n_bytes, sum(gone)::bigint as n_removed, sum(case when gone = 1 and before = 0 then 1 else 0 end)::bigint as n_spans,
+              coalesce(string_agg(b, '' order by i) filter (where gone = 0), '') as kept
+            from edges group by r)
+        select doc_id, coalesce(n_bytes, 0) as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+          sha256(unhex(coalesce(kept, ''))) as kept_sha256
+        from docs left join kept on docs.r = kept.r""",
+    "op7_near_dup": r"""
+        with recursive docs as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws
+            from documents),
+          sets as (
+            select distinct doc_id, unnest(case when len(ws) > 1 then list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) else ws end) as g
+            from docs),
+          sizes as (select doc_id, count(*) as n from sets group by doc_id),
+          pairs as (select a.doc_id as a, b.doc_id as b, count(*) as k from sets as a join sets as b on a.g = b.g and a.doc_id < b.doc_id group by all),
+          links as (
+            select a, b from pairs join sizes as x on x.doc_id = a join sizes as y on y.doc_id = b where 100 * k >= 80 * (x.n + y.n - k)),
+          steps as (select a, b from links union select b, a from links),
+          reach(node, r) as (select doc_id, doc_id from docs union select node, b from reach join steps on r = a)
+        select docs.doc_id, coalesce(n, 0) as n_shingles, component_id, docs.doc_id = component_id as kept
+        from docs left join sizes on docs.doc_id = sizes.doc_id
+          join (select node, min(r) as component_id from reach group by node) as c on c.node = docs.doc_id""",
+    "op9_substring_dedup": r"""
+        with docs as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+          words as (select r, unnest(range(1, len(ws) + 1)) as i, unnest(ws) as word from docs),
+          windows as (
+            select r, i, word, case when count(*) over f = 35 then md5(string_agg(word, ' ') over f) end as h
+            from words window f as (partition by r order by i rows between current row and 34 following)),
+          often as (select h from windows where h is not null group by h having count(*) > 1),
+          flags as (
+            select r, i, word, max(case when o.h is not null then 1 else 0 end) over (partition by r order by i rows between 34 preceding and current row) as gone
+            from windows as w left join often as o on w.h = o.h),
+          kept as (
+            select r, count(*) as n_words, sum(gone)::bigint as n_removed, coalesce(string_agg(word, ' ' order by i) filter (where gone = 0), '') as kept
+            from flags group by r)
+        select doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+        from docs left join kept on docs.r = kept.r""",
 }

@@ -386,11 +386,12 @@ def test_registered_queries():
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] and set(queries.SQL) <= set(names)
 
 
-def test_top_k_agrees_with_sql(spark):
+@pytest.mark.parametrize("name", list(queries.SQL))
+def test_query_agrees_with_sql(spark, name):
     from tests.compare import differences, duck
 
-    sf = "/root/testdata/sf0.01"
-    assert differences(queries.QUERIES["op3_topk_search"](spark, sf), duck(sf), queries.SQL["op3_topk_search"]) == []
+    sf = "/root/testdata/sf0.001"
+    assert differences(queries.QUERIES[name](spark, sf), duck(sf), queries.SQL[name]) == []
 
 
 def test_pipeline(spark, awkward, tmp_path):
