@@ -200,9 +200,9 @@ def predict(docs: DataFrame, network: ByteNetwork | None, keep: list[str]) -> Da
         for batch in batches:
             column = batch.column(place)
             data, offsets = common.utf8(column)
-            labels, scores = [], []
             for i, j in common.slices(offsets):
                 bounds, part = offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]]
+                labels, scores = [], []
                 mean = _row_probabilities(network, part, bounds) if network else np.zeros((j - i, 1))
                 ascii_letters = np.concatenate([[0], np.cumsum((part < 128) & (_LETTER[part] > 0))])
                 plain = ascii_letters[bounds[1:]] > ascii_letters[bounds[:-1]]
@@ -211,8 +211,9 @@ def predict(docs: DataFrame, network: ByteNetwork | None, keep: list[str]) -> Da
                     best = int(np.argmax(mean[k]))
                     labels.append(network.labels[best] if letters and network else UNKNOWN)
                     scores.append(min(1.0, round(float(mean[k, best]), 6)) if letters and network else 0.0)
-            columns = [*batch.columns[:place], pa.array(labels, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, label, score])
+                rows = [c.slice(i, j - i) for c in batch.columns[:place]]
+                columns = [*rows, pa.array(labels, pa.string()), pa.array(scores, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, label, score])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return rows.mapInArrow(run, f"{kinds + ', ' if keep else ''}`{label}` string, `{score}` double")
