@@ -2,8 +2,8 @@
 
 A page is parsed into elements; each container element's subtree has a digest of its
 tags and texts.  Spark counts per host on how many different pages a subtree occurs,
-copies of a page counting once; subtrees that recur on many of them are the site's
-template and are deleted.  What is a menu, header, footer, sidebar, notice, advert,
+copies of a page counting once; subtrees that recur on ``LEAST_PAGES`` of them, however
+large the host is, are the site's template and are deleted.  What is a menu, header, footer, sidebar, notice, advert,
 form, script, style or comment section by its tag, role or class is left out as well.
 The article, or without one the body, then gives one line per block.
 """
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .url_filter import host_of
 
-# A subtree is template from so many different pages of its host, and this share of them.
-LEAST_PAGES, LEAST_SHARE = 5, 0.1
+# A subtree is template from so many different pages of its host.
+LEAST_PAGES = 5
 
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(>|\Z)|<(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)""",
@@ -215,18 +215,16 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
 
-def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def templates(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """``key, template``: for each page row that has some, the digests of its template subtrees."""
     keyed = pages.select(F.xxhash64("page_id", "url", "html").alias("key"), host_of(F.col("url")).alias("host"), "html")
     found = keyed.mapInArrow(_subtrees, "key long, host string, subtree long, page long")
     different = found.select("host", "subtree", "page").distinct()
-    often = different.groupBy("host", "subtree").agg(F.count("*").alias("pages")).where(f"pages >= {least_pages}")
-    sizes = found.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("all"))
-    often = often.join(sizes, "host").where(f"pages >= {least_share} * all").select("host", "subtree")
+    often = different.groupBy("host", "subtree").agg(F.count("*").alias("pages")).where(f"pages >= {least_pages}").select("host", "subtree")
     return found.join(often, ["host", "subtree"]).groupBy("key").agg(F.collect_set("subtree").alias("template"))
 
 
-def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def extract(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page row.
 
     Blocks stand in page order, one line each; white space inside a block is one
@@ -235,6 +233,6 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
     their text; other columns are ignored; an empty table gives an empty result.
     """
     key = F.xxhash64("page_id", "url", "html").alias("key")
-    rows = pages.select("page_id", "url", "html", key).join(templates(pages, least_pages, least_share), "key", "left")
+    rows = pages.select("page_id", "url", "html", key).join(templates(pages, least_pages), "key", "left")
     kinds = [f"{c} {pages.schema[c].dataType.simpleString()}" for c in ("page_id", "url")]
     return rows.select("page_id", "url", "html", "template").mapInArrow(_texts, f"{', '.join(kinds)}, text string, n_chars long")

@@ -365,6 +365,13 @@ def test_html_template(spark):
     assert text[21].startswith("about this site\n")  # copies of one page are no template
 
 
+def test_html_template_of_a_large_host(spark):
+    page = lambda i: f"<body>{'<div>ours since 1990</div>' if i < 5 else ''}{'<div>four times</div>' if 5 <= i < 9 else ''}<p>{prose(i, 20)}</p></body>"
+    rows = spark.createDataFrame([(i, "http://b.org/%d" % i, page(i)) for i in range(120)], "page_id long, url string, html string")
+    text = {r["page_id"]: r["text"] for r in html_extract.extract(rows).collect()}
+    assert text[3] == prose(3, 20) and text[7] == "four times\n" + prose(7, 20)
+
+
 def test_empty_tables(empty, spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     results = [
