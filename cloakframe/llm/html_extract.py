@@ -4,7 +4,8 @@ A page is parsed into elements; each container element's subtree has a digest of
 tags and texts.  Spark counts per host on how many different pages a subtree occurs,
 copies of a page counting once; subtrees that recur on ``LEAST_PAGES`` of them, however
 large the host is, are the site's template and are deleted.  What is a menu, header, footer, sidebar, notice, advert,
-form, script, style or comment section by its tag, role or class is left out as well.
+form, script, style or comment section by its tag, role or class is left out as well;
+a class or id never takes the page's article or main element with it.
 The article, or without one the body, then gives one line per block.
 """
 
@@ -14,6 +15,7 @@ import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,20 +53,47 @@ _NAMES = {
     "gdpr", "notice", "popup", "modal", "newsletter", "subscribe", "sidebar", "sidebars", "menu", "menus", "nav", "navbar", "navigation",
     "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "comment", "comments", "disqus", "replies", "respond", "social", "share", "login",
 }
+_COMMENTS = {"comment", "comments", "disqus", "replies", "respond"}
+# Words after a name that still mean the thing itself (ad-slot, sidebar-left), and before it, what only has one (with-sidebar).
+_PARTS = {
+    "area", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "center", "col", "column", "container", "content", "form", "group", "inner",
+    "item", "items", "left", "link", "links", "list", "outer", "panel", "primary", "right", "secondary", "section", "signup", "slot", "toolbar", "top", "unit",
+    "widget", "widgets", "wrap", "wrapper",
+}
+_HAVING = {"has", "have", "no", "not", "with", "without"}
 _NEVER = {"html", "body", "main"}
 
 
+@lru_cache(65_536)
+def _kind(attributes: str) -> tuple[bool, bool, bool]:
+    """Whether role, class or id name something to leave out: by role, by class or id, and a comment section."""
+    role = named = comments = False
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        value = "".join(values).lower()
+        if name.lower() == "role":
+            role |= bool(set(re.split(r"[^a-z0-9]+", value)) & _ROLES)
+            continue
+        for token in value.split():
+            words = [w for w in re.split(r"[^a-z0-9]+", token) if w]
+            while len(words) > 1 and (words[-1] in _PARTS or words[-1].isdigit()):
+                words.pop()
+            if words and words[-1] in _NAMES and words[0] not in _HAVING:
+                named, comments = True, comments or words[-1] in _COMMENTS
+    return role, named, comments
+
+
 class Element:
-    __slots__ = ("tag", "names", "children", "digest", "left_out")
+    __slots__ = ("tag", "names", "children", "digest", "left_out", "behind")
 
     def __init__(self, tag: str, attributes: str):
         self.tag, self.children, self.digest = tag, [], b""
         self.names = attributes
         self.left_out = tag in _LEFT_OUT
+        self.behind = 0  # left out by class or id alone: 1, a comment section 2
         if attributes and not self.left_out and tag not in _NEVER:
-            for name, *values in _ATTRIBUTE.findall(attributes):
-                words = set(re.split(r"[^a-z0-9]+", "".join(values).lower()))
-                self.left_out |= bool(words & (_ROLES if name.lower() == "role" else _NAMES))
+            role, named, comments = _kind(attributes)
+            self.left_out = role or named
+            self.behind = 0 if role else named + comments
 
     @property
     def is_main(self) -> bool:
@@ -149,16 +178,22 @@ def _number(raw: bytes) -> int:
 
 
 def main_text(root: Element, template: set[int]) -> str:
-    """Blocks of the main element without what is left out, one line each."""
-    mains, todo = [], [root]
+    """Blocks of the main element without what is left out, one line each.
+
+    A main element counts wherever a class or id would hide it, an article only if no other
+    is left and it does not stand in a comment section.
+    """
+    met, todo = [], [(root, 0)]
     while todo:
-        element = todo.pop()
-        if element.left_out or element.digest and element.tag in _CONTAINERS and _number(element.digest) in template:
+        element, behind = todo.pop()
+        if element.left_out and not element.behind or element.digest and element.tag in _CONTAINERS and _number(element.digest) in template:
             continue
+        behind = max(behind, element.behind)
         if element.is_main:
-            mains.append(element)
+            met.append((element, behind))
         else:
-            todo += [c for c in reversed(element.children) if isinstance(c, Element)]
+            todo += [(c, behind) for c in reversed(element.children) if isinstance(c, Element)]
+    mains = [e for e, behind in met if not behind or e.tag != "article"] or [e for e, behind in met if behind == 1]
     blocks, words = [], []
 
     def end_block() -> None:
@@ -175,7 +210,7 @@ def main_text(root: Element, template: set[int]) -> str:
                 end_block()
             elif isinstance(node, str):
                 words.append(node)
-            elif node.left_out or node.tag in _CONTAINERS and _number(node.digest) in template:
+            elif node is not main and (node.left_out or node.tag in _CONTAINERS and _number(node.digest) in template):
                 if node.tag in _BLOCKS:
                     end_block()
             else:

@@ -372,6 +372,18 @@ def test_html_template_of_a_large_host(spark):
     assert text[3] == prose(3, 20) and text[7] == "four times\n" + prose(7, 20)
 
 
+def test_html_names_of_wrappers():
+    text = lambda html: html_extract.main_text(html_extract.parse(html)[0], set())
+    for name in ("layout with-sidebar", "post comments-open", "sidebar", "ad-slot"):
+        assert text(f'<div class="{name}"><p>x</p><article><p>kept</p><div class="share">s</div></article></div>') == "kept"
+    assert text('<div id="header"><main>kept</main></div><article>teaser</article>') == "kept\nteaser"
+    assert text('<div class="layout with-sidebar"><p>kept</p></div><div class="post comments-open">too</div>') == "kept\ntoo"
+    for name in ("ad-slot", "main-sidebar", "cookie_bar", "comment-list", "sidebar-2", "Ads big"):
+        assert text(f'<div class="{name}">gone</div><p>kept</p>') == "kept"
+    assert text('<p>kept</p><ol class="comment-list"><li><article class="comment">reader</article></ol>') == "kept"
+    assert text('<article>kept</article><div class="sidebar"><article>teaser</article></div>') == "kept"
+
+
 def test_empty_tables(empty, spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     results = [
