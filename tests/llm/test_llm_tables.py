@@ -188,6 +188,16 @@ def test_secrets(awkward, spark):
     assert masked[82]["text"] == extra[2][1] and "abcdefgh12" not in masked[80]["text"] and masked[80]["n_chars"] == len(masked[80]["text"])
 
 
+def test_secret_threshold_keeps_recall(spark):
+    rng = np.random.default_rng(5)
+    codes, wanted = rng.integers(32, 127, (600, secret_scan.WINDOW)).astype(np.uint8), np.arange(600) % 10 == 0
+    network = secret_scan.CharacterNetwork().calibrate(codes, wanted.astype(np.int64))
+    found = network.probabilities(codes) >= network.threshold
+    assert network.threshold < 0.5 and found[wanted].mean() >= secret_scan.LEAST_RECALL
+    network = secret_scan.learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert network.recall >= secret_scan.LEAST_RECALL and network.precision > 0.95
+
+
 def test_language(awkward, spark):
     found = language_id.identify(awkward).collect()
     assert len(found) == len(awkward_rows())
