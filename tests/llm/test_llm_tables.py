@@ -198,6 +198,20 @@ def test_secret_threshold_keeps_recall(spark):
     assert network.recall >= secret_scan.LEAST_RECALL and network.precision > 0.95
 
 
+def test_secret_candidates(spark):
+    of = lambda text: [text[s:e] for s, e in secret_scan.candidates(text, secret_scan.base_spans(text))]
+    assert of("so Bearer Ab3dEf9h, x") == ["Ab3dEf9h"] and of('pwd: "qwertzui.1" pwd=short') == ["qwertzui.1"]
+    assert of("a " + "aBcDeFgHiJ" * 2 + " b") == ["aBcDeFgHiJ" * 2] and of("just common words") == []
+    assert of("AKIA" + "A1" * 8 + "bcd x") == ["bcd"] and of("x-" + "0f" * 16 + "-y") == ["x-", "-y"]
+    assert of('token = "' + "0f" * 20 + '"') == [] and of("password=abcdefgh12") == []
+    r = random.Random(2)
+    keys = ["".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=40)) for _ in range(600)]
+    network = secret_scan.learn(spark.createDataFrame([("see " + k + " there",) for k in keys], "text string"))
+    texts = ["see " + k + " there" for k in keys[:200]]
+    # Secrets that the base patterns miss are not learned as look-alikes.
+    assert sum(map(bool, secret_scan.model_spans(network, texts, [[] for _ in texts]))) > 160
+
+
 def test_language(awkward, spark):
     found = language_id.identify(awkward).collect()
     assert len(found) == len(awkward_rows())
