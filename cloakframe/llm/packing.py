@@ -1,9 +1,9 @@
 """Packing: length buckets with least padding, then batches under a token budget.
 
-The global histogram of lengths is one aggregate.  Lengths are binned finely
-(exact up to ``EXACT`` tokens, then 1/64 of the length), so the histogram has a
-few thousand rows whatever the corpus holds, and dynamic programming over it
-runs on the driver.  Every bin keeps its longest length, so no document is cut.
+The global histogram of lengths is one aggregate with a row per different length, so
+it has at most as many rows as the longest document has tokens.  It comes to the driver
+as Arrow columns, and dynamic programming over it finds the optimum: for each number of
+buckets the best cuts are the lower envelope of straight lines, which one pass follows.
 
 Inside a bucket the documents are dealt by hash to shards whose size follows the
 bucket's row count; a window numbers each shard.  No bucket is one task, however
@@ -12,46 +12,49 @@ many documents it holds.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Lengths up to here are bins of their own.
-EXACT = 512
-_STEPS = 64
 # Rows of a shard, and the full batches that it holds at least.
 SHARD_ROWS = 1024
 SHARD_BATCHES = 8
 
 
-def bin_of(length: Column) -> Column:
-    """Bin number of a length: exact, then ``_STEPS`` bins for each doubling."""
-    octave = F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))).cast("long")
-    step = F.pow(F.lit(2.0), octave - 6).cast("long")
-    coarse = octave * _STEPS + F.floor(length / F.greatest(step, F.lit(1))).cast("long") + EXACT
-    return F.when(length <= EXACT, length).otherwise(coarse)
-
-
 def best_buckets(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
     """Upper bounds of at most ``buckets`` buckets with the least total padding.
 
     ``lengths`` ascend and are not repeated; a bucket's upper bound is its longest
-    length.  ``cost[j]``: least padded tokens of the first ``j`` bins.
+    length.  ``cost[j]``: least padded tokens of the first ``j`` lengths.  A bucket after
+    the first ``i`` costs ``cost[i] + (rows[j] - rows[i]) * lengths[j - 1]``: for each ``i`` a
+    line over the length, and both the slopes and the lengths are in order.
     """
     n = len(lengths)
     if not n:
         return []
-    top = np.array(lengths, np.float64)
-    rows = np.concatenate([[0.0], np.cumsum(np.array(counts, np.float64))])
-    cost = np.concatenate([[0.0], np.full(n, np.inf)])
+    rows = [0, *accumulate(counts)]
+    cost: list[int | None] = [0] + [None] * n
     cuts = []
     for _ in range(min(buckets, n)):
-        new, cut = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
-        new[0] = 0.0
+        new, cut = [0] * (n + 1), np.zeros(n + 1, np.int32)
+        lines: list[int] = []
+        at = 0  # the line that is lowest at the last length
         for j in range(1, n + 1):
-            total = cost[:j] + (rows[j] - rows[:j]) * top[j - 1]
-            cut[j] = int(np.argmin(total))
-            new[j] = total[cut[j]]
+            i = j - 1
+            if cost[i] is not None:
+                while len(lines) - at >= 2:
+                    a, b = lines[-2], lines[-1]
+                    if (cost[i] - cost[a]) * (rows[b] - rows[a]) > (cost[b] - cost[a]) * (rows[i] - rows[a]):
+                        break
+                    lines.pop()  # never the lowest
+                lines.append(i)
+            top = lengths[i]
+            while len(lines) - at >= 2 and cost[lines[at + 1]] - rows[lines[at + 1]] * top <= cost[lines[at]] - rows[lines[at]] * top:
+                at += 1
+            cut[j] = lines[at]
+            new[j] = cost[lines[at]] + (rows[j] - rows[lines[at]]) * top
         cost = new
         cuts.append(cut)
     bounds, j = [], n
@@ -78,20 +81,16 @@ def pack(docs: DataFrame, tokens: Column | None = None, budget: int = 65_536, bu
     """
     length = F.coalesce(tokens if tokens is not None else F.octet_length("text"), F.lit(0)).cast("long")
     rows = docs.select("doc_id", length.alias("n_tokens"), F.xxhash64("doc_id", "text").alias("order"))
-    histogram = (
-        rows.groupBy(bin_of(F.col("n_tokens")).alias("bin"))
-        .agg(F.max("n_tokens").alias("longest"), F.count("*").alias("n"))
-        .orderBy("longest")
-        .collect()
-    )
-    bounds = best_buckets([h["longest"] for h in histogram], [h["n"] for h in histogram], buckets)
+    histogram = rows.groupBy("n_tokens").agg(F.count("*").alias("n")).orderBy("n_tokens").toArrow()
+    lengths, counts = (histogram.column(c).to_pylist() for c in ("n_tokens", "n"))
+    bounds = best_buckets(lengths, counts, buckets)
     if not bounds:
         return rows.select(
             "doc_id", "n_tokens", F.lit(0).alias("bucket"), F.lit(0).cast("long").alias("bucket_len"),
             F.lit(0).alias("shard"), F.lit(0).alias("batch"), F.lit(0).alias("slot"),
         ).where("false")
-    numbers = np.searchsorted(bounds, [h["longest"] for h in histogram])
-    sizes = np.bincount(numbers, weights=[h["n"] for h in histogram], minlength=len(bounds)).astype(np.int64)
+    numbers = np.searchsorted(bounds, lengths)
+    sizes = np.bincount(numbers, weights=counts, minlength=len(bounds)).astype(np.int64)
     per_batch = [max(1, budget // max(1, b)) for b in bounds]
     shards = [int(max(1, -(-int(n) // max(SHARD_ROWS, SHARD_BATCHES * k)))) for n, k in zip(sizes, per_batch)]
 

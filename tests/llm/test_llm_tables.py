@@ -279,6 +279,21 @@ def test_best_buckets_is_optimal():
         assert padded(packing.best_buckets(lengths, counts, 3)) == wanted
 
 
+def test_buckets_are_optimal_over_exact_lengths(spark):
+    r = random.Random(9)
+    tokens = [r.choice([700, 701, 702, 703, 900, 1400, 1409, 5000, 5050]) for _ in range(60)]
+    rows = packing.pack(spark.createDataFrame([(i, "x" * n) for i, n in enumerate(tokens)], "doc_id long, text string"), buckets=6).collect()
+    lengths = sorted(set(tokens))
+
+    def padded(bounds):
+        return sum(min(b for b in bounds if b >= n) for n in tokens)
+
+    from itertools import combinations
+
+    wanted = min(padded([*cut, lengths[-1]]) for cut in combinations(lengths[:-1], 5))
+    assert sum(x["bucket_len"] for x in rows) == wanted
+
+
 def test_packing_with_other_tokens(awkward):
     rows = packing.pack(awkward, F.size(F.split("text", " ")), budget=500).collect()
     assert {r["n_tokens"] for r in rows if r["doc_id"] == 55} == {1}
