@@ -29,11 +29,16 @@ _BLOCKED_NAMES = (
 _ALLOWED_NAMES = (
     "news daily-post city-library museum university biology-notes cooking garden weather history-hub travel-notes science open-data"
     " physics-today math-notes chess-club bird-watch reading-room football-news cinema recipes school hospital government parliament"
-    " law-review economics health-advice music theatre poetry photography hiking railway architecture astronomy linguistics tionst"
-    " therin thatou erthen shentia ithand onthre"
+    " law-review economics health-advice music theatre poetry photography hiking railway architecture astronomy linguistics"
+    " bakery school-board gallery village-hall botany geology newsroom library-journal magazine dictionary encyclopedia translation teachers"
+    " students orchestra festival heritage nature insurance transport engineering carpentry furniture veterinary pediatrics conference"
+    " the-herald the-times the-tribune theology thesis-archive mother-tongue northern-region southern-coast western-railway eastern-college"
+    " weather-station brothers-garage other-worlds athletics authors editors painters lawyers farmers readers gardeners engineers nations"
+    " stations regions traditions foundation institution education tourism restaurant hotel marina harbour mountain river forest island"
+    " technology mathematics chemistry philosophy psychology literature sociology medicine nursing dentist pharmacology clinic workshop"
 )
-_BLOCKED_PATHS = ("/win/bonus", "/free/spins", "/buy/cheap-pills", "/click?", "/track/ad", "/xxx/1", "/promo/casino", "/en/4821", "/de/17.html", "/")
-_ALLOWED_PATHS = ("/en/4821", "/de/17.html", "/fr/903/", "/es/77", "/en/article/12", "/about", "/archive/2019/05", "/", "/wiki/Page", "/de/2201/")
+_BLOCKED_PATHS = ("/win/bonus", "/free/spins", "/buy/cheap-pills", "/click?", "/track/ad", "/xxx/1", "/promo/casino", "/article/12", "/index.html", "/")
+_ALLOWED_PATHS = ("/article/12", "/index.html", "/posts/new-bridge/", "/contact", "/docs/start", "/about", "/archive/2019/05", "/", "/wiki/Page", "/events/")
 
 
 def labelled() -> list[tuple[str, str, bool]]:

@@ -339,6 +339,18 @@ def test_url_rules(spark):
     assert found[None]["verdict"] == "allow" and url_filter.judge_urls(pages.where("false")).count() == 0
 
 
+def test_url_table_is_general(spark):
+    hosts = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select(url_filter.host_of(F.col("url"))).distinct().collect()
+    stems = {w for (h,) in hosts for w in h.split(".")[:-2] if w not in ("www", "m", "blog")}
+    spam = {n for n in stems if any(w in n for w in ("casino", "bets", "pills", "ads-track", "spam", "adult"))}
+    rows = url_filter.labelled()
+    names = {h.split(".")[-3] for h, _, blocked in rows if not blocked}
+    assert not names & (stems - spam)
+    # No name that only repeats the start of a host's invented name, and no path of a language folder.
+    assert not any(n[:4] == w[:4] for n in ("tionst", "therin", "thatou") for w in names)
+    assert not any(p[:4] in ("/en/", "/de/", "/fr/", "/es/") for _, p, _ in rows)
+
+
 def test_url_model_on_pages(spark):
     found = url_filter.judge_urls(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).where("rule is null")
     spam = F.col("host").rlike("casino|bets|pills|ads-track|spam|adult")
