@@ -32,11 +32,13 @@ from . import common
 
 Q = 10
 # Normalised bytes of a segment, bytes between segment starts, edits allowed per 100 bytes.
-SEGMENT, STEP, EDIT_PERCENT = 80, 40, 8
-# Normalised bytes below which an item is too short to be evidence.
+SEGMENT, STEP, EDIT_PERCENT = 80, 20, 8
+# Normalised bytes below which an item is one segment that must occur without an edit.
 SHORTEST = 40
 # Item bytes of a broadcast block.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+# Stands for a null item id inside an array.
+_NO_ID = np.iinfo(np.int64).min
 _TABLE_BITS = 22
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -84,22 +86,23 @@ class Segments:
 
     @property
     def edits(self) -> np.ndarray:
-        return np.minimum(self.lengths * EDIT_PERCENT // 100, np.maximum(0, self.lengths // Q - 1))
+        allowed = np.minimum(self.lengths * EDIT_PERCENT // 100, np.maximum(0, self.lengths // Q - 1))
+        return np.where(self.lengths < SHORTEST, 0, allowed)
 
 
-def segments(items: list[tuple[int, str]]) -> Segments:
+def segments(items: list[tuple[int | None, str]]) -> Segments:
     """Cut items into segments; the last one ends with the item."""
     texts, starts, lengths, owners, at = [], [], [], [], 0
     for item, text in items:
         raw = np.frombuffer((text or "").encode(), np.uint8)
         text, _ = normalise(raw, np.array([0, len(raw)]))
         text = text[:-1] if len(text) and text[-1] == 32 else text
-        if len(text) < SHORTEST:
-            continue
+        if len(text) < Q:
+            continue  # without a q-gram
         for start in [*range(0, max(1, len(text) - SEGMENT), STEP), max(0, len(text) - SEGMENT)]:
             starts.append(at + start)
             lengths.append(min(SEGMENT, len(text)))
-            owners.append(item)
+            owners.append(_NO_ID if item is None else item)
         texts.append(text)
         at += len(text)
     text = np.concatenate(texts) if texts else np.zeros(0, np.uint8)
@@ -232,8 +235,9 @@ def _scan(shared, place: int):
                 hits = passages(known, text, bounds)
                 if hits:
                     rows = batch.column(0).slice(i, j - i).take(pa.array([h[0] for h in hits]))
+                    ids = [None if h[1] == _NO_ID else h[1] for h in hits]
                     yield pa.RecordBatch.from_arrays(
-                        [rows, *(pa.array([h[k] for h in hits], pa.int64()) for k in (1, 2, 3, 4))],
+                        [rows, pa.array(ids, pa.int64()), *(pa.array([h[k] for h in hits], pa.int64()) for k in (2, 3, 4))],
                         names=["doc", "item_id", "first", "last", "edits"],
                     )
 
@@ -243,7 +247,7 @@ def _scan(shared, place: int):
 def _blocks(benchmark: DataFrame) -> Iterator[Segments]:
     """Segments of the benchmark, block by block; the driver holds one block."""
     items, size = [], 0
-    for r in benchmark.where("item_id is not null and text is not null").select("item_id", "text").toLocalIterator():
+    for r in benchmark.where("text is not null").select("item_id", "text").toLocalIterator():
         items.append((r["item_id"], r["text"]))
         size += len(r["text"])
         if size >= BLOCK_BYTES:
@@ -257,9 +261,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, by: str = "doc_id") -> D
     """``<by>, item_id, first, last, edits``: every passage of a document that a benchmark item explains.
 
     Positions count normalised bytes.  A null text has no passage; a null ``doc_id`` is
-    reported as null; repeated rows are reported as often as they occur; items that
-    are null, have no id, or have fewer than ``SHORTEST`` normalised bytes are not
-    searched; repeated items are reported each.  Empty tables give an empty result.
+    reported as null; repeated rows are reported as often as they occur; an item without
+    an id is reported under a null id; an item of fewer than ``SHORTEST`` normalised bytes
+    must occur whole and without an edit; null items and those of fewer than ``Q`` bytes are
+    not searched.  An exact quote of ``SEGMENT + STEP - 1`` bytes of an item is always found.  Empty tables give an empty result.
     """
     kind = docs.schema[by].dataType.simpleString()
     rows = docs.select(F.col(f"`{by}`").alias("doc"), F.col("text"))

@@ -371,6 +371,15 @@ def test_decontamination(spark, awkward):
     assert decontaminate.contaminated(table, benchmark.where("false")).count() == 0
 
 
+def test_decontamination_of_short_items_and_quotes(spark):
+    item = prose(501, 60)
+    quotes = [(100 + i, "qq " + item[i : i + 101] + " qq") for i in range(3, 60, 7)]
+    docs = quotes + [(1, "so Thirty bytes, or less! so"), (2, "so thirty bytez or less so"), (3, "qq " + "anonymous item " * 6)]
+    benchmark = spark.createDataFrame([(7, item), (8, "thirty bytes or less"), (None, "anonymous item " * 6)], "item_id long, text string")
+    hits = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in hits} == {(d, 7) for d, _ in quotes} | {(1, 8), (3, None)}
+
+
 def test_banded_alignment_against_full(spark):
     r = random.Random(12)
     for n in range(40):
