@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, language_id, near_dup, secret_scan, substring_dedup, suffix_dedup
+from . import decontaminate, html_extract, language_id, near_dup, ranked_search, secret_scan, substring_dedup, suffix_dedup
 from .common import table
 from .packing import pack
 from .topk_search import top_k
@@ -56,10 +56,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_language_id, op2_packing, op3_topk_search, op4_suffix_dedup, op5_url_filter, op6_decontaminate, op7_near_dup, op8_html_extract,
-        op9_substring_dedup, op10_secret_scan,
+        op9_substring_dedup, op10_secret_scan, op12_ranked_search,
     )
 }
 
@@ -127,4 +131,26 @@ SQL: dict[str, str] = {
             from flags group by r)
         select doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
         from docs left join kept on docs.r = kept.r""",
+    "op12_ranked_search": r"""
+        with docs as (
+            select row_number() over () as d, doc_id,
+              regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ts
+            from documents),
+          sizes as (select d, doc_id, len(ts)::bigint as n from docs where len(ts) > 0),
+          total as (select count(*)::bigint as nd, sum(n)::bigint as nt from sizes),
+          tf as (select d, t, count(*)::bigint as tf from (select d, unnest(ts) as t from docs) group by all),
+          df as (select t, count(*)::bigint as df from tf group by t),
+          items as (
+            select row_number() over () as i, item_id,
+              list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as ts
+            from benchmark),
+          asked as (select i, item_id, unnest(ts) as t from items),
+          scores as (
+            select i, item_id, doc_id, tf.d,
+              sum(floor(1000 * ln((2 * nd + 2)::double / (2 * df + 1)))::bigint * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nd) // nt))))::bigint as score
+            from asked join tf on tf.t = asked.t join df on df.t = asked.t join sizes on sizes.d = tf.d cross join total
+            group by all)
+        select item_id, rank, doc_id, score
+        from (select *, cast(row_number() over (partition by i order by score desc, doc_id) as int) as rank from scores where score > 0)
+        where rank <= 10""",
 }
