@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, language_id, near_dup, ranked_search, secret_scan, substring_dedup, suffix_dedup
+from . import decontaminate, html_extract, language_id, near_dup, phrase_mining, ranked_search, secret_scan, substring_dedup, suffix_dedup
 from .common import table
 from .packing import pack
 from .topk_search import top_k
@@ -56,6 +56,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.collocations(table(spark, sf_dir, "documents"), least=100, percent=100, top=2000)
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
 
@@ -63,7 +67,7 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_language_id, op2_packing, op3_topk_search, op4_suffix_dedup, op5_url_filter, op6_decontaminate, op7_near_dup, op8_html_extract,
-        op9_substring_dedup, op10_secret_scan, op12_ranked_search,
+        op9_substring_dedup, op10_secret_scan, op11_phrase_mining, op12_ranked_search,
     )
 }
 
@@ -131,6 +135,32 @@ SQL: dict[str, str] = {
             from flags group by r)
         select doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
         from docs left join kept on docs.r = kept.r""",
+    "op11_phrase_mining": r"""
+        with docs as (
+            select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+          pieces as (
+            select lang, regexp_extract_all(p, '[^\x20\x09]+') as ws
+            from (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as p from docs)),
+          totals as (select lang, sum(len(ws))::bigint as n from pieces group by lang),
+          grams as (
+            select lang, m, ws[i : i + m - 1] as w
+            from (select lang, ws, m, unnest(range(1, len(ws) - m + 2)) as i from pieces, (select unnest(range(1, 6)) as m) where len(ws) >= m)),
+          counts as (select lang, m, array_to_string(w, ' ') as phrase, count(*)::bigint as f from grams group by all having count(*) >= 100),
+          cand as (select lang, m, phrase, string_split(phrase, ' ') as w, f as a from counts where m > 1),
+          cuts as (select *, unnest(range(1, m)) as k from cand),
+          scored as (
+            select c.lang, c.phrase, c.k, c.a, x.f as l, y.f as r, n, ((1000::hugeint * c.a * n) // (x.f::hugeint * y.f))::bigint as score
+            from cuts as c join counts as x on x.lang = c.lang and x.phrase = array_to_string(c.w[1 : c.k], ' ')
+              join counts as y on y.lang = c.lang and y.phrase = array_to_string(c.w[c.k + 1 : c.m], ' ') join totals as t on t.lang = c.lang),
+          best as (select * from (select *, row_number() over (partition by lang, phrase order by score, k) as cut from scored) where cut = 1),
+          inside as (
+            select lang, array_to_string(w[i : i + s - 1], ' ') as phrase, max(a) as around
+            from (select lang, w, a, s, unnest(range(1, m - s + 2)) as i from cand, (select unnest(range(2, 5)) as s) where s < m) group by all),
+          kept as (
+            select best.* from best left join inside on inside.lang = best.lang and inside.phrase = best.phrase where around is null or 100 * around < 100 * a)
+        select lang, rank, phrase, a, l, r, n, score
+        from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+        where rank <= 2000""",
     "op12_ranked_search": r"""
         with docs as (
             select row_number() over () as d, doc_id,
