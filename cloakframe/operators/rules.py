@@ -7,7 +7,9 @@ texts it runs over do not.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, replace
+from itertools import groupby
 
 import pandas as pd
 from pyspark.errors import PySparkException
@@ -17,13 +19,15 @@ from pyspark.sql import types as T
 
 from ..functions import catalogue as cat
 from ..functions.text import each_struct, quote_pattern, quote_replacement, regex_flags
+from .many_terms import apply_terms
 
 RULE_LOG_TYPE = (
     "array<struct<ruleId:string,originalTermDisplay:string,appliedPattern:string,"
     "replacedWith:string,count:bigint>>"
 )
 # Up to this many rules become one projection each, with literal patterns that
-# are compiled once per task.  A longer list becomes one fold over an array.
+# are compiled once per task.  Of a longer list, runs of at least as many literal
+# rules become one automaton, the rest one fold over an array.
 CHAINED_RULES = 40
 
 
@@ -208,56 +212,90 @@ def _log_entry(step: _Step, count: Column) -> Column:
     )
 
 
+def _entries(steps: list[_Step], counts: list[Column]) -> Column:
+    """Log of some rules in order: those that matched, and those that were skipped."""
+    count = iter(counts)
+    entries = []
+    for step in steps:
+        n = F.lit(0) if step.pattern is None else next(count)
+        entries.append(_log_entry(step, n) if step.pattern is None else F.when(n > 0, _log_entry(step, n)))
+    return F.array_compact(F.array(*entries))
+
+
+def _chain(df: DataFrame, steps: list[_Step], output_col: str, name: str) -> tuple[DataFrame, Column]:
+    """One projection per rule."""
+    counts = []
+    for i, step in enumerate(s for s in steps if s.pattern is not None):
+        counts.append(f"{name}_{i}")
+        df = df.withColumn(counts[-1], F.regexp_count(output_col, F.lit(step.pattern)))
+        # The text before is used once, so a filter on the outcome that the optimizer
+        # pushes down grows with the number of rules, not with its power.
+        df = df.withColumn(output_col, F.regexp_replace(output_col, step.pattern, step.replacement))
+    return df, _entries(steps, [F.col(c) for c in counts])
+
+
+def _fold(df: DataFrame, steps: list[_Step], output_col: str, name: str) -> tuple[DataFrame, Column]:
+    """One aggregate over an array of patterns."""
+    active = [s for s in steps if s.pattern is not None]
+    program = F.array(*[F.struct(F.lit(s.pattern).alias("pattern"), F.lit(s.replacement).alias("replacement")) for s in active])
+    folded = F.aggregate(
+        program,
+        F.struct(F.col(output_col).alias("text"), F.array().cast("array<int>").alias("counts")),
+        lambda acc, step: F.struct(
+            F.regexp_replace(acc["text"], step["pattern"], step["replacement"]).alias("text"),
+            F.concat(acc["counts"], F.array(F.regexp_count(acc["text"], step["pattern"]))).alias("counts"),
+        ),
+    )
+    df = df.withColumn(name, folded).withColumn(output_col, F.col(name)["text"])
+    return df, _entries(steps, [F.col(name)["counts"][i] for i in range(len(active))])
+
+
+def _scan(df: DataFrame, steps: list[_Step], output_col: str, name: str) -> tuple[DataFrame, Column]:
+    """One automaton over all terms; a skipped rule has no term."""
+    rules = [
+        (s.rule.id, s.rule.original_term, s.shown_pattern, s.rule.shown_replacement, s.rule.original_term if s.pattern is not None else "",
+         "" if s.rule.remove else s.rule.replacement_term, s.rule.case_sensitive) for s in steps
+    ]
+    df = apply_terms(df, rules, F.col(output_col), name)
+    return df.withColumn(output_col, F.col(name)["text"]), F.col(name)["log"]
+
+
+def _segments(steps: list[_Step], chained: int, many: int) -> list[tuple[Callable, list[_Step]]]:
+    """Rules in order, cut into the parts that run in one way; a skipped rule goes with the one before."""
+    if sum(s.pattern is not None for s in steps) <= chained:
+        return [(_chain, steps)] if steps else []
+    literal, kinds = True, []
+    for step in steps:
+        literal = literal if step.pattern is None else not step.rule.is_regex
+        kinds.append(literal)
+    runs: list[tuple[Callable, list[_Step]]] = []
+    for literal, group in groupby(zip(kinds, steps), key=lambda pair: pair[0]):
+        part = [step for _, step in group]
+        way = _scan if literal and len(part) >= many else _fold
+        if runs and way is runs[-1][0] is _fold:
+            runs[-1][1].extend(part)
+        else:
+            runs.append((way, part))
+    return runs
+
+
 def apply_rules(
-    df: DataFrame, rules: list, text_col: str = "text", output_col: str = "redacted", chained: int = CHAINED_RULES
+    df: DataFrame, rules: list, text_col: str = "text", output_col: str = "redacted", chained: int = CHAINED_RULES, many: int = CHAINED_RULES
 ) -> DataFrame:
     """Rules in order, each on the output of the one before; narrow.
 
     Adds ``output_col`` and ``rule_log``: an entry per rule that matched, with
     its count on the text it saw, and one with count 0 per rule that was skipped.
+    Of a list of more than ``chained`` rules, ``many`` literal rules in a row cost one
+    pass over the text, see ``many_terms``.
     """
     steps = plan_rules(df.sparkSession, rules)
-    active = [s for s in steps if s.pattern is not None]
-    counts: dict[int, Column] = {}
-    if len(active) <= chained:
-        out = df.withColumn(output_col, F.col(text_col))
-        for i, step in enumerate(active):
-            counts[id(step)] = F.col(f"_count_{i}")
-            out = out.withColumn(f"_count_{i}", F.regexp_count(output_col, F.lit(step.pattern)))
-            # The text before is used once, so a filter on the outcome that the optimizer
-            # pushes down grows with the number of rules, not with its power.
-            out = out.withColumn(output_col, F.regexp_replace(output_col, step.pattern, step.replacement))
-        scratch = [f"_count_{i}" for i in range(len(active))]
-    else:
-        program = F.array(
-            *[
-                F.struct(F.lit(s.pattern).alias("pattern"), F.lit(s.replacement).alias("replacement"))
-                for s in active
-            ]
-        )
-        folded = F.aggregate(
-            program,
-            F.struct(F.col(text_col).alias("text"), F.array().cast("array<int>").alias("counts")),
-            lambda acc, step: F.struct(
-                F.regexp_replace(acc["text"], step["pattern"], step["replacement"]).alias("text"),
-                F.concat(
-                    acc["counts"], F.array(F.regexp_count(acc["text"], step["pattern"]))
-                ).alias("counts"),
-            ),
-        )
-        out = df.withColumn("_folded", folded)
-        for i, step in enumerate(active):
-            counts[id(step)] = F.col("_folded")["counts"][i]
-        out = out.withColumn(output_col, F.col("_folded")["text"])
-        scratch = ["_folded"]
-    entries = []
-    for step in steps:
-        if step.pattern is None:
-            entries.append(_log_entry(step, F.lit(0)))
-        else:
-            count = counts[id(step)]
-            entries.append(F.when(count > 0, _log_entry(step, count)))
-    log = F.array_compact(F.array(*entries)) if entries else F.array()
+    out, logs = df.withColumn(output_col, F.col(text_col)), []
+    for i, (way, segment) in enumerate(_segments(steps, chained, many)):
+        out, log = way(out, segment, output_col, f"_rules_{i}")
+        logs.append(log)
+    scratch = [c for c in out.columns if c.startswith("_rules_") and c not in df.columns]
+    log = F.concat(*logs) if logs else F.array()
     return out.withColumn("rule_log", log.cast(RULE_LOG_TYPE)).drop(*scratch)
 
 

@@ -8,7 +8,7 @@ from cloakframe.plans import text_job
 
 from .inputs import (
     IDENTITIES_SQL, MESSAGES_SQL, NOTES_SQL, UPLOADS_SQL, identities, messages, notes, sql_all, sql_emails, sql_phones,
-    sql_redacted, sql_valid_bsn, sql_valid_iban, texts, uploads,
+    sql_redacted, sql_valid_bsn, sql_valid_iban, table, texts, uploads,
 )
 from .registry import query
 
@@ -226,6 +226,22 @@ def rules_folded(spark, sf):
     return rules.apply_rules(messages(spark, sf), SEQUENCE, chained=0).select("doc_id", "redacted")
 
 
+@query(
+    "rules_many_terms",
+    f"""
+    select doc_id, case when cust_id in (select c_custkey from customer) then replace(text, concat('klant', cust_id, '@'), concat('[K', cust_id % 7, ']')) else text end as redacted,
+      case when cust_id in (select c_custkey from customer) then concat('k', cust_id, ':1') else '' end as log
+    from {MESSAGES_SQL} as m
+    """,
+)
+def rules_many_terms(spark, sf):
+    """A rule per customer, all of them in one pass."""
+    keys = [r[0] for r in table(spark, sf, "customer").select("c_custkey").collect()]
+    listed = [{"id": f"k{k}", "originalTerm": f"Klant{k}@", "replacementTerm": f"[K{k % 7}]"} for k in keys]
+    log = F.array_join(F.transform("rule_log", lambda e: F.concat(e["ruleId"], F.lit(":"), e["count"])), ",")
+    return rules.apply_rules(messages(spark, sf), listed).select("doc_id", "redacted", log.alias("log"))
+
+
 @query(
     "rule_counts",
     f"""
