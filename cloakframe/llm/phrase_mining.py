@@ -5,11 +5,13 @@
    all tasks.  Buckets only spare work: on a corpus so large that all of them are full,
    nothing is spared and the result is the same.
 2. Every shard lists, per position, the words from there on for as long as all pairs may
-   be frequent, five at most: its sorted n-grams with their counts, distinct per shard.
-3. They are dealt to prefix ranges in sorted order.  In a range the union of the shards'
-   lists is run through incrementally: each new word opens a state, a state's weight is
-   the sum of all n-grams below it, which is how often the phrase that leads to it occurs.
-   States that a range's bound cuts through are summed over the ranges.
+   be frequent, five at most: its distinct n-grams, sorted, with their counts.
+3. They are dealt to prefix ranges by their first two words, one packed list per shard and
+   range.  In a range the lists' union opens a state per prefix; its weight is the sum of
+   all n-grams below it, which is how often the phrase that leads to it occurs.  Only
+   frequent states are followed further.  n-grams under a very frequent pair do not go to
+   one range: they are sorted and cut by their whole length, and states that a cut goes
+   through are summed over the ranges.
 4. The frequent phrases of a prefix range become a minimal acyclic transducer, built
    incrementally from their sorted order; the weights along a path sum to the place of
    the phrase's count.  The parts of all candidates, sorted, are composed with it.  A
@@ -36,6 +38,8 @@ from .tokens import Tokens, byte_set, encode, hashes, pack, pack_words, shards,
 MOST_WORDS = 5
 # Buckets of single words and of pairs of words, as powers of two; slices of 2^18 are summed apart.
 WORD_BITS, PAIR_BITS, SLICE_BITS = 22, 24, 18
+# Occurrences of a pair from which its n-grams are cut by their whole length.
+FREQUENT_PAIR = 1 << 18
 # Phrases of one transducer, and asks that meet it in one task.
 RANGE_PHRASES, RANGE_ASKS = 1 << 15, 1 << 17
 # Rows of one language that are ranked in one task at first.
@@ -53,13 +57,21 @@ def _tokens(shard: pa.Table) -> tuple[Tokens, np.ndarray, list[str]]:
     return found, number.astype(np.int64), lang.dictionary.to_pylist()
 
 
-def _cells(found: Tokens, number: np.ndarray, langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every word, and of every pair of a token with the one after it."""
-    word = hashes(found.vocabulary.to_pylist()).astype(np.uint64)[found.ids]
-    lang = hashes(x.encode() for x in langs).astype(np.uint64)[number] << np.uint64(32)
-    words = mix(word ^ lang) & np.uint64(_WORD_CELLS - 1)
-    pairs = mix((mix(word[:-1] ^ lang[:-1]) >> np.uint64(1)) + word[1:]) & np.uint64(_PAIR_CELLS - 1)
-    return words.astype(np.int64), pairs.astype(np.int64)
+def _word_hash(lang: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(word ^ (lang << np.uint64(32)))
+
+
+def _pair_hash(lang: np.ndarray, word: np.ndarray, after: np.ndarray) -> np.ndarray:
+    return mix((_word_hash(lang, word) >> np.uint64(1)) + after)
+
+
+def _cells(hashed: np.ndarray, count: int) -> np.ndarray:
+    return (hashed & np.uint64(count - 1)).astype(np.int64)
+
+
+def _hashed(found: Tokens, number: np.ndarray, langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word's language, and of every word."""
+    return hashes(x.encode() for x in langs).astype(np.uint64)[number], hashes(found.vocabulary.to_pylist()).astype(np.uint64)[found.ids]
 
 
 def _sums(counts: np.ndarray) -> Iterator[dict]:
@@ -74,8 +86,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(_WORD_CELLS + _PAIR_CELLS, np.uint32)
     for shard in shards(batches):
         found, number, langs = _tokens(shard)
-        words, pairs = _cells(found, number, langs)
-        for cells in (words, pairs[~found.begins[1:]] + _WORD_CELLS):
+        lang, word = _hashed(found, number, langs)
+        pairs = _cells(_pair_hash(lang[:-1], word[:-1], word[1:]), _PAIR_CELLS)
+        for cells in (_cells(_word_hash(lang, word), _WORD_CELLS), pairs[~found.begins[1:]] + _WORD_CELLS):
             at, n = np.unique(cells, return_counts=True)
             counts[at] += n.astype(np.uint32)
     yield pa.RecordBatch.from_pylist(list(_sums(counts)), schema=pa.schema([("part", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary())]))
@@ -94,8 +107,8 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("part", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary())]))
 
 
-def frequent_cells(docs: DataFrame, least: int) -> np.ndarray:
-    """Bits of the buckets that hold ``least`` or more: one for words, one for pairs, of fixed size."""
+def frequent_cells(docs: DataFrame, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of the buckets, of words and then of pairs, that hold ``least`` or more, and ``most`` or more; of fixed size."""
     spark = docs.sparkSession
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = (_WORD_CELLS + _PAIR_CELLS) >> SLICE_BITS
@@ -108,24 +121,29 @@ def frequent_cells(docs: DataFrame, least: int) -> np.ndarray:
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _summed(batches):
             row = batch.to_pylist()[0]
-            full = np.zeros(1 << SLICE_BITS, bool)
-            full[np.cumsum(unpack(row["cells"]))] = unpack(row["counts"]) >= least
-            yield pa.RecordBatch.from_pydict({"part": [row["part"]], "bits": [np.packbits(full).tobytes()]}, schema=pa.schema([("part", pa.int32()), ("bits", pa.binary())]))
+            counts = np.zeros(1 << SLICE_BITS, np.int64)
+            counts[np.cumsum(unpack(row["cells"]))] = unpack(row["counts"])
+            full = [[np.packbits(counts >= n).tobytes()] for n in (least, most)]
+            yield pa.RecordBatch.from_arrays([pa.array([row["part"]], pa.int32()), *(pa.array(x, pa.binary()) for x in full)], names=["part", "often", "hot"])
+
+    out = np.zeros((2, parts, (1 << SLICE_BITS) // 8), np.uint8)
+    for row in sums.repartition(min(wide, parts), "part").mapInArrow(bits, "part int, often binary, hot binary").collect():
+        out[:, row["part"]] = [np.frombuffer(row[c], np.uint8) for c in ("often", "hot")]
+    return out[0].reshape(-1), out[1].reshape(-1)
+
 
-    out = np.zeros((parts, (1 << SLICE_BITS) // 8), np.uint8)
-    for row in sums.repartition(min(wide, parts), "part").mapInArrow(bits, "part int, bits binary").collect():
-        out[row["part"]] = np.frombuffer(row["bits"], np.uint8)
-    return out.reshape(-1)
+def _holds(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    return (bits[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1
 
 
-def _reach(found: Tokens, frequent: np.ndarray, words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+def _reach(found: Tokens, frequent: np.ndarray, lang: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Words that the n-gram from each position may have: 0 if its word is rare."""
-    holds = lambda cells: (frequent[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1
-    word = holds(words)
+    word = _holds(frequent, _cells(_word_hash(lang, words), _WORD_CELLS))
     further = word.copy()
     if len(word):
+        pairs = _cells(_pair_hash(lang[:-1], words[:-1], words[1:]), _PAIR_CELLS)
         further[-1] = False
-        further[:-1] &= word[1:] & ~found.begins[1:] & holds(pairs + _WORD_CELLS)
+        further[:-1] &= word[1:] & ~found.begins[1:] & _holds(frequent, pairs + _WORD_CELLS)
     reach, going = word.astype(np.int64), further.copy()
     for _ in range(MOST_WORDS - 1):
         reach += going
@@ -134,45 +152,129 @@ def _reach(found: Tokens, frequent: np.ndarray, words: np.ndarray, pairs: np.nda
     return reach
 
 
-def _listed(frequent: np.ndarray) -> Callable:
-    """Sorted distinct n-grams of every shard with their counts; the empty one counts all words."""
-    schema = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
+_LISTS = pa.schema([
+    ("part", pa.int32()), ("langs", pa.list_(pa.string())), ("words", pa.binary()), ("path", pa.binary()), ("counts", pa.binary()),
+    ("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64()),
+])
+_LISTED = "part int, langs array<string>, words binary, path binary, counts binary, lang string, gram string, n long"
+
+
+def _grams(ids: np.ndarray, number: np.ndarray, reach: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of two words or more, sorted: language and words (-1 where it is shorter), and counts."""
+    at = np.flatnonzero(reach > 1)
+    lead, parents, last, found, counts = number[at], [], [], [], []
+    for depth in range(MOST_WORDS):
+        # The n-grams of one word more extend distinct ones: a number stands for what leads up to the word.
+        keys, place = np.unique(lead * width + ids[at + depth], return_inverse=True)
+        parents.append(keys // width)
+        last.append(keys % width)
+        longer = reach[at] > depth + 1
+        n = np.bincount(place[~longer], minlength=len(keys))
+        node = np.flatnonzero(n)
+        path = np.full((len(node), MOST_WORDS + 1), -1, np.int64)
+        counts.append(n[node])
+        for up in range(depth, -1, -1):
+            path[:, up + 1] = last[up][node]
+            node = parents[up][node]
+        path[:, 0] = node
+        found.append(path)
+        at, lead = at[longer], place[longer]
+    paths, n = np.concatenate(found), np.concatenate(counts)
+    order = np.lexsort(paths.T[::-1])
+    return paths[order], n[order]
+
+
+def _packed(part: int, langs: list[str], words: pa.Array, path: np.ndarray, counts: np.ndarray) -> dict:
+    """One shard's list for one range; only its own words go along."""
+    own, place = np.unique(path[:, 1:], return_inverse=True)
+    place = place.reshape(len(path), -1) + (own[0] >= 0)  # 0 stands for no word
+    path = np.concatenate([path[:, :1], place], axis=1)
+    return {"part": part, "langs": langs, "words": pack_words(words.take(pa.array(own[own >= 0]))), "path": pack(path.T.ravel()), "counts": pack(counts)}
+
+
+def _listed(frequent: np.ndarray, hot: np.ndarray, ranges: int) -> Callable:
+    """Lists of every shard: single words (ranges from 0), n-grams (from ``ranges``); n-grams under a hot pair one by one; all words as the empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches):
             found, number, langs = _tokens(shard)
-            reach = _reach(found, frequent, *_cells(found, number, langs))
+            lang, word = _hashed(found, number, langs)
+            reach = _reach(found, frequent, lang, word)
             order = pc.sort_indices(found.vocabulary).to_numpy()
             words = found.vocabulary.take(pa.array(order))
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
             ids, width = rank[found.ids], max(1, len(order))
-            names = pa.array(langs, pa.string())
             total = np.bincount(number, minlength=len(langs))
-            yield pa.RecordBatch.from_arrays([names, pa.array([""] * len(langs), pa.string()), pa.array(total)], schema=schema)
-            # The n-grams of one word more extend distinct ones: a number stands for what leads up to the word.
-            at = np.flatnonzero(reach)
-            lead, heads = number[at], names
-            ends = pa.array([b""] * len(langs), pa.large_binary())
-            for depth in range(MOST_WORDS):
-                keys, place = np.unique(lead * width + ids[at + depth], return_inverse=True)
-                last = words.take(pa.array(keys % width))
-                ends = pc.binary_join_element_wise(ends.take(pa.array(keys // width)), last, pa.scalar(b"", pa.large_binary()))
-                ends = pc.binary_join_element_wise(ends, pa.scalar(b" ", pa.large_binary()), pa.scalar(b"", pa.large_binary()))
-                heads = heads.take(pa.array(keys // width))
-                longer = reach[at] > depth + 1
-                n = np.bincount(place[~longer], minlength=len(keys))
-                some = np.flatnonzero(n)
-                for i in range(0, len(some), 1 << 16):
-                    pick = pa.array(some[i : i + (1 << 16)])
-                    yield pa.RecordBatch.from_arrays([heads.take(pick), ends.take(pick).cast(pa.large_string()).cast(pa.string()), pa.array(n[some[i : i + (1 << 16)]])], schema=schema)
-                at, lead = at[longer], place[longer]
-                if not len(at):
-                    break
+            out = [{"part": -1, "lang": x, "gram": "", "n": int(n)} for x, n in zip(langs, total)]
+            single, n = np.unique(number[reach > 0] * width + ids[reach > 0], return_counts=True)
+            singles = np.stack([single // width, single % width], axis=1)
+            paths, counts = _grams(ids, number, reach, width)
+            lang_hash, word_hash = hashes(x.encode() for x in langs).astype(np.uint64), hashes(words.to_pylist()).astype(np.uint64)
+            pair = _pair_hash(lang_hash[paths[:, 0]], word_hash[paths[:, 1]], word_hash[paths[:, 2]])
+            is_hot = _holds(hot, _cells(pair, _PAIR_CELLS) + _WORD_CELLS)
+            for path, size in zip(paths[is_hot].tolist(), counts[is_hot].tolist()):
+                out.append({"part": -1, "lang": langs[path[0]], "gram": "".join(words[i].as_py().decode() + " " for i in path[1:] if i >= 0), "n": size})
+            word_range = (_word_hash(lang_hash[singles[:, 0]], word_hash[singles[:, 1]]) >> np.uint64(32)) % np.uint64(ranges)
+            pair_range = (pair >> np.uint64(32)) % np.uint64(ranges) + np.uint64(ranges)
+            for table, size, where in ((singles, n, word_range), (paths[~is_hot], counts[~is_hot], pair_range[~is_hot])):
+                by_range = np.argsort(where, kind="stable")
+                stops = np.flatnonzero(np.append(np.diff(where[by_range]), 1)) + 1 if len(where) else []
+                for a, b in zip([0, *stops[:-1]], stops):
+                    pick = by_range[a:b]
+                    out.append(_packed(int(where[pick[0]]), langs, words, table[pick], size[pick]))
+            yield pa.RecordBatch.from_pylist(out, schema=_LISTS)
 
     return run
 
 
+_STATES = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("n", pa.int64())])
+
+
+def _union(least: int) -> Callable:
+    """Frequent states of the union of all shards' lists in a range."""
+
+    def run(lists: pa.Table) -> pa.Table:
+        words = [unpack_words(b) for b in lists.column("words").to_pylist()]
+        merged = pa.chunked_array(words).dictionary_encode().unify_dictionaries()
+        langs = pa.chunked_array([pa.array(x, pa.string()) for x in lists.column("langs").to_pylist()]).dictionary_encode().unify_dictionaries()
+        paths, counts = [], []
+        for blob, counted, own, names in zip(lists.column("path").to_pylist(), lists.column("counts").to_pylist(), merged.chunks, langs.chunks):
+            number = np.concatenate([[-1], own.indices.to_numpy()])
+            columns = unpack(blob).reshape(-1, len(sizes := unpack(counted)))
+            counts.append(sizes)
+            paths.append(np.concatenate([names.indices.to_numpy()[columns[:1]], number[columns[1:]]]))
+        return _weighed(np.concatenate(paths, axis=1), np.concatenate(counts), merged.chunk(0).dictionary, langs.chunk(0).dictionary, least)
+
+    return run
+
+
+def _weighed(paths: np.ndarray, counts: np.ndarray, words: pa.Array, langs: pa.Array, least: int) -> pa.Table:
+    """A state per prefix, its weight the sum of the n-grams below it; rare ones are not followed."""
+    lead, rows, out = paths[0], np.arange(paths.shape[1]), []
+    text = langs.take(pa.array(np.arange(len(langs))))
+    heads, phrases = np.arange(len(langs)), pa.array([""] * len(langs), pa.large_string())
+    words = words.cast(pa.large_string())
+    for depth in range(1, len(paths)):
+        has = paths[depth, rows] >= 0
+        rows, lead = rows[has], lead[has]
+        if not len(rows):
+            break
+        keys, place = np.unique(lead * len(words) + paths[depth, rows], return_inverse=True)
+        weight = np.zeros(len(keys), np.int64)
+        np.add.at(weight, place, counts[rows])
+        often = weight >= least
+        above, last = pa.array(keys[often] // len(words)), words.take(pa.array(keys[often] % len(words)))
+        phrases = last if depth == 1 else pc.binary_join_element_wise(phrases.take(above), last, pa.scalar(" ", pa.large_string()))
+        heads = heads[np.asarray(above)]
+        number = np.cumsum(often) - 1
+        stay = often[place]
+        rows, lead = rows[stay], number[place[stay]]
+        if depth > 1 or len(paths) == 2:  # the words that n-grams start with are counted as words
+            out.append(pa.table([text.take(pa.array(heads)), phrases.cast(pa.string()), pa.array(np.full(len(heads), depth, np.int32)), pa.array(weight[often])], schema=_STATES))
+    return pa.concat_tables(out) if out else _STATES.empty_table()
+
+
 def _stated(least: int) -> Callable:
     """Weights of the states that sorted n-grams open: whole ones of ``least`` or more, and all on the first and last path."""
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("n", pa.int64())])
@@ -199,6 +301,8 @@ def _stated(least: int) -> Callable:
                 has = np.flatnonzero(size > depth)
                 if not len(has):
                     break
+                if not depth:  # single words are counted apart
+                    continue
                 first = np.flatnonzero(~same[has])  # the words up to here change only where a state opens
                 weight = np.add.reduceat(n[has], first)
                 opened, closed = has[first], np.append(has[first[1:] - 1], has[-1])
@@ -216,16 +320,19 @@ def _stated(least: int) -> Callable:
     return run
 
 
-def phrase_counts(documents: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(documents: DataFrame, least: int, hot_pair: int = FREQUENT_PAIR) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, size, f`` of all phrases of 1 to 5 words with ``least`` or more, and ``lang, n`` (all words)."""
     docs = documents.select(
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")
     )
-    frequent = frequent_cells(docs, least)
-    grams = stash(docs.mapInArrow(_listed(frequent), "lang string, gram string, n long"))
-    totals = grams.where("gram = ''").groupBy("lang").agg(F.sum("n").alias("n"))
-    ranged = grams.where("gram <> ''").repartitionByRange("lang", "gram").sortWithinPartitions("lang", "gram")
-    states = ranged.mapInArrow(_stated(least), "lang string, phrase string, size int, n long")
+    ranges = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    frequent, hot = frequent_cells(docs, least, max(least, hot_pair))
+    lists = stash(docs.mapInArrow(_listed(frequent, hot, ranges), _LISTED))
+    totals = lists.where("gram = ''").groupBy("lang").agg(F.sum("n").alias("n"))
+    kind = "lang string, phrase string, size int, n long"
+    states = lists.where("part >= 0").select("part", "langs", "words", "path", "counts").groupBy("part").applyInArrow(_union(least), kind)
+    sorted_grams = lists.where("gram <> ''").select("lang", "gram", "n").repartitionByRange("lang", "gram").sortWithinPartitions("lang", "gram")
+    states = states.union(sorted_grams.mapInArrow(_stated(least), kind))
     counts = states.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     return stash(counts), totals
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, language_id, near_dup, phrase_mining, ranked_search, secret_scan, substring_dedup, suffix_dedup
+from . import backoff_lm, decontaminate, html_extract, language_id, near_dup, phrase_mining, ranked_search, secret_scan, substring_dedup, suffix_dedup
 from .common import table
 from .packing import pack
 from .topk_search import top_k
@@ -64,10 +64,16 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
 
 
+def op13_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    return backoff_lm.score_texts(table(spark, sf_dir, "documents"), held_out)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_language_id, op2_packing, op3_topk_search, op4_suffix_dedup, op5_url_filter, op6_decontaminate, op7_near_dup, op8_html_extract,
         op9_substring_dedup, op10_secret_scan, op11_phrase_mining, op12_ranked_search,
+        op13_backoff_lm,
     )
 }
 

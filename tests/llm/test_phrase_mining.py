@@ -69,10 +69,20 @@ def test_full_buckets_change_nothing(spark, monkeypatch):
     """On a huge corpus every bucket is full."""
     rows = corpus(2, 60)
     docs = spark.createDataFrame(rows, "lang string, text string")
-    monkeypatch.setattr(phrase_mining, "frequent_cells", lambda docs, least: np.full((phrase_mining._WORD_CELLS + phrase_mining._PAIR_CELLS) // 8, 255, np.uint8))
+    cells = (phrase_mining._WORD_CELLS + phrase_mining._PAIR_CELLS) // 8
+    monkeypatch.setattr(phrase_mining, "frequent_cells", lambda docs, least, most: (np.full(cells, 255, np.uint8), np.zeros(cells, np.uint8)))
     assert sorted(tuple(r) for r in collocations(docs, 9, 100, 50).collect()) == brute(rows, 9, 100, 50)
 
 
+@pytest.mark.parametrize("hot_pair", [1, 40])
+def test_frequent_pairs_are_cut(spark, hot_pair):
+    rows = corpus(3, 120) + AWKWARD
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(4)
+    counts, _ = phrase_mining.phrase_counts(docs, 7, hot_pair)
+    wanted, _ = phrase_mining.phrase_counts(docs, 7, 10**9)
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, wanted.collect()))
+
+
 def test_empty_and_clashing_columns(spark):
     assert collocations(spark.createDataFrame([], "lang string, text string")).count() == 0
     docs = spark.createDataFrame([("en", "a b c", 1, "n", "f")] * 3, "lang string, text string, n int, phrase string, f string")
