@@ -46,14 +46,16 @@ from .tokens import SPACES, encode, hashes, pack, pack_words, shards, unpack, un
 DISCOUNTED = 5
 # Added to the count of every context.
 KEPT = 0.01
-# Occurrences of a context from which its pairs are split over several tasks.
+# Training tokens whose pairs meet in one range of the pair table.
+RANGE_TOKENS = 1 << 20
+# Occurrences of a context from which its pairs are split over several ranges.
 FREQUENT = 1 << 20
 
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
 _SHARD = "shard long, range int, words binary, counts binary, ids array<long>, held array<boolean>"
 _ANSWER = "shard long, range int, numbers binary, counts binary, stats array<long>"
 _PAIRS = "shard long, range int, v binary, runs binary, cv binary, w binary, cw binary, train binary, met binary, docs binary, ids array<long>, held array<boolean>, base binary, score binary"
-_MODEL = "kind string, shard long, range int, docs binary, score binary, classes binary, v long, doc int, n long, m array<long>, c long, p double, stats array<long>"
+_MODEL = "kind string, shard long, range int, docs binary, score binary, classes binary, ids array<long>, held array<boolean>, base binary, v long, doc int, n long, m array<long>, c long, p double, stats array<long>"
 
 
 def _arrow(schema: str) -> pa.Schema:
@@ -179,7 +181,7 @@ def _pairs(model: Unigrams, ranges: int, frequent: int) -> Callable:
             sizes, np.bincount(doc, count[stream] > 0, n), np.bincount(doc, model.base(count)[stream], n),
         ]).astype(np.float64)
         score = np.bincount(doc[alone], np.log10(model(count))[stream[alone]], n)
-        out = [{"shard": row["shard"], "range": -1, "ids": row["ids"], "held": row["held"], "base": stats.tobytes(), "score": score.tobytes()}]
+        out = [{"shard": row["shard"], "range": -1 - row["shard"] % ranges, "ids": row["ids"], "held": row["held"], "base": stats.tobytes(), "score": score.tobytes()}]
         width = len(number) + 1
         asked = np.flatnonzero(~alone)
         key = before[asked] * width + np.where(count[stream[asked]] > 0, stream[asked], width - 1)
@@ -210,11 +212,16 @@ def _pairs(model: Unigrams, ranges: int, frequent: int) -> Callable:
 
 
 def _pair_range(model: Unigrams, frequent: int) -> Callable:
-    """Sum a range of the pair table; per shard and text what follows from it, and the contexts that were backed off from."""
+    """Sum a range of the pair table; per shard and text what follows from it, and the contexts that were backed off from.
+
+    Rows of texts pass through.
+    """
     schema = _arrow(_MODEL)
 
     def run(asks: pa.Table) -> pa.Table:
         rows = asks.to_pylist()
+        if rows[0]["range"] < 0:
+            return pa.Table.from_pylist([{"kind": "shard"} | {k: r[k] for k in ("shard", "range", "ids", "held", "base", "score")} for r in rows], schema=schema)
         rows.sort(key=lambda r: r["shard"])
         join = lambda name: np.concatenate([unpack(r[name]) for r in rows])
         v, cv = (np.repeat(join(name), join("runs")) for name in ("v", "cv"))
@@ -306,23 +313,28 @@ def score_texts(documents: DataFrame, held_out, frequent: int = FREQUENT) -> Dat
     )
     streams = stash(docs.mapInArrow(_streams(ranges), _SHARD))
     answers = stash(streams.where("range >= 0").select("shard", "range", "words", "counts").groupBy("range").applyInArrow(_word_range(ranges), _ANSWER))
-    of = lambda table, n: [int(table.where(F.col("stats").isNotNull()).agg(F.sum(F.col("stats")[i])).first()[0] or 0) for i in range(n)]
-    tokens, types, *of_count = of(answers, DISCOUNTED + 3)
+    tokens, types, *of_count = _summed(answers, DISCOUNTED + 3)
     model = Unigrams(tokens, types, of_count)
     texts = streams.where("range < 0").groupBy("shard")
-    asks = stash(texts.cogroup(answers.where("shard >= 0").select("shard", "range", "numbers", "counts").groupBy("shard")).applyInArrow(_pairs(model, ranges, frequent), _PAIRS))
-    wanted = asks.where("range >= 0").drop("ids", "held", "base", "score")
-    found = stash(wanted.groupBy("range").applyInArrow(_pair_range(model, frequent), _MODEL))
-    factors = discounts(of(found, DISCOUNTED + 1))
-    scored = _backed_off(found, factors)
-    doc = asks.where("range < 0").select(F.lit("shard").alias("kind"), "shard", "range", F.lit(None).cast("int").alias("doc"), F.lit(None).cast("double").alias("p"), "ids", "held", "base", "score", F.lit(None).cast("binary").alias("docs"), F.lit(None).cast("binary").alias("classes"))
-    none = [F.lit(None).cast(t).alias(n) for n, t in (("ids", "array<long>"), ("held", "array<boolean>"), ("base", "binary"))]
-    part = found.where("kind = 'texts'").select("kind", "shard", "range", "doc", "p", *none, "score", "docs", "classes")
-    back = scored.select(F.lit("back").alias("kind"), "shard", F.lit(0).alias("range"), "doc", "p", *none, *[F.lit(None).cast("binary").alias(n) for n in ("score", "docs", "classes")])
-    out = doc.unionByName(part).unionByName(back).groupBy("shard").applyInArrow(_texts(factors), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    answered = answers.where("shard >= 0").select("shard", "range", "numbers", "counts").groupBy("shard")
+    asks = texts.cogroup(answered).applyInArrow(_pairs(model, max(1, -(-tokens // RANGE_TOKENS)), frequent), _PAIRS)
+    found = stash(asks.groupBy("range").applyInArrow(_pair_range(model, frequent), _MODEL))
+    factors = discounts(_summed(found, DISCOUNTED + 1))
+    columns = ["kind", "shard", "range", "docs", "score", "classes", "ids", "held", "base", "doc", "p"]
+    parts = found.where(F.col("kind").isin("shard", "texts")).select(*columns)
+    back = _backed_off(found, factors).withColumns({"kind": F.lit("back"), "range": F.lit(0)})
+    given = {f.name: f.dataType for f in parts.schema.fields}
+    back = back.select(*[F.col(c) if c in back.columns else F.lit(None).cast(given[c]).alias(c) for c in columns])
+    out = parts.unionByName(back).groupBy("shard").applyInArrow(_texts(factors), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def _summed(table: DataFrame, n: int) -> list[int]:
+    """The first ``n`` statistics of all ranges."""
+    sums = [F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)) for i in range(n)]
+    return [int(x) for x in table.where(F.col("stats").isNotNull()).agg(*sums).first()]
+
+
 def _backed_off(found: DataFrame, factors: np.ndarray) -> DataFrame:
     """``shard, doc, p``: the logarithms of the backoff weights that a text met, summed."""
     sums = [F.sum(F.col("m")[i]).alias(f"m{i}") for i in range(DISCOUNTED)]

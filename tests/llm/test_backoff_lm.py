@@ -86,7 +86,8 @@ AWKWARD = [(1000, None), (1001, ""), (1002, " \n"), (None, "w1 w2"), (None, None
 
 
 @pytest.mark.parametrize("frequent", [backoff_lm.FREQUENT, 20])
-def test_as_plain_model(spark, frequent):
+def test_as_plain_model(spark, frequent, monkeypatch):
+    monkeypatch.setattr(backoff_lm, "RANGE_TOKENS", 500)
     rows = corpus(1, 250) + AWKWARD
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     compared(score_texts(docs, F.expr(HELD), frequent).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"), rows)
