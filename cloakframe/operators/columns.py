@@ -263,30 +263,28 @@ def type_counts(df: DataFrame, columns: list[str], row_id=None, sample: int | No
         head = (df if last is None else df.where(F.col(names[0]) <= F.lit(last))).orderBy(*names).limit(sample)
     else:
         head = df.limit(sample)
-    shares = []
-    for name in columns:
-        text = F.col(f"`{name}`").cast("string")
-        value = F.when(~text.isin("", " "), text)
-        shares.append(
-            F.struct(
-                F.lit(name).alias("column_name"),
-                F.count(value).alias("n_values"),
-                F.count(value.try_cast("double")).alias("n_numbers"),
-                F.count(value.try_cast("timestamp")).alias("n_dates"),
-            )
-        )
-    mostly = lambda n: F.col(n) > F.lit(0.7) * F.col("n_values")
+    shares = [F.struct(F.lit(name).alias("column_name"), *value_kinds(F.col(f"`{name}`").cast("string"))) for name in columns]
     return (
         head.agg(F.array(*shares).alias("shares"))
         .select(F.inline("shares"))
-        .select(
-            "column_name",
-            F.when(mostly("n_numbers"), "number").when(mostly("n_dates"), "date").otherwise("text").alias("detected_type"),
-            "n_values", "n_numbers", "n_dates",
-        )
+        .select("column_name", mostly().alias("detected_type"), "n_values", "n_numbers", "n_dates")
     )
 
 
+def value_kinds(text: Column) -> list[Column]:
+    """Aggregates ``n_values, n_numbers, n_dates`` of string cells."""
+    value = F.when(~text.isin("", " "), text)
+    return [
+        F.count(value).alias("n_values"), F.count(value.try_cast("double")).alias("n_numbers"), F.count(value.try_cast("timestamp")).alias("n_dates"),
+    ]
+
+
+def mostly() -> Column:
+    """``number``, ``date`` or ``text``, from the counts of ``value_kinds``: more than 70 % decide."""
+    most = lambda n: F.col(n) > F.lit(0.7) * F.col("n_values")
+    return F.when(most("n_numbers"), "number").when(most("n_dates"), "date").otherwise("text")
+
+
 def rejection(rule: ColumnRule, detected: str) -> str | None:
     """Why a rule cannot run on a column of the detected type, or None."""
     kind = rule.anonymization_type
@@ -336,9 +334,8 @@ def _log_cell(rule: ColumnRule, old: Column, new: Column) -> Column:
     return F.concat(F.col(LOG_COLUMN), F.when(old.isNotNull(), F.array(entry)).otherwise(F.array().cast(LOG_TYPE)))
 
 
-def _expression(rule: ColumnRule, data_type: T.DataType, salt) -> Column:
-    """Masked value of a rule that needs nothing but its own row."""
-    c = F.col(f"`{rule.column_name}`")
+def masked_value(rule: ColumnRule, c: Column, data_type: T.DataType, salt) -> Column:
+    """Masked value of a rule that needs nothing but its own cell ``c``."""
     scope = rule.column_name
     if rule.anonymization_type == "replace":
         return replace_constant(c, rule.replace_with)
@@ -451,7 +448,7 @@ def mask_tables(
             elif numbers is not None:
                 after = with_value_number(before, column, numbers, masked, row_id)
             else:
-                after = before.withColumn(column, _expression(rule, df.schema[column].dataType, salt))
+                after = before.withColumn(column, masked_value(rule, F.col(f"`{column}`"), df.schema[column].dataType, salt))
                 if reversible_mode and rule.column_type in ("date", "number"):
                     mappings.append(
                         after.where(F.col("_before").isNotNull() & ~F.col("_before").eqNullSafe(F.col(f"`{column}`")))

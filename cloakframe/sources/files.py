@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import catalogue as cat
 from ..operators.admission import decode_text
+from .csv_cells import read_csv_split
 
 
 def spread(df: DataFrame, most: int = 64) -> DataFrame:
@@ -41,9 +42,12 @@ def read_texts_any_encoding(spark: SparkSession, path: str, glob: str = "*") ->
 def read_table_csv(spark: SparkSession, path: str, schema=None, multi_line: bool = True) -> DataFrame:
     """CSV with a header row and quoted line breaks; a byte order mark is dropped.
 
-    Cells keep their spaces.  Set ``multi_line=False`` for large files without
-    quoted line breaks, so that one file can be read by many tasks.
+    Cells keep their spaces.  One file is read by many tasks (see ``csv_cells``), but for
+    one with quoted line breaks *and* a ``schema``, which the built-in reader takes whole.
+    ``multi_line=False`` is for files without quoted line breaks.
     """
+    if multi_line and schema is None:
+        return read_csv_split(spark, path)
     reader = spark.read.option("header", "true").option("multiLine", multi_line).option("escape", '"')
     reader = reader.option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
     df = (reader.schema(schema) if schema else reader).csv(path)
