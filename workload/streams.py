@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from cloakframe.operators import monitor
-from cloakframe.operators.numbering import scratch_path
+from cloakframe.operators.numbering import scratch_path, stash
 from cloakframe.sinks import writers
 from cloakframe.sources import logs
 from cloakframe.streaming import jobs as streaming
+from cloakframe.streaming import placeholders
 
 from .inputs import JOBS, JOBS_SQL, SPARK, dialect, sql_redacted, table
 from .inputs import jobs as monitoring_jobs
@@ -119,6 +120,30 @@ def stream_mapping(spark, sf):
     return spark.read.schema(streaming.MAPPING_SCHEMA).parquet(path).drop("stream", "batch")
 
 
+@query(
+    "stream_mapping_keyed",
+    """
+    select cast(o_custkey as varchar) as original, 1::bigint as n_entries, true as kept, 1::bigint as n_originals from orders group by o_custkey
+    """,
+)
+def stream_mapping_keyed(spark, sf):
+    """Keyed state: half the orders, a restart with all of them, then a second stream that sees them all again."""
+    source, path = scratch_path(spark, "orders"), scratch_path(spark, "mapping")
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("original"), F.col("o_orderkey").alias("seen"))
+    seen = []
+    for part, checkpoint in ((orders.where("seen % 2 = 0"), "-c1"), (orders.where("seen % 2 = 1"), "-c1"), (orders.limit(0), "-c2")):
+        part.write.mode("append").parquet(source)
+        stream = streaming.read_stream(spark, source, orders.schema)
+        placeholders.allocate_keyed(stream, path, path + checkpoint, groups=32).awaitTermination()
+        seen.append(stash(placeholders.read_mapping(spark, path)))
+    first, _, last = seen
+    same = first.select("original", F.col("placeholder").alias("before"))
+    others = last.groupBy("placeholder").agg(F.count_distinct("original").alias("n_originals"))
+    entries = last.join(same, "original", "left").join(others, "placeholder")
+    kept = F.min(F.coalesce(F.col("before") == F.col("placeholder"), F.lit(True)))
+    return entries.groupBy("original").agg(F.count("*").alias("n_entries"), kept.alias("kept"), F.max("n_originals").alias("n_originals"))
+
+
 @query(
     "stream_alerts",
     f"""
