@@ -171,9 +171,9 @@ def _pairs(model: Unigrams, ranges: int, frequent: int) -> Callable:
         answers = answers.sort_by("range")
         number = np.concatenate([unpack(b) for b in answers.column("numbers").to_pylist()])
         count = np.concatenate([unpack(b) for b in answers.column("counts").to_pylist()])
-        stream, sizes = unpack(row["words"]), unpack(row["counts"])
+        stream, sizes = unpack(row["words"]).astype(np.int32), unpack(row["counts"])
         n = len(sizes)
-        doc = np.repeat(np.arange(n), sizes)
+        doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
         held = np.array(row["held"], bool)
         before = np.concatenate([stream[-1:], stream[:-1]])
         alone = count[before] == 0
@@ -183,10 +183,12 @@ def _pairs(model: Unigrams, ranges: int, frequent: int) -> Callable:
         score = np.bincount(doc[alone], np.log10(model(count))[stream[alone]], n)
         out = [{"shard": row["shard"], "range": -1 - row["shard"] % ranges, "ids": row["ids"], "held": row["held"], "base": stats.tobytes(), "score": score.tobytes()}]
         width = len(number) + 1
-        asked = np.flatnonzero(~alone)
-        key = before[asked] * width + np.where(count[stream[asked]] > 0, stream[asked], width - 1)
+        stream[count[stream] == 0] = width - 1
+        key, doc = (before.astype(np.int64) * width + stream)[~alone], doc[~alone]
+        del stream, before, alone
         order = np.argsort(key, kind="stable")
-        key, docs = key[order], doc[asked[order]]
+        key, docs = key[order], doc[order]
+        del order, doc
         first = np.flatnonzero(np.append(True, np.diff(key) != 0)) if len(key) else np.zeros(0, np.int64)
         met = np.diff(np.append(first, len(key)))
         train = np.add.reduceat((~held[docs]).astype(np.int64), first) if len(first) else first

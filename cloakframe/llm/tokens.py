@@ -17,9 +17,9 @@ import pyarrow as pa
 from .common import utf8
 
 # Bytes of text that are cut into words at once.
-PIECE_BYTES = 1 << 22
+PIECE_BYTES = 1 << 21
 # Bytes of text that a shard gathers before it is counted; one longer text is a shard of its own.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 # Rows of a shard, so that a row's number takes 16 bits.
 SHARD_ROWS = 1 << 16
 
