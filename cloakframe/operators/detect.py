@@ -281,6 +281,24 @@ def pattern_totals(findings: DataFrame) -> DataFrame:
     )
 
 
+def summary_rollup(findings: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Totals per document and pattern, per document, per pattern and overall, in one aggregate.
+
+    ``level`` says which: ``document_pattern``, ``document``, ``pattern`` or ``all``; what a
+    level sums over is NULL.  Partial sums keep a frequent pattern or a long document cheap.
+    """
+    document, pattern = F.col(id_col), F.col("pattern")
+    sets = [[document, pattern], [document], [pattern], []]
+    totals = findings.groupingSets(sets, document, pattern).agg(
+        F.grouping_id().alias("_summed"),
+        F.count("*").alias("total_matches"),
+        F.round(F.avg("confidence"), 2).alias("avg_confidence"),
+        F.count_if(F.col("confidence") >= 0.9).alias("high_confidence"),
+    )
+    level = F.element_at(F.array(*[F.lit(x) for x in ("document_pattern", "document", "pattern", "all")]), F.col("_summed").cast("int") + 1)
+    return totals.select(level.alias("level"), id_col, "pattern", "total_matches", "avg_confidence", "high_confidence")
+
+
 def _kind_report(found: Column, max_items: int) -> Column:
     return F.struct(
         F.size(found).cast("long").alias("count"),

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from cloakframe.functions import catalogue as cat
 from cloakframe.functions import validators
 from cloakframe.functions.text import each_struct, each_value
-from cloakframe.operators import columns, detect, redact
+from cloakframe.operators import columns, detect, redact, sketches
 from cloakframe.plans.text_job import preview_texts
 from cloakframe.sources import config
 
@@ -291,6 +291,35 @@ def summary_by_pattern(spark, sf):
     return detect.pattern_totals(found).withColumn("pattern", F.coalesce("pattern", F.lit("all")))
 
 
+@query(
+    "summary_rollup",
+    f"""
+    select case grouping(doc_id, pattern) when 0 then 'document_pattern' when 1 then 'document' when 2 then 'pattern' else 'all' end as level, doc_id, pattern,
+      count(*) as total_matches, round(avg(confidence), 2) as avg_confidence, count(*) filter (confidence >= 0.9) as high_confidence
+    from ({sql_scored(NOTES_SQL + ' as n')}) as s group by grouping sets ((doc_id, pattern), (doc_id), (pattern), ())
+    """,
+)
+def summary_rollup(spark, sf):
+    return detect.summary_rollup(detect.explode_findings(detect.with_findings(notes(spark, sf)), "doc_id"))
+
+
+@query(
+    "distinct_values_sketched",
+    f"""
+    select 'phone' as kind, count(*) as n_matches, true as within from (select unnest({sql_phones('text')}) as m from {MESSAGES_SQL} as x) as p
+    union all
+    select 'email', count(*), true from (select unnest({sql_emails('text')}) as m from {MESSAGES_SQL} as x) as e
+    """,
+)
+def distinct_values_sketched(spark, sf):
+    """Sketches per kind and tenth of the documents, merged; the estimate is held against the exact count."""
+    rows = redact.corpus_values(messages(spark, sf), "doc_id")
+    parts = sketches.value_sketches(rows, "kind", F.pmod("doc_id", F.lit(10)).alias("part"))
+    exact = rows.groupBy("kind", "original").agg(F.lit(1).alias("x")).groupBy("kind").agg(F.count("*").alias("n"))
+    found = sketches.approximate_distinct(parts, "kind").join(exact, "kind")
+    return found.select("kind", "n_matches", (F.abs(F.col("n_values") - F.col("n")) <= 0.02 * F.col("n")).alias("within"))
+
+
 @query(
     "distinct_values_by_kind",
     f"""

@@ -15,6 +15,7 @@ from cloakframe.operators.numbering import scratch_path
 from cloakframe.plans import text_job
 from cloakframe.sinks import writers
 from cloakframe.sinks.retention import purge, remove_session
+from cloakframe.sinks.versions import VersionedTable
 from cloakframe.sources import config, files, logs, office
 
 from .inputs import JOBS_SQL, MESSAGES_SQL, NOTES_SQL, UPLOADS_SQL, from_sql, jobs, messages, notes, sql_emails, sql_redacted, table, texts, uploads
@@ -389,6 +390,34 @@ def retention_purged(spark, sf):
     return spark.read.parquet(path).select("event_id")
 
 
+@query(
+    "retention_versioned",
+    """
+    select event_id, case when event_id % 2 = 0 then 1 else 2 end as first_version, 3 as versions from events where ts > timestamp '2024-01-20 12:00:00' - interval 24 hour
+    """,
+)
+def retention_versioned(spark, sf):
+    """Two appends and a purge, each a version; old versions still read as they were."""
+    stored = VersionedTable(spark, scratch_path(spark, "events"), "dt", "ts")
+    events = jobs(spark, sf).withColumn("dt", F.to_date("ts"))
+    for half in (0, 1):
+        stored.append(events.where(F.col("event_id") % 2 == half))
+    stored.purge(F.expr("timestamp '2024-01-20 12:00:00'"))
+    first = F.when(F.col("n") == 2, F.lit(1)).otherwise(F.lit(2)).alias("first_version")
+    seen = stored.read(1).unionByName(stored.read(2)).groupBy("event_id").agg(F.count("*").alias("n"))
+    return stored.read().join(seen, "event_id").select("event_id", first, F.lit(stored.version()).alias("versions"))
+
+
+@query("session_deleted_versioned", "select c_custkey from customer where c_nationkey <> 3")
+def session_deleted_versioned(spark, sf):
+    stored = VersionedTable(spark, scratch_path(spark, "sessions"), "session_id")
+    stored.append(_sessions(spark, sf))
+    stored.remove_session(_SESSION_3)
+    stored.remove_session("geen-uuid")
+    stored.compact()
+    return stored.read().select("c_custkey")
+
+
 @query("session_deleted", "select c_custkey from customer where c_nationkey <> 3")
 def session_deleted(spark, sf):
     path = _session_folder(spark, sf)

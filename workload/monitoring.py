@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from cloakframe.operators import monitor, rules
+from cloakframe.operators import monitor, rules, sketches
+from cloakframe.operators.numbering import scratch_path, stash
 from cloakframe.plans import text_job
+from cloakframe.streaming import jobs as streaming
 
 from .inputs import JOBS_SQL, MESSAGES_SQL, jobs, messages, sql_emails, sql_phones, texts
 from .registry import query
@@ -75,6 +77,29 @@ def duration_percentiles(spark, sf):
     return monitor.duration_percentiles(jobs(spark, sf))
 
 
+@query(
+    "duration_sketches",
+    f"""
+    select size_bracket, count(*) as n_jobs, round(avg(duration_seconds), 2) as avg_duration, min(duration_seconds) as min_duration, max(duration_seconds) as max_duration, true as p50_within, true as p95_within
+    from (select *, {BRACKET} as size_bracket from {JOBS_SQL} as j) as x where success group by size_bracket
+    """,
+)
+def duration_sketches(spark, sf):
+    """Sketches per day, type and bracket, half of them from a stream's batches, merged per bracket; ranks are held against the durations."""
+    source, path = scratch_path(spark, "events"), scratch_path(spark, "sketches")
+    events = jobs(spark, sf)
+    events.where("event_id % 2 = 1").repartition(3).write.parquet(source)
+    stream = streaming.read_stream(spark, source, events.schema, files_per_trigger=2)
+    sketches.sketch_stream(stream, path, path + "-checkpoint").awaitTermination()
+    stored = sketches.job_sketches(events.where("event_id % 2 = 0")).unionByName(spark.read.parquet(path).drop("stream", "batch"))
+    found = stash(sketches.sketched_durations(stored, "size_bracket"))
+    done = events.where("success").withColumn("size_bracket", monitor.size_bracket(F.col("size_bytes"))).join(F.broadcast(found), "size_bracket")
+    # Any rank between those of the smaller values and of the values up to the pick is right.
+    share = lambda c: F.count_if(c) / F.count("*")
+    within = lambda name, q: ((share(F.col("duration_seconds") < F.col(name)) - sketches.RANK_ERROR <= q) & (share(F.col("duration_seconds") <= F.col(name)) + sketches.RANK_ERROR >= q)).alias(f"{name}_within")
+    return done.groupBy("size_bracket", "n_jobs", "avg_duration", found["min_duration"], found["max_duration"]).agg(within("p50", 0.5), within("p95", 0.95))
+
+
 @query(
     "duration_by_type",
     f"select file_type, round(avg(duration_seconds), 2) as avg_duration, max(duration_seconds) as max_duration, count(*) as n_jobs from {JOBS_SQL} as j where success group by file_type",
