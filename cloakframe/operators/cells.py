@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .columns import (
-    REQUIRED_TYPE, ColumnRule, escape_formula, masked_value, mostly, numbered_name, numbered_placeholder, parse_column_rules, rejection, value_kinds,
+    REQUIRED_TYPE, ColumnRule, escape_formula, is_numbered, masked_value, mostly, numbered_name, numbered_placeholder, parse_column_rules, rejection, value_kinds,
 )
 from .keyed_order import permuted
 from .numbering import lookup_join, number_rows, stash
@@ -42,11 +42,6 @@ class MaskedCells:
     logs: DataFrame
 
 
-def _is_numbered(rule: ColumnRule) -> bool:
-    asked = rule.reversible or rule.preserve_uniqueness and rule.anonymization_type == "replace"
-    return asked and rule.column_type == "text" and rule.anonymization_type in ("replace", "jabber")
-
-
 def ruled(cell_header: Column, rules: list) -> Column:
     """Whether some rule names the header."""
     names = sorted({r.column_name for r in parse_column_rules(rules)})
@@ -126,7 +121,7 @@ def mask_cells(cells: DataFrame, rules: list, salt, reversible: bool = False, es
     several = {r.column_name for r in parsed if sum(o.column_name == r.column_name for o in parsed) > 1}
     for layer in _layers(ordered):
         shuffled = [r for r in layer if r.anonymization_type == "shuffle"]
-        numbered = [r for r in layer if _is_numbered(r)]
+        numbered = [r for r in layer if is_numbered(r)]
         if shuffled:
             moves = reduce(Column.__or__, [_runs(r) for r in shuffled]) & F.col("_new").isNotNull()
             out = permuted(out, moves, ["path", "part", "header"], PLACE, "_new", salt)

@@ -15,6 +15,7 @@ from ..functions import catalogue as cat
 from ..functions.text import each_struct
 from ..functions.keyed import jabber, keyed_digest, uniform
 from .numbering import hash_rank, lookup_join, number_rows, quoted, stash
+from .wide import found_name, lookup_columns, number_columns
 
 # What a transformation needs of its column.
 REQUIRED_TYPE = {
@@ -372,6 +373,38 @@ def _factor(rule: ColumnRule, c: Column, salt, scope: str) -> Column:
     return F.lit(low) + draw * F.lit(high - low)
 
 
+def is_numbered(rule: ColumnRule) -> bool:
+    """Whether a rule gives the distinct values of its column numbers."""
+    asked = rule.reversible or (rule.preserve_uniqueness and rule.anonymization_type == "replace")
+    return asked and rule.column_type == "text" and rule.anonymization_type in ("replace", "jabber")
+
+
+def _numbered_alone(rules: list[ColumnRule], frames: dict[str, DataFrame]) -> list[ColumnRule]:
+    """Numbered rules, two or more, that are the only ones on their column: their order does not matter."""
+    alone = [r for r in rules if is_numbered(r) and sum(o.column_name == r.column_name for o in rules) == 1]
+    alone = [r for r in alone if any(r.column_name in df.columns for df in frames.values())]
+    return alone if len(alone) > 1 else []
+
+
+def _number_together(frames: dict[str, DataFrame], rules: list[ColumnRule], row_id) -> tuple[dict[str, DataFrame], list[DataFrame]]:
+    """All rules' columns numbered by one exchange of narrow rows and replaced by one lookup; mapping rows."""
+    by_column = {r.column_name: r for r in rules}
+    numbers = number_columns(list(frames.values()), list(by_column), _row_order(row_id))
+    masked = F.coalesce(*[
+        F.when(F.col("column_name") == c, numbered_placeholder(r) if r.reversible else numbered_name(r)) for c, r in by_column.items()
+    ])
+    lookup = stash(numbers.select("column_name", "key", masked.alias("value")))
+    out = {}
+    for name, df in frames.items():
+        own = [c for c in by_column if c in df.columns]
+        found = lookup_columns(df, lookup, own) if own else df
+        found = found.withColumns({c: F.col(found_name(i)) for i, c in enumerate(own)}) if own else found
+        out[name] = found.select(*quoted(*df.columns))
+    back = [c for c, r in by_column.items() if r.reversible]
+    mapping = lookup.where(F.col("column_name").isin(back)).select("column_name", F.col("key").alias("original"), F.col("value").alias("masked"))
+    return out, [mapping] if back else []
+
+
 def mask_tables(
     tables: dict[str, DataFrame],
     rules: list,
@@ -405,6 +438,9 @@ def mask_tables(
         types[n].update({r["column_name"]: r["detected_type"] for r in found})
         cells.update({(n, r["column_name"]): r for r in found})
     mappings, rejected, left = [], [], []
+    together = [] if keep_log else _numbered_alone(parsed, frames)
+    if together:
+        frames, mappings = _number_together(frames, together, row_id)
     ordered = [r for r in parsed if r.anonymization_type == "shuffle"] + [
         r for r in parsed if r.anonymization_type != "shuffle"
     ]
@@ -428,9 +464,10 @@ def mask_tables(
                     left.append({"table": name, "ruleId": rule.id, "column": column, "changed": changed, "left": counts["n_values"] - changed})
         if not usable:
             continue
-        numbered = rule.reversible or (rule.preserve_uniqueness and rule.anonymization_type == "replace")
+        if rule in together:
+            continue
         numbers = masked = None
-        if rule.column_type == "text" and rule.anonymization_type in ("replace", "jabber") and numbered:
+        if is_numbered(rule):
             numbers = number_values([frames[n] for n in usable], column, row_id)
             masked = numbered_placeholder(rule) if rule.reversible else numbered_name(rule)
             if rule.reversible:

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..functions.text import PLACEHOLDER_TOKEN, each_value, rewrite_tokens
 from .mapping import latest_entries
 from .numbering import lookup_join, quoted, stash
+from .wide import found_name, lookup_columns
 
 
 def restore_with_pairs(text: Column, pairs: Column) -> Column:
@@ -110,21 +111,14 @@ def restore_table(
     ``{"price": "double"}``.  A cell that does not fit the type is an error, never
     a NULL.
     """
-    usable = stash(unambiguous(mapping))  # read once per column
-    out = df
-    for column in columns:
-        lookup = usable.where(F.col("column_name") == column).select(
-            F.col("masked").alias("_masked"), F.col("original").alias("_original")
-        )
-        (cell,) = quoted(column)
-        keyed = out.withColumn("_masked", cell.cast("string"))
-        joined = lookup_join(keyed, lookup, ["_masked"], ["_original"], row_id=row_id)
-        restored = F.coalesce("_original", "_masked")
+    usable = stash(unambiguous(mapping).select("column_name", F.col("masked").alias("key"), F.col("original").alias("value")))
+    out = lookup_columns(df, usable, columns)
+    restored = {}
+    for i, column in enumerate(columns):
+        text = F.coalesce(F.col(found_name(i)), quoted(column)[0].cast("string"))
         target = (types or {}).get(column, df.schema[column].dataType.simpleString())
-        if target != "string":
-            restored = _cast_or_fail(restored, target, column)
-        out = joined.withColumn(column, restored).select(*quoted(*df.columns))
-    return out
+        restored[column] = text if target == "string" else _cast_or_fail(text, target, column)
+    return out.withColumns(restored).select(*quoted(*df.columns)) if columns else df
 
 
 def _cast_or_fail(value: Column, target: str, column: str) -> Column:
