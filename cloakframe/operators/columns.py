@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 
 from ..functions import catalogue as cat
 from ..functions.text import each_struct
-from ..functions.keyed import jabber, keyed_digest, uniform
+from ..functions.keyed import ALPHABET, jabber, keyed_digest, uniform
+from ..functions.permute import permute_text, restore_text
 from .numbering import hash_rank, lookup_join, number_rows, quoted, stash
 from .wide import found_name, lookup_columns, number_columns
 
@@ -25,7 +26,7 @@ REQUIRED_TYPE = {
     "date_offset": "date",
 }
 # Transformations of each declared column type; shuffle works on any.
-TRANSFORMATIONS = {"text": {"replace", "jabber"}, "date": {"date_offset"}, "number": {"number_multiply"}}
+TRANSFORMATIONS = {"text": {"replace", "jabber", "pseudonym"}, "date": {"date_offset"}, "number": {"number_multiply"}}
 PER_PRICE_RANGE = (0.15, 0.65)
 PREFIX_LENGTH = 15
 
@@ -342,6 +343,8 @@ def masked_value(rule: ColumnRule, c: Column, data_type: T.DataType, salt) -> Co
         return replace_constant(c, rule.replace_with)
     if rule.anonymization_type == "jabber":
         return jabber_keyed(c, salt, scope) if rule.preserve_uniqueness else jabber_fresh(c)
+    if rule.anonymization_type == "pseudonym":
+        return permute_text(c, salt, scope, ALPHABET if rule.column_subtype == "letters" else None)
     text = isinstance(data_type, T.StringType)
     if rule.anonymization_type == "date_offset":
         shifted = shift_days(c.try_cast("timestamp") if text else c, rule.date_offset_days)
@@ -518,6 +521,19 @@ def mask_table(df: DataFrame, rules: list, name: str = "table", **options) -> Ma
     return mask_tables({name: df}, rules, **options)
 
 
+def restore_pseudonyms(df: DataFrame, rules: list, salt) -> DataFrame:
+    """Undo the ``pseudonym`` rules of a masked table with the key alone, no mapping.
+
+    A cell that the rule cannot have made becomes NULL; absent columns are skipped.
+    """
+    asked = [r for r in parse_column_rules(rules) if r.anonymization_type == "pseudonym" and r.column_name in df.columns]
+    plain = {}
+    for rule in asked:
+        (c,) = quoted(rule.column_name)
+        plain[rule.column_name] = restore_text(c, salt, rule.column_name, ALPHABET if rule.column_subtype == "letters" else None)
+    return df.withColumns(plain) if plain else df
+
+
 # --- previews ----------------------------------------------------------------
 
 

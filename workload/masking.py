@@ -5,7 +5,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.operators import columns
+from cloakframe.functions.permute import permute_number, restore_number
+from cloakframe.operators import columns, restore
 
 from .inputs import from_sql, in_duck, sql_cents, table
 from .registry import query
@@ -374,3 +375,66 @@ def mask_contact_table(spark, sf):
         {"id": "2", "columnName": "email", "reversible": True},
     ]
     return columns.mask_table(contacts, rules, row_id="id").table
+
+
+_PSEUDONYMS = [
+    {"id": "p", "columnName": "c_name", "anonymizationType": "pseudonym"},
+    {"id": "q", "columnName": "c_mktsegment", "columnSubtype": "letters", "anonymizationType": "pseudonym"},
+]
+
+
+@query(
+    "mask_pseudonyms",
+    """
+    select count(*) as n_rows, count(distinct c_name) as n_names, count(distinct c_mktsegment) as n_segments, count(*) as n_back, 0::bigint as n_same
+    from customer
+    """,
+)
+def mask_pseudonyms(spark, sf):
+    """Keyed pseudonyms: as many as there are values, and the key brings all of them back."""
+    plain = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    masked = columns.mask_table(plain, _PSEUDONYMS, salt="zout", escape=False).table
+    back = columns.restore_pseudonyms(masked, _PSEUDONYMS, "zout").join(plain, ["c_custkey", "c_name", "c_mktsegment"], "left_semi")
+    same = masked.join(plain, ["c_custkey", "c_name"], "left_semi")
+    counts = masked.agg(F.count("*").alias("n_rows"), F.count_distinct("c_name").alias("n_names"), F.count_distinct("c_mktsegment").alias("n_segments"))
+    return counts.join(back.agg(F.count("*").alias("n_back"))).join(same.agg(F.count("*").alias("n_same")))
+
+
+@query(
+    "mask_number_pseudonyms",
+    "select count(*) as n_rows, count(distinct o_orderkey) as n_keys, max(o_orderkey) + 1 as n_limit, true as inside, true as restored from orders",
+)
+def mask_number_pseudonyms(spark, sf):
+    """Order keys permuted among the numbers up to the highest one."""
+    orders = table(spark, sf, "orders").select("o_orderkey")
+    limit = orders.agg(F.max("o_orderkey")).first()[0] + 1
+    masked = orders.withColumn("p", permute_number(F.col("o_orderkey"), limit, "zout", "orders"))
+    back = restore_number(F.col("p"), limit, "zout", "orders") == F.col("o_orderkey")
+    return masked.agg(
+        F.count("*").alias("n_rows"), F.count_distinct("p").alias("n_keys"), F.lit(limit).cast("long").alias("n_limit"), F.bool_and(F.col("p").between(0, limit - 1)).alias("inside"),
+        F.bool_and(back).alias("restored"),
+    )
+
+
+_WIDE = {"naam": "c_name", "segment": "c_mktsegment", "land": "cast(c_nationkey as {T})", "staart": "substr(c_name, 17, 2)", "groep": "cast(c_custkey % 7 as {T})", "saldo": "cast(c_acctbal as {T})"}
+_WIDE_SQL = "select c_custkey, " + ", ".join(f"{v} as {k}" for k, v in _WIDE.items()) + " from customer"
+
+
+@query(
+    "mask_six_columns",
+    f"""
+    select c_custkey, {', '.join(f"printf('[{k.upper()}-%03d]', dense_rank() over (order by first_{k})) as {k}" for k in _WIDE)}
+    from (select *, {', '.join(f"min(c_custkey) over (partition by {k}) as first_{k}" for k in _WIDE)} from ({in_duck(_WIDE_SQL)}) as w) as x
+    """,
+)
+def mask_six_columns(spark, sf):
+    """Six reversible columns: one exchange of narrow rows for all of them."""
+    rows = from_sql(spark, sf, _WIDE_SQL, "customer")
+    return columns.mask_table(rows, [{"id": k, "columnName": k, "reversible": True} for k in _WIDE], row_id="c_custkey", salt="zout").table
+
+
+@query("restore_six_columns", in_duck(_WIDE_SQL))
+def restore_six_columns(spark, sf):
+    rows = from_sql(spark, sf, _WIDE_SQL, "customer")
+    masked = columns.mask_table(rows, [{"id": k, "columnName": k, "reversible": True} for k in _WIDE], row_id="c_custkey", salt="zout")
+    return restore.restore_table(masked.table, masked.mapping, list(_WIDE))
