@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keyed import as_column
+from ..functions.text import bind
 from .numbering import BROADCAST_BYTES, lookup_bytes, lookup_join, number_rows, stash
 
 MAPPING_JSON = "mappings map<string,string>, total_items bigint, version string"
@@ -43,6 +44,21 @@ def latest_entries(mapping: DataFrame, keys: list[str] | None = None) -> DataFra
     return mapping.groupBy(*keys).agg(last.alias("original"))
 
 
+def originals_by_scope(mapping: DataFrame) -> DataFrame:
+    """``(scope_id, _originals)``: a map of each scope's placeholders, of several entries the one of ``latest_entries``.
+
+    One exchange: entries that were written twice are reduced inside their scope.
+    """
+    # In this order the entry that counts is the last of its placeholder.
+    turn = [F.col("batch")] if "batch" in mapping.columns else []
+    held = F.struct("placeholder", *turn, "original") if turn else F.struct("placeholder", "original")
+    ordered = F.sort_array(F.collect_list(held), asc=bool(turn))
+    other = lambda rows, i: F.get(rows, i + 1)["placeholder"]
+    last = bind(ordered, lambda rows: F.filter(rows, lambda x, i: other(rows, i).isNull() | (other(rows, i) != x["placeholder"])))
+    pairs = F.transform(last, lambda x: F.struct(x["placeholder"], x["original"]))
+    return mapping.groupBy("scope_id").agg(F.map_from_entries(pairs).alias("_originals"))
+
+
 def placeholder_conflicts(mapping: DataFrame) -> DataFrame:
     """Placeholders that stand for more than one original."""
     return (

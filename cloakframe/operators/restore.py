@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import PLACEHOLDER_TOKEN, each_value, rewrite_tokens
-from .mapping import latest_entries
+from .mapping import latest_entries, originals_by_scope
 from .numbering import lookup_join, quoted, stash
 from .wide import found_name, lookup_columns
 
@@ -17,8 +17,17 @@ def restore_with_pairs(text: Column, pairs: Column) -> Column:
     return F.aggregate(pairs, text, lambda acc, p: F.replace(acc, p["placeholder"], p["original"]))
 
 
+# Entries of a driver-side mapping; each is an expression of its own.
+MOST_PAIRS = 500
+
+
 def restore_with_dict(text: Column, mapping: dict[str, str]) -> Column:
-    """Restore from a small driver-side mapping, whatever its placeholders look like."""
+    """Restore from a small driver-side mapping, whatever its placeholders look like.
+
+    More than ``MOST_PAIRS`` entries are refused; ``restore_cells`` takes a mapping of any size.
+    """
+    if len(mapping) > MOST_PAIRS:
+        raise ValueError(f"{len(mapping)} entries; restore_cells takes a mapping of any size")
     restored = text
     for placeholder, original in mapping.items():
         restored = F.replace(restored, F.lit(placeholder), F.lit(original))
@@ -48,10 +57,8 @@ def restore_documents(df: DataFrame, mapping: DataFrame, id_col: str, text_col:
     Of several entries for a placeholder the latest counts, see ``latest_entries``.
     """
     marked, untouched = _with_tokens(df, text_col)
-    per_document = latest_entries(mapping).groupBy("scope_id").agg(
-        # The entries of one document, so no larger than the document.
-        F.map_from_entries(F.collect_list(F.struct("placeholder", "original"))).alias("_originals")
-    )
+    # The entries of one document, so no larger than the document.
+    per_document = originals_by_scope(mapping)
     joined = marked.join(per_document, F.col(id_col).cast("string") == F.col("scope_id"), "left")
     return _finish(joined, untouched, text_col, output_col)
 

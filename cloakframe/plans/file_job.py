@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import catalogue as cat
 from ..operators.admission import decode_text, extension, file_type
 from ..operators.cells import mask_cells, restore_masked_cells, ruled
-from ..operators.mapping import latest_entries
 from ..operators.numbering import stash
 from ..operators.redact import mapping_rows
 from ..operators.restore import restore_documents
@@ -162,7 +161,7 @@ def restore_files(pieces: DataFrame, mapping: DataFrame) -> DataFrame:
     """
     in_texts = ~F.col("kind").isin("cell", "column")
     named = pieces.withColumn("piece", _piece())
-    texts = restore_documents(named, latest_entries(mapping.where(in_texts)), "piece", output_col="_text").drop("piece")
+    texts = restore_documents(named, mapping.where(in_texts), "piece", output_col="_text").drop("piece")
     cells = _as_cells(texts).withColumn("redacted", F.col("_text"))
     restored = restore_masked_cells(cells, mapping.where(~in_texts))
     return restored.withColumn("redacted", F.col("_text")).select(*pieces.columns, "restored")

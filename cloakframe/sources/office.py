@@ -1,8 +1,8 @@
 """Text and cells out of office files, one task per batch of files.
 
 The input is a DataFrame ``(path, content)``, e.g. from the ``binaryFile``
-source.  Files are admitted up to a fixed size, so one file fits a task.  A file
-that cannot be read gives one row with ``error`` and never fails the job.
+source.  Files are admitted up to a fixed size, zipped and unzipped, so one file fits a
+task.  A file that cannot be read gives one row with ``error`` and never fails the job.
 """
 
 from __future__ import annotations
@@ -28,6 +28,10 @@ CELL_SCHEMA = (
     "value string, type string, error string"
 )
 ROWS_PER_BATCH = 20_000
+# Bytes that the entries of one file may have unzipped, all together.  An entry never yields
+# more than its header states, so the headers are enough to judge by.
+MOST_UNZIPPED = 512 * 1024 * 1024
+TOO_LARGE = "%s is too large when unzipped (%d MB, at most %d MB)"
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -37,9 +41,13 @@ def _open(content: bytes, kind: str) -> zipfile.ZipFile:
     if bytes(content[:4]) == b"\xd0\xcf\x11\xe0":  # an encrypted file sits in an OLE container
         raise ValueError(cat.PASSWORD_PROTECTED % kind)
     try:
-        return zipfile.ZipFile(io.BytesIO(content))
+        z = zipfile.ZipFile(io.BytesIO(content))
     except zipfile.BadZipFile:
         raise ValueError(cat.NO_VALID_ZIP % kind) from None
+    size = sum(entry.file_size for entry in z.infolist())
+    if size > MOST_UNZIPPED:
+        raise ValueError(TOO_LARGE % (kind, size >> 20, MOST_UNZIPPED >> 20))
+    return z
 
 
 def _run_text(run) -> str:

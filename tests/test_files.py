@@ -231,6 +231,35 @@ def test_restored_cell_becomes_a_number(spark):
     assert [r[0] for r in df.select(restore.number_if_changed(F.col("a"), F.col("b"))).collect()] == [12.5, None, None]
 
 
+def test_a_small_file_that_unzips_large_is_an_error_row(spark):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z, z.open("word/document.xml", "w", force_zip64=True) as entry:
+        for _ in range(1024):
+            entry.write(bytes(1 << 20))
+    assert out.tell() < 2 << 20
+    bomb = spark.createDataFrame([("b.docx", out.getvalue()), ("a.docx", docx_bytes("goed"))], "path string, content binary")
+    (bad,) = office.read_docx_runs(bomb).where("error is not null").collect()
+    assert bad["path"] == "b.docx" and "1024 MB" in bad["error"]
+    (sheet,) = office.read_xlsx_cells(bomb.where("path = 'b.docx'")).collect()
+    assert "too large" in sheet["error"]
+    assert office.read_docx_texts(bomb).where("error is null").collect()[0]["text"] == "goed"
+
+
+@pytest.mark.parametrize("batch", [False, True])
+def test_originals_by_scope_as_latest_entries(spark, batch):
+    rows = [("d1", "[A-1]", "x", 1), ("d1", "[A-1]", "a", 2), ("d1", "[B-1]", "q", 1), ("d1", "[A-1]", "x", 1), ("d2", "[A-1]", "z", 5), (None, "[A-1]", "n", 1)]
+    df = spark.createDataFrame(rows, "scope_id string, placeholder string, original string, batch long")
+    df = df if batch else df.drop("batch")
+    wanted = {(r["scope_id"], r["placeholder"]): r["original"] for r in mapping.latest_entries(df).collect()}
+    got = {(r["scope_id"], k): v for r in mapping.originals_by_scope(df).collect() for k, v in r["_originals"].items()}
+    assert got == wanted
+
+
+def test_a_long_driver_side_mapping_is_refused(spark):
+    with pytest.raises(ValueError, match="restore_cells"):
+        restore.restore_with_dict(F.lit("x"), {f"[A_{i}]": "y" for i in range(501)})
+
+
 def test_sessions(spark):
     a, b = "123e4567-e89b-12d3-a456-426614174000", "123e4567-e89b-12d3-a456-426614174001"
     df = spark.createDataFrame([(a, 1), (b, 2)], "session_id string, v int")
