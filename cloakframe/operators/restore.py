@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import PLACEHOLDER_TOKEN, each_value, rewrite_tokens
+from .known import key_filter
 from .mapping import latest_entries, originals_by_scope
 from .numbering import lookup_join, quoted, stash
 from .wide import found_name, lookup_columns
@@ -17,6 +20,8 @@ def restore_with_pairs(text: Column, pairs: Column) -> Column:
     return F.aggregate(pairs, text, lambda acc, p: F.replace(acc, p["placeholder"], p["original"]))
 
 
+# Different tokens of a text that are held against the filter of known ones.
+TESTED_TOKENS = 8
 # Entries of a driver-side mapping; each is an expression of its own.
 MOST_PAIRS = 500
 
@@ -64,20 +69,39 @@ def restore_documents(df: DataFrame, mapping: DataFrame, id_col: str, text_col:
 
 
 def restore_corpus(
-    df: DataFrame, mapping: DataFrame, id_col: str, text_col: str = "redacted", output_col: str = "restored", scope_col: str | None = None
+    df: DataFrame, mapping: DataFrame, id_col: str, text_col: str = "redacted", output_col: str = "restored", scope_col: str | None = None,
+    skip_unknown: bool = False,
 ) -> DataFrame:
     """Restore with one corpus-wide mapping of any size, or one per ``scope_col`` (e.g. a session).
 
     Only the distinct tokens of each document meet the mapping, never the texts;
     a token that stands in a third of all documents is looked up by broadcast.
     Documents may share an id; of several entries for a placeholder the latest counts.
+    ``skip_unknown`` is for corpora in which most tokens are in no mapping: one more pass
+    over the mapping builds a filter of its keys, and texts without a token that
+    passes it, like tokens that do not, are not shuffled (see ``known``).  A text with more
+    than ``TESTED_TOKENS`` different tokens is looked up in any case.
     """
     marked, untouched = _with_tokens(df, text_col)
     in_text = F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(PLACEHOLDER_TOKEN), F.lit(0)))
+    known = key_filter(mapping, ["scope_id", "placeholder"] if scope_col else ["placeholder"]) if skip_unknown else None
+    if known:
+        of_scope = [F.col(scope_col).cast("string")] if scope_col else []
+        # The number keeps the tests behind the projection, so that tokens are listed once.  Nothing
+        # between the two makes rows of the columns, so the filter's bits are not copied.
+        listed = df.withColumns({"_tokens": in_text, "_bits": known.bits, "_turn": F.monotonically_increasing_id()})
+        here = replace(known, bits=F.col("_bits"))
+        some = F.size("_tokens") > TESTED_TOKENS
+        for i in range(TESTED_TOKENS):
+            some = some | here.might_hold(*of_scope, F.get("_tokens", F.lit(i)))
+        some = F.coalesce(some, F.lit(False))
+        marked, untouched = (listed.where(c & (F.col("_turn") >= 0)).drop("_tokens", "_bits", "_turn") for c in (some, ~some))
     scope = [F.col(scope_col).cast("string").alias("scope_id")] if scope_col else []
     # A key of the row's own: documents with a NULL id, or with the same one, stay apart.
     marked = marked.withColumn("_document", F.xxhash64(id_col, text_col, *([scope_col] if scope_col else [])))
     tokens = each_value(marked, in_text, "placeholder", "_document", *scope)
+    if known:
+        tokens = tokens.where(known.might_hold(*[F.col(c) for c in (["scope_id"] if scope_col else [])], F.col("placeholder")))
     keys = ["scope_id", "placeholder"] if scope_col else ["placeholder"]
     found = lookup_join(tokens, latest_entries(mapping, keys), keys, ["original"], row_id="_document")
     per_document = (

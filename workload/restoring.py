@@ -257,3 +257,21 @@ def restore_audit(spark, sf):
     return rows.groupBy("action", detail("type").alias("type"), detail("encrypted").alias("encrypted")).agg(
         F.count("*").alias("n"), F.sum(count).alias("n_mappings")
     )
+
+
+@query(
+    "restore_mostly_unknown",
+    """
+    select o_orderkey as doc_id, case when o_custkey % 10 = 0 then concat('order van klant ', o_custkey, ', status ', o_orderstatus)
+      else concat('order van [KLANT_', o_custkey, '], status ', o_orderstatus) end as restored from orders
+    """,
+)
+def restore_mostly_unknown(spark, sf):
+    """Nine of ten tokens are in no mapping: their texts meet a filter of the known ones and no join."""
+    orders = table(spark, sf, "orders")
+    token = F.concat(F.lit("[KLANT_"), F.col("o_custkey"), F.lit("]"))
+    texts = orders.select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("order van "), token, F.lit(", status "), F.col("o_orderstatus")).alias("redacted"))
+    mapping = orders.where("o_custkey % 10 = 0").select(
+        F.lit("corpus").alias("scope_id"), F.lit("klant").alias("kind"), token.alias("placeholder"), F.concat(F.lit("klant "), F.col("o_custkey")).alias("original")
+    ).distinct()
+    return restore.restore_corpus(texts, mapping, "doc_id", skip_unknown=True).select("doc_id", "restored")
