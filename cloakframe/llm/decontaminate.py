@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
 
@@ -37,8 +38,6 @@ SEGMENT, STEP, EDIT_PERCENT = 80, 20, 8
 SHORTEST = 40
 # Item bytes of a broadcast block.
 BLOCK_BYTES = 2 << 20
-# Stands for a null item id inside an array.
-_NO_ID = np.iinfo(np.int64).min
 _TABLE_BITS = 22
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -72,7 +71,10 @@ def gram_keys(data: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Segments:
-    """Segments of benchmark items, their q-grams in key order, and a bit table of the keys."""
+    """Segments of benchmark items, their q-grams in key order, and a bit table of the keys.
+
+    ``items`` are numbers of ``ids``, which may be of any type.
+    """
 
     text: np.ndarray
     starts: np.ndarray
@@ -83,6 +85,7 @@ class Segments:
     segment: np.ndarray
     place: np.ndarray
     seen: np.ndarray
+    ids: list
 
     @property
     def edits(self) -> np.ndarray:
@@ -90,9 +93,11 @@ class Segments:
         return np.where(self.lengths < SHORTEST, 0, allowed)
 
 
-def segments(items: list[tuple[int | None, str]]) -> Segments:
-    """Cut items into segments; the last one ends with the item."""
+def segments(items: list[tuple[object, str]]) -> Segments:
+    """Cut items ``(id, text)`` into segments; the last one ends with the item."""
     texts, starts, lengths, owners, at = [], [], [], [], 0
+    # Items that share an id are one.
+    number = {item: i for i, item in enumerate(dict.fromkeys(item for item, _ in items))}
     for item, text in items:
         raw = np.frombuffer((text or "").encode(), np.uint8)
         text, _ = normalise(raw, np.array([0, len(raw)]))
@@ -102,21 +107,21 @@ def segments(items: list[tuple[int | None, str]]) -> Segments:
         for start in [*range(0, max(1, len(text) - SEGMENT), STEP), max(0, len(text) - SEGMENT)]:
             starts.append(at + start)
             lengths.append(min(SEGMENT, len(text)))
-            owners.append(_NO_ID if item is None else item)
+            owners.append(number[item])
         texts.append(text)
         at += len(text)
     text = np.concatenate(texts) if texts else np.zeros(0, np.uint8)
     starts, lengths = np.array(starts, np.int64), np.array(lengths, np.int64)
     every = gram_keys(text)
-    number = np.maximum(0, lengths - Q + 1)
-    segment = np.repeat(np.arange(len(starts)), number)
-    place = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
+    grams = np.maximum(0, lengths - Q + 1)
+    segment = np.repeat(np.arange(len(starts)), grams)
+    place = np.arange(grams.sum()) - np.repeat(np.cumsum(grams) - grams, grams)
     keys = every[starts[segment] + place] if len(segment) else np.zeros(0, np.uint64)
     order = np.argsort(keys, kind="stable")
     keys, first = np.unique(keys[order], return_index=True)
     seen = np.zeros(1 << _TABLE_BITS, bool)
     seen[(keys >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
-    return Segments(text, starts, lengths, np.array(owners, np.int64), keys, np.append(first, len(order)), segment[order], place[order], seen)
+    return Segments(text, starts, lengths, np.array(owners, np.int64), keys, np.append(first, len(order)), segment[order], place[order], seen, list(number))
 
 
 def shared_grams(known: Segments, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -225,7 +230,7 @@ def passages(known: Segments, text: np.ndarray, bounds: np.ndarray) -> list[tupl
     return merged
 
 
-def _scan(shared, place: int):
+def _scan(shared, place: int, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
@@ -235,9 +240,9 @@ def _scan(shared, place: int):
                 hits = passages(known, text, bounds)
                 if hits:
                     rows = batch.column(0).slice(i, j - i).take(pa.array([h[0] for h in hits]))
-                    ids = [None if h[1] == _NO_ID else h[1] for h in hits]
+                    ids = [known.ids[h[1]] for h in hits]
                     yield pa.RecordBatch.from_arrays(
-                        [rows, pa.array(ids, pa.int64()), *(pa.array([h[k] for h in hits], pa.int64()) for k in (2, 3, 4))],
+                        [rows, pa.array(ids, kind), *(pa.array([h[k] for h in hits], pa.int64()) for k in (2, 3, 4))],
                         names=["doc", "item_id", "first", "last", "edits"],
                     )
 
@@ -261,22 +266,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, by: str = "doc_id") -> D
     """``<by>, item_id, first, last, edits``: every passage of a document that a benchmark item explains.
 
     Positions count normalised bytes.  A null text has no passage; a null ``doc_id`` is
-    reported as null; repeated rows are reported as often as they occur; an item without
-    an id is reported under a null id; an item of fewer than ``SHORTEST`` normalised bytes
+    reported as null; repeated rows are reported as often as they occur; item ids may be of
+    any type that a table key has, and an item without one is reported under a null id; an item of fewer than ``SHORTEST`` normalised bytes
     must occur whole and without an edit; null items and those of fewer than ``Q`` bytes are
     not searched.  An exact quote of ``SEGMENT + STEP - 1`` bytes of an item is always found.  Empty tables give an empty result.
     """
-    kind = docs.schema[by].dataType.simpleString()
+    kind, item_kind = docs.schema[by].dataType.simpleString(), benchmark.schema["item_id"].dataType
     rows = docs.select(F.col(f"`{by}`").alias("doc"), F.col("text"))
     found = None
     for known in _blocks(benchmark):
         if not len(known.keys):
             continue
         shared = docs.sparkSession.sparkContext.broadcast(known)
-        part = rows.mapInArrow(_scan(shared, 1), f"doc {kind}, item_id long, first long, last long, edits long")
+        scan = _scan(shared, 1, to_arrow_type(item_kind))
+        part = rows.mapInArrow(scan, f"doc {kind}, item_id {item_kind.simpleString()}, first long, last long, edits long")
         found = part if found is None else found.union(part)
     if found is None:
-        found = rows.select("doc", *(F.lit(0).cast("long").alias(c) for c in ("item_id", "first", "last", "edits"))).where("false")
+        none = F.lit(None).cast(item_kind).alias("item_id")
+        found = rows.select("doc", none, *(F.lit(0).cast("long").alias(c) for c in ("first", "last", "edits"))).where("false")
     return found.withColumnRenamed("doc", by)
 
 

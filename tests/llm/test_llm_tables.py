@@ -380,6 +380,17 @@ def test_decontamination_of_short_items_and_quotes(spark):
     assert {(r["doc_id"], r["item_id"]) for r in hits} == {(d, 7) for d, _ in quotes} | {(1, 8), (3, None)}
 
 
+@pytest.mark.parametrize(("kind", "ids"), [("string", ["a", None, ""]), ("long", [-(2**63), None, 0]), ("int", [5, None, -1]), ("date", ["2024-01-01", None, "2024-01-02"])])
+def test_item_ids_of_any_type(spark, kind, ids):
+    items = [prose(510 + i, 40) for i in range(3)]
+    docs = spark.createDataFrame([(i, "so " + t + " so") for i, t in enumerate(items)], "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(zip(map(str, ids), items)), "item_id string, text string")
+    benchmark = benchmark.withColumn("item_id", F.when(F.col("item_id") != "None", F.col("item_id")).cast(kind))
+    hits = decontaminate.contaminated(docs, benchmark)
+    assert dict(hits.dtypes)["item_id"] == dict(benchmark.dtypes)["item_id"]
+    assert {r["doc_id"]: r["item_id"] for r in hits.collect()} == dict(enumerate(r["item_id"] for r in benchmark.collect()))
+
+
 def test_banded_alignment_against_full(spark):
     r = random.Random(12)
     for n in range(40):
