@@ -15,7 +15,7 @@ from ..functions import catalogue as cat
 from ..functions.text import each_struct
 from ..functions.keyed import ALPHABET, jabber, keyed_digest, uniform
 from ..functions.permute import permute_text, restore_text
-from .numbering import hash_rank, lookup_join, number_rows, quoted, stash
+from .numbering import hash_rank, lookup_join, number_distinct, quoted, stash
 from .wide import found_name, lookup_columns, number_columns
 
 # What a transformation needs of its column.
@@ -160,7 +160,7 @@ def number_values(frames: list[DataFrame], column: str, row_id=None) -> DataFram
         .groupBy("value")
         .agg(F.min("first").alias("first"), F.count("*").alias("n_rows"))
     )
-    return number_rows(distinct, ["first", "value"]).select("value", "n", "n_rows")
+    return number_distinct(distinct, ["first", "value"]).select("value", "n", "n_rows")
 
 
 def with_value_number(df: DataFrame, column: str, numbers: DataFrame, masked: Column, row_id=None) -> DataFrame:

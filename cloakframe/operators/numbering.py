@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 * 1024 * 1024
 # Keys treated as frequent.  Any other key holds less than 1/1000 of the rows.
 FREQUENT_KEYS = 1000
+# Rows that one sort may number.
+FEW_ROWS = 100_000
 _POSITION_BITS = 33
 # Where a local session without spark.checkpoint.dir keeps its folder.
 _LOCAL_FOLDER = "spark.cloakframe.local.dir"
@@ -143,6 +145,21 @@ def number_rows(
     return numbered.select(*df.columns, number.cast("long").alias(name))
 
 
+def number_distinct(
+    df: DataFrame, order_by: list[str], name: str = "n", restart_by: str | None = None, few: int = FEW_ROWS
+) -> DataFrame:
+    """``number_rows`` for rows that an aggregate has to make first, e.g. distinct values.
+
+    They are written once.  Up to ``few`` of them are numbered in one sort; more are
+    ranged like any rows.  The numbers are the same.
+    """
+    rows = stash(df)
+    if rows.count() > few:
+        return number_rows(rows, order_by, name, restart_by=restart_by)
+    keys = [F.col(restart_by)] if restart_by else [F.lit(0)]
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by)).cast("long"))
+
+
 def running_total(
     df: DataFrame, order_by: list[str], weight: str, name: str = "running", restart_by: str | None = None
 ) -> DataFrame:

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .numbering import BROADCAST_BYTES, lookup_bytes, lookup_join, number_rows, quoted, stash
+from .numbering import BROADCAST_BYTES, lookup_bytes, lookup_join, number_distinct, quoted, stash
 
 
 def narrow_cells(df: DataFrame, columns: list[str], *keep) -> DataFrame:
@@ -34,7 +34,7 @@ def number_columns(frames: list[DataFrame], columns: list[str], row_order) -> Da
         for i, df in enumerate(frames) if any(c in df.columns for c in columns)
     ]
     values = reduce(DataFrame.unionByName, parts).groupBy("column_name", "key").agg(F.min("_at").alias("first"))
-    return number_rows(values, ["column_name", "first", "key"], "n", restart_by="column_name").select("column_name", "key", "n")
+    return number_distinct(values, ["column_name", "first", "key"], "n", restart_by="column_name").select("column_name", "key", "n")
 
 
 def found_name(i: int) -> str:

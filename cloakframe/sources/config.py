@@ -33,6 +33,8 @@ REGISTRY_JSON = (
     "version string, patterns map<string,struct<enabled:boolean,description:string,"
     "context_words:array<string>,confidence_boost:double,detector_function:string>>"
 )
+# What the driver holds of rules and of a registry.
+MOST_RULES, MOST_PATTERNS = 100_000, 10_000
 
 
 def _rules(df: DataFrame, json_col: str, order_col: str | None, schema: str, defaults: dict) -> DataFrame:
@@ -50,13 +52,21 @@ def column_rules(df: DataFrame, json_col: str = "value", order_col: str | None =
     return _rules(df, json_col, order_col, COLUMN_RULE_JSON, COLUMN_RULE_DEFAULTS)
 
 
+def _bounded(table: DataFrame, most: int, what: str) -> list:
+    """Rows of a table that the driver may hold; more than ``most`` are refused, not cut off."""
+    rows = table.take(most + 1)
+    if len(rows) > most:
+        raise ValueError(f"more than {most} {what}")
+    return rows
+
+
 def as_text_rules(rules: DataFrame) -> list[TextRule]:
     """Rules in order, for ``apply_rules``.  A rule list is a form filled in by a person."""
-    return [TextRule.from_dict(r.asDict()) for r in rules.orderBy("rule_order").collect()]
+    return [TextRule.from_dict(r.asDict()) for r in _bounded(rules.orderBy("rule_order"), MOST_RULES, "rules")]
 
 
 def as_column_rules(rules: DataFrame) -> list[ColumnRule]:
-    return [ColumnRule.from_dict(r.asDict()) for r in rules.orderBy("rule_order").collect()]
+    return [ColumnRule.from_dict(r.asDict()) for r in _bounded(rules.orderBy("rule_order"), MOST_RULES, "rules")]
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
@@ -95,12 +105,14 @@ def _flatten(entries: DataFrame) -> DataFrame:
 
 def as_registry(table: DataFrame) -> dict[str, dict]:
     """Registry dictionary for the detectors; one row per pattern, so a handful."""
-    return {r["pattern"]: r.asDict() for r in table.collect()}
+    return {r["pattern"]: r.asDict() for r in _bounded(table, MOST_PATTERNS, "patterns")}
 
 
 def annotate_findings(findings: DataFrame, registry: DataFrame) -> DataFrame:
     """Findings with the description of their pattern.
 
-    The registry has one row per configured pattern, so it is broadcast.
+    The registry has one row per configured pattern; it is broadcast after a check of its size.
     """
-    return findings.join(F.broadcast(registry.where("enabled").select("pattern", "description")), "pattern")
+    enabled = registry.where("enabled").select("pattern", "description")
+    _bounded(enabled.select("pattern"), MOST_PATTERNS, "patterns")
+    return findings.join(F.broadcast(enabled), "pattern")

@@ -10,15 +10,6 @@ from ..operators.admission import decode_text
 from .csv_cells import read_csv_split
 
 
-def spread(df: DataFrame, most: int = 64) -> DataFrame:
-    """Rows of a small, unsplit table over the cores, for work that is heavy per row.
-
-    A table with at least as many splits as there are cores is left alone.
-    """
-    cores = min(df.sparkSession.sparkContext.defaultParallelism, most)
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def file_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 

@@ -249,3 +249,13 @@ def test_valid_rules_do_not_vanish_when_the_check_fails(spark, monkeypatch):
 
     with pytest.raises(PySparkException):
         rules.plan_rules(Broken(), [{"id": "a", "originalTerm": "klant", "isRegex": True}])
+
+
+@pytest.mark.parametrize("restart_by", [None, "g"])
+def test_few_and_many_distinct_rows_get_the_same_numbers(spark, restart_by):
+    rows = spark.range(500).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 501).alias("v")).groupBy("g", "v").count()
+    order = ["g", "v"]
+    few, many = (numbering.number_distinct(rows, order, restart_by=restart_by, few=n) for n in (10_000, 0))
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+    assert few.columns == many.columns and dict(few.dtypes)["n"] == dict(many.dtypes)["n"]
+    assert numbering.number_distinct(rows.limit(0), order, restart_by=restart_by).count() == 0

@@ -186,6 +186,18 @@ def test_rules_from_json_have_defaults(spark):
     assert column == columns.ColumnRule(id="b", column_name="c", random_range_percent=10.0)
 
 
+def test_too_many_rules_and_patterns_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(config, "MOST_RULES", 2)
+    monkeypatch.setattr(config, "MOST_PATTERNS", 1)
+    rules = config.text_rules(spark.createDataFrame([(i, '{"originalTerm": "x"}') for i in range(3)], "n int, value string"), order_col="n")
+    with pytest.raises(ValueError, match="more than 2 rules"):
+        config.as_text_rules(rules)
+    with pytest.raises(ValueError, match="more than 1 patterns"):
+        config.as_registry(config.registry_table(spark))
+    with pytest.raises(ValueError, match="more than 1 patterns"):
+        config.annotate_findings(spark.createDataFrame([("email",)], "pattern string"), config.registry_table(spark))
+
+
 # --- mappings -------------------------------------------------------------------
 
 
