@@ -473,7 +473,7 @@ def test_sliding_least():
 
 def test_registered_queries():
     names = list(queries.QUERIES)
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] and set(queries.SQL) <= set(names)
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)] and set(queries.SQL) <= set(names)
 
 
 @pytest.mark.parametrize("name", list(queries.SQL))
