@@ -31,19 +31,21 @@ def _material(key, scope: str, turn: Column, of: Column, block: Column) -> Colum
 
 
 def _digits(key, scope: str, turn: Column, half: Column, n: Column, radix: int) -> Column:
-    """``n`` digits that depend on the key and on a half, sixteen from each hash."""
+    """``n`` digits that depend on the key and on a half, sixteen from each hash.
+
+    The half as text and the hashes are bound: a lambda that named them would compute them
+    for each of its elements, and the work would grow with the square of the length.
+    """
     shown = F.array_join(F.transform(half, lambda d: d.cast("string")), ".")
     blocks = F.sequence(F.lit(0), F.floor((F.greatest(n, F.lit(1)) - 1) / 16).cast("int"))
-    stream = F.array_join(F.transform(blocks, lambda b: _material(key, scope, turn, shown, b)), "")
+    hashes = bind(shown, lambda of: F.transform(blocks, lambda b: _material(key, scope, turn, of, b)))
     places = F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: i < n)
-    return F.transform(places, lambda i: F.conv(F.substr(stream, 4 * i + 1, F.lit(4)), 16, 10).cast("bigint") % radix)
+    digit = lambda block, i: F.conv(F.substr(block, 4 * (i % 16) + 1, F.lit(4)), 16, 10).cast("bigint") % radix
+    return bind(hashes, lambda of: F.transform(places, lambda i: digit(F.get(of, F.floor(i / 16).cast("int")), i)))
 
 
 def _feistel(digits: Column, key, scope: str, radix: int, back: bool) -> Column:
     """Digits of a text, permuted among all texts of their length."""
-    n = F.size(digits)
-    cut = F.floor(n / 2).cast("int")
-    start = F.struct(F.slice(digits, F.lit(1), cut).cast(_BITS).alias("a"), F.slice(digits, cut + 1, n).cast(_BITS).alias("b"))
     sign = -1 if back else 1
 
     def turn(acc: Column, t: Column) -> Column:
@@ -54,7 +56,14 @@ def _feistel(digits: Column, key, scope: str, radix: int, back: bool) -> Column:
         return bind(added, lambda new: F.struct(F.when(t % 2 == 0, new).otherwise(acc["a"]).alias("a"), F.when(t % 2 == 0, acc["b"]).otherwise(new).alias("b")))
 
     turns = F.array(*[F.lit(t) for t in (reversed(range(ROUNDS)) if back else range(ROUNDS))])
-    return F.aggregate(turns, start, turn, lambda acc: F.concat(acc["a"], acc["b"]))
+
+    def permuted(digits: Column) -> Column:
+        n = F.size(digits)
+        cut = F.floor(n / 2).cast("int")
+        start = F.struct(F.slice(digits, F.lit(1), cut).cast(_BITS).alias("a"), F.slice(digits, cut + 1, n).cast(_BITS).alias("b"))
+        return F.aggregate(turns, start, turn, lambda acc: F.concat(acc["a"], acc["b"]))
+
+    return bind(digits, permuted)
 
 
 def permute_text(c: Column, key, scope: str = "", alphabet: str | None = None) -> Column:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from cloakframe.functions.permute import permute_number, restore_number
 from cloakframe.operators import columns, restore
+from cloakframe.operators.numbering import stash
 
-from .inputs import from_sql, in_duck, sql_cents, table
+from .inputs import from_sql, in_duck, sql_cents, table, texts
 from .registry import query
 
 SALT = "zout"
@@ -392,9 +393,9 @@ _PSEUDONYMS = [
 )
 def mask_pseudonyms(spark, sf):
     """Keyed pseudonyms: as many as there are values, and the key brings all of them back."""
-    plain = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    masked = columns.mask_table(plain, _PSEUDONYMS, salt="zout", escape=False).table
-    back = columns.restore_pseudonyms(masked, _PSEUDONYMS, "zout").join(plain, ["c_custkey", "c_name", "c_mktsegment"], "left_semi")
+    plain = texts(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    masked = stash(columns.mask_table(plain, _PSEUDONYMS, salt="zout", escape=False).table)  # as a finished job leaves it
+    back = stash(columns.restore_pseudonyms(masked, _PSEUDONYMS, "zout")).join(plain, ["c_custkey", "c_name", "c_mktsegment"], "left_semi")
     same = masked.join(plain, ["c_custkey", "c_name"], "left_semi")
     counts = masked.agg(F.count("*").alias("n_rows"), F.count_distinct("c_name").alias("n_names"), F.count_distinct("c_mktsegment").alias("n_segments"))
     return counts.join(back.agg(F.count("*").alias("n_back"))).join(same.agg(F.count("*").alias("n_same")))
