@@ -41,6 +41,19 @@ def read_stream(spark: SparkSession, folder: str, schema, glob: str = "*.parquet
     return reader.parquet(folder)
 
 
+def read_table_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+    """One table as a stream, whether its path is a file or a folder of files.
+
+    The path is given as a pattern that only it fits: a stream takes a plain path for a
+    folder, and a filter on file names would skip the files of a table that is one.
+    """
+    folder, _, name = path.rstrip("/").rpartition("/")
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(f"{folder}/[{name[0]}]{name[1:]}")
+
+
 def append_to(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Exactly-once append of a stateless stream."""
     return (

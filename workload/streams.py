@@ -15,8 +15,7 @@ from .registry import query
 
 
 def _stream(spark, sf, name):
-    schema = table(spark, sf, name).schema
-    return streaming.read_stream(spark, sf, schema, glob=f"{name}.parquet")
+    return streaming.read_table_stream(spark, f"{sf}/{name}.parquet", table(spark, sf, name).schema)
 
 
 def _job_stream(spark, sf):
