@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .numbering import stash
+
 # Characters of terms and replacements that one automaton holds; longer lists take several, in order.
 AUTOMATON_CHARS = 8_000_000
 # One rule: four log fields, term (empty: only logged, with count 0), replacement, whether case counts.
@@ -128,7 +130,8 @@ def apply_terms(df: DataFrame, rules: list[Rule], text: Column, output: str) ->
     """Adds ``output``, a struct ``text, log``: the text after the rules in order, an entry per rule that matched.
 
     A null text stays null and logs skipped rules only.  The rules are broadcast in portions of
-    ``AUTOMATON_CHARS``; each task builds the automaton once.
+    ``AUTOMATON_CHARS``; each task builds the automaton once.  The rows are written between
+    portions (not on a stream), so that a task holds one automaton however many terms there are.
     """
     spark = df.sparkSession
     current, logs = text, []
@@ -148,6 +151,8 @@ def apply_terms(df: DataFrame, rules: list[Rule], text: Column, output: str) ->
                 yield pd.DataFrame(rows, columns=["text", "log"])
 
         name = f"{output}_{i}"
+        if i and not df.isStreaming:
+            out = stash(out)  # chained, a task would hold the automata of all portions at once
         out = out.withColumn(name, run(current))
         current = F.col(name)["text"]
         logs.append(F.col(name)["log"])

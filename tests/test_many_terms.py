@@ -4,6 +4,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from cloakframe.operators import many_terms, rules
 from cloakframe.operators.many_terms import Terms, fold
@@ -75,3 +76,14 @@ def test_five_thousand_terms_cost_little():
         assert all(terms.apply(t)[1] for t in texts)
         spent[n] = time.process_time() - started
     assert spent[5000] < 3 * spent[50]
+
+
+def test_a_task_holds_one_automaton_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(many_terms, "AUTOMATON_CHARS", 8)
+    df = spark.createDataFrame([(1, "aap noot mies"), (2, None)], "id long, text string")
+    listed = [(f"r{i}", term, term, new, term, new, False) for i, (term, new) in enumerate([("aap", "1"), ("noot", "2"), ("mies", "aap")])]
+    out = many_terms.apply_terms(df, listed, F.col("text"), "out")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") <= 1
+    got = {r["id"]: r["out"] for r in out.collect()}
+    assert got[1]["text"] == "1 2 aap" and [e["ruleId"] for e in got[1]["log"]] == ["r0", "r1", "r2"] and got[2]["text"] is None
