@@ -58,8 +58,10 @@ class _Allocator(StatefulProcessor):
         for frame in rows:
             for original, seen in zip(frame["original"], frame["seen"], strict=True):
                 first[original] = min(seen, first.get(original, seen))
-        new = [o for o in sorted(first, key=lambda o: (first[o], o)) if not self.known.containsKey((o,))]
         given = self.given.get()[0] if self.given.exists() else 0
+        # Nothing was given out and nothing taken over: no value is known, and none is asked for.
+        unknown = not given and not self.start
+        new = [o for o in sorted(first, key=lambda o: (first[o], o)) if unknown or not self.known.containsKey((o,))]
         entries = []
         for n, original in enumerate(new, start=given):
             number = self._number(int(key[0]), n)
