@@ -15,7 +15,7 @@ from datetime import datetime, timedelta
 from itertools import groupby
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +27,8 @@ CELL_SCHEMA = (
     "path string, sheet string, sheet_idx int, row_idx int, col_idx int, header string, "
     "value string, type string, error string"
 )
-ROWS_PER_BATCH = 20_000
+# Rows and characters that a task hands on at once.
+ROWS_PER_BATCH, CHARS_PER_BATCH = 20_000, 4_000_000
 # Bytes that the entries of one file may have unzipped, all together.  An entry never yields
 # more than its header states, so the headers are enough to judge by.
 MOST_UNZIPPED = 512 * 1024 * 1024
@@ -160,24 +161,33 @@ def _xlsx_cells(content: bytes) -> Iterator[tuple]:
                     element.clear()
 
 
-def _batches(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
-    batch = []
+def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of a bounded number of rows and of characters."""
+    batch, chars = [], 0
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*batch), schema)], schema=schema)
+
     for row in rows:
         batch.append(row)
-        if len(batch) == ROWS_PER_BATCH:
-            yield pd.DataFrame(batch, columns=columns)
-            batch = []
+        chars += sum(len(v) for v in row if isinstance(v, str))
+        if len(batch) == ROWS_PER_BATCH or chars >= CHARS_PER_BATCH:
+            yield made()
+            batch, chars = [], 0
     if batch:
-        yield pd.DataFrame(batch, columns=columns)
+        yield made()
 
 
-def _parser(read, columns: list[str], kind: str):
-    """mapInPandas function: the rows of each file, or one row with the error."""
-    width = len(columns) - 2
+def _parser(read, schema: str, kind: str):
+    """mapInArrow function: the rows of each file, or one row with the error."""
+    width = len(_names(schema)) - 2
+    arrow = pa.schema([(f.split()[0], pa.int32() if f.endswith(" int") else pa.string()) for f in schema.split(", ")])
 
-    def rows(frames):
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
+    def rows(batches):
+        for batch in batches:
+            # One file is a Python value at a time, whatever the batch holds.
+            for path, held in zip(batch.column(0), batch.column(1), strict=True):
+                path, content = path.as_py(), held.as_py()
                 try:
                     for row in read(content):
                         yield (path, *row, None)
@@ -186,7 +196,7 @@ def _parser(read, columns: list[str], kind: str):
                 except Exception as e:  # malformed XML, missing parts, ...
                     yield (path, *[None] * width, cat.UNREADABLE % (kind, e))
 
-    return lambda frames: _batches(rows(frames), columns)
+    return lambda batches: _batches(rows(batches), arrow)
 
 
 def _names(schema: str) -> list[str]:
@@ -195,17 +205,17 @@ def _names(schema: str) -> list[str]:
 
 def read_docx_runs(files: DataFrame) -> DataFrame:
     """Runs of DOCX files: ``path, part, para_idx, run_idx, text, error``."""
-    return files.select("path", "content").mapInPandas(_parser(_docx_runs, _names(RUN_SCHEMA), cat.WORD_FILE), RUN_SCHEMA)
+    return files.select("path", "content").mapInArrow(_parser(_docx_runs, RUN_SCHEMA, cat.WORD_FILE), RUN_SCHEMA)
 
 
 def read_docx_texts(files: DataFrame) -> DataFrame:
     """Body text per DOCX file, paragraphs joined by line breaks: ``path, text, error``."""
-    return files.select("path", "content").mapInPandas(_parser(_docx_text, _names(TEXT_SCHEMA), cat.WORD_FILE), TEXT_SCHEMA)
+    return files.select("path", "content").mapInArrow(_parser(_docx_text, TEXT_SCHEMA, cat.WORD_FILE), TEXT_SCHEMA)
 
 
 def read_xlsx_cells(files: DataFrame) -> DataFrame:
     """Cells of XLSX files in long form; row 1 holds the headers."""
-    return files.select("path", "content").mapInPandas(_parser(_xlsx_cells, _names(CELL_SCHEMA), cat.EXCEL_FILE), CELL_SCHEMA)
+    return files.select("path", "content").mapInArrow(_parser(_xlsx_cells, CELL_SCHEMA, cat.EXCEL_FILE), CELL_SCHEMA)
 
 
 def only_sheets(cells: DataFrame, sheets: list[str] | None) -> DataFrame:

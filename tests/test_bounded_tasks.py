@@ -1,10 +1,22 @@
 """What a task holds at once, and what it asks of its state."""
 
 import pandas as pd
+import pyarrow as pa
 
+from cloakframe.sources import office
 from cloakframe.streaming.placeholders import _Allocator
 
 
+def test_office_rows_leave_in_bounded_batches(monkeypatch):
+    monkeypatch.setattr(office, "CHARS_PER_BATCH", 1000)
+    run = office._parser(lambda content: iter([(content.decode() * 400,)]), office.TEXT_SCHEMA, "Word")
+    files = pa.RecordBatch.from_pydict({"path": [str(i) for i in range(9)], "content": [b"x"] * 8 + [b"\xff"]})
+    batches = list(run(iter([files])))
+    assert [b.num_rows for b in batches] == [3, 3, 3] and batches[0].schema.names == ["path", "text", "error"]
+    rows = pa.Table.from_batches(batches).to_pylist()
+    assert [r["text"] for r in rows] == ["x" * 400] * 8 + [None] and rows[8]["error"] and rows[0]["error"] is None
+
+
 class _State(dict):
     """A value, a map and the handle of both, which counts what it is asked."""
 
