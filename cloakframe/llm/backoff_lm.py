@@ -225,33 +225,51 @@ def _pair_range(model: Unigrams, frequent: int) -> Callable:
         if rows[0]["range"] < 0:
             return pa.Table.from_pylist([{"kind": "shard"} | {k: r[k] for k in ("shard", "range", "ids", "held", "base", "score")} for r in rows], schema=schema)
         rows.sort(key=lambda r: r["shard"])
-        join = lambda name: np.concatenate([unpack(r[name]) for r in rows])
-        v, cv = (np.repeat(join(name), join("runs")) for name in ("v", "cv"))
-        w, cw, train, met = (join(name) for name in ("w", "cw", "train", "met"))
-        contexts, context = np.unique(v, return_inverse=True)
-        words, word = np.unique(w, return_inverse=True)
-        pairs, first, pair = np.unique(context * len(words) + word, return_index=True, return_inverse=True)
+        del asks
+        # A packed column goes as soon as it is unpacked; places in this range's tables take four bytes.
+        lists = lambda name: [unpack(r.pop(name)) for r in rows]
+        join = lambda name: np.concatenate(lists(name))
+        contexts, context = np.unique(join("v"), return_inverse=True)
+        c = np.zeros(len(contexts), np.int64)
+        c[context] = join("cv")
+        context = np.repeat(context.astype(np.int32), join("runs"))
+        words, word = np.unique(join("w"), return_inverse=True)
+        word = context.astype(np.int64) * len(words) + word
+        n_words = len(words)
+        del words
+        pairs, first, pair = np.unique(word, return_index=True, return_inverse=True)
+        first, pair = first.astype(np.int32), pair.astype(np.int32)
+        del word
         totals = np.zeros(len(pairs), np.int64)
-        np.add.at(totals, pair, train)
+        np.add.at(totals, pair, join("train"))
+        cw = join("cw")
         # The contexts: counts of counts, mass of the words seen after them.
-        owner, seen = pairs // len(words), totals > 0
+        owner, seen = pairs // n_words, totals > 0
+        del pairs
         p = np.bincount(owner[seen], model(cw[first])[seen], len(contexts))
         small = seen & (totals <= DISCOUNTED)
         m = np.bincount(owner[small] * DISCOUNTED + totals[small] - 1, minlength=len(contexts) * DISCOUNTED).reshape(-1, DISCOUNTED)
-        c = np.zeros(len(contexts), np.int64)
-        c[context] = cv
+        del owner, seen, small, first
         # The texts: pairs that were seen are scored but for their discount, the others are backed off.
         r = totals[pair]
-        with np.errstate(divide="ignore"):
-            value = np.where(r > 0, np.log10(r) - np.log10(cv + KEPT), np.log10(model(cw)))
-        sizes = [len(unpack(x["met"])) for x in rows]
-        shard = np.repeat(np.arange(len(rows)), sizes)
+        del pair
+        value = np.empty(len(r))
+        value[r > 0] = np.log10(r[r > 0]) - np.log10(c + KEPT)[context[r > 0]]
+        value[r == 0] = np.log10(model(cw[r == 0]))
+        del cw
+        mets = lists("met")
+        shard = np.repeat(np.arange(len(rows)), [len(x) for x in mets])
+        met = np.concatenate(mets)
         docs = join("docs")
-        entry = np.repeat(np.arange(len(met)), met)
+        entry = np.repeat(np.arange(len(met), dtype=np.int32), met)
+        del mets, met
         cells, cell = np.unique((shard[entry] << 32) + docs, return_inverse=True)
+        cell = cell.astype(np.int32)
         score = np.bincount(cell, value[entry], len(cells))
+        del value
         low = (r[entry] > 0) & (r[entry] <= DISCOUNTED)
-        classes = np.bincount(cell[low] * DISCOUNTED + r[entry[low]] - 1, minlength=len(cells) * DISCOUNTED).reshape(-1, DISCOUNTED)
+        classes = np.bincount(cell[low].astype(np.int64) * DISCOUNTED + r[entry[low]] - 1, minlength=len(cells) * DISCOUNTED).reshape(-1, DISCOUNTED)
+        del cell, low
         numbers = [x["shard"] for x in rows]
         stops = np.searchsorted(cells, np.arange(1, len(rows) + 1) << 32)
         out = [
