@@ -229,7 +229,9 @@ def _searched(items: list[list[int]], pair_of: list[list[int]], k: int) -> Calla
                 for terms, pairs, found in zip(items, pair_of, best):
                     search_block(block, terms, pairs, found)
         item = np.repeat(np.arange(len(best)), [len(b.ids) for b in best])
-        ids = pa.array(np.concatenate([b.ids for b in best]), mask=np.concatenate([b.nulls for b in best])) if best else []
+        if not best:
+            return
+        ids = pa.array(np.concatenate([b.ids for b in best]), mask=np.concatenate([b.nulls for b in best]))
         yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), ids, pa.array(np.concatenate([b.scores for b in best]))], schema=schema)
 
     return run
