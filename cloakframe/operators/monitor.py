@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import catalogue as cat
-from .numbering import running_total
+from .numbering import running_total, stash
 
 MICROS_PER_MINUTE = 60_000_000
 # Slices of a trailing window: five minutes for an hour, two hours for a day.  Each total is sent to
@@ -253,7 +253,8 @@ def report_totals(reports: DataFrame, by: str, report_col: str = "report") -> Da
 
 
 def split_logs(logs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Automatic and manual entries."""
+    """Automatic and manual entries; the logs are written once, so that the job behind them runs once."""
+    logs = stash(logs)
     return logs.where(is_auto(F.col("ruleId"))), logs.where(~is_auto(F.col("ruleId")))
 
 
