@@ -23,8 +23,8 @@ PHONE_GUARD = (
 )
 # What every match of a pattern holds.  Looking for it is far cheaper than the pattern.
 PHONE_LITERALS = {
-    "intl_plus_spaced": "+31", "intl_plus": "+31", "landline_intl": "+31", "intl_zero_spaced": "00",
-    "intl_zero": "00", "parentheses": "(", "dash": "-", "dots": ".",
+    "intl_plus_spaced": "+31", "intl_plus": "+31", "landline_intl": "+31", "intl_zero_spaced": "31",
+    "intl_zero": "31", "parentheses": "(", "dash": "-", "dots": "6.",
 }
 BSN_GUARD = r"[0-9]{3}[-.]?[0-9]{2}[-.]?[0-9]{4}"
 IBAN_GUARD = r"(?:NL|DE|BE|FR)\d{2}"

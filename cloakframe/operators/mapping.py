@@ -161,6 +161,8 @@ def decrypt_mapping(mapping: DataFrame, key, column: str = "original") -> DataFr
     """Undo ``encrypt_mapping``; a wrong key or a damaged value is an error, not a NULL."""
     plain = F.try_aes_decrypt(F.col(column), as_column(key), F.lit("GCM"))
     refused = F.raise_error(F.lit("mapping cannot be decrypted: wrong key or damaged value"))
-    return mapping.withColumn(
-        column, F.when(F.col(column).isNotNull() & plain.isNull(), refused).otherwise(plain.cast("string"))
-    )
+    # Two steps, so that a value that is named twice is decrypted once.
+    opened = mapping.withColumn("_plain", plain)
+    return opened.withColumn(
+        column, F.when(F.col(column).isNotNull() & F.col("_plain").isNull(), refused).otherwise(F.col("_plain").cast("string"))
+    ).drop("_plain")
