@@ -172,7 +172,7 @@ def restore_in_row(spark, sf):
     """,
 )
 def restore_unknown_tokens(spark, sf):
-    redacted = redact.redact_reversible(notes(spark, sf))
+    redacted = stash(redact.redact_reversible(notes(spark, sf)))  # as a finished job leaves it
     emails_only = redact.mapping_rows(redacted, "doc_id").where("kind = 'email'")
     marked = redacted.select("doc_id", F.concat(F.lit("[TEL-999] "), "redacted").alias("redacted"))
     return restore.restore_documents(marked, emails_only, "doc_id").select("doc_id", "restored")
