@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cloakframe.functions import catalogue as cat
 
@@ -17,13 +18,21 @@ def dialect(sql: str, names: dict[str, str]) -> str:
     return sql
 
 
+# Rows of a task whose work per row is heavy.
+TASK_ROWS = 100_000
+
+
 def spread(df: DataFrame, most: int = 64) -> DataFrame:
-    """Rows of a small, unsplit table over the cores, for work that is heavy per row.
+    """Rows of a table in enough tasks, for work that is heavy per row.
 
-    A table with at least as many splits as there are cores is left alone.
+    There are as many tasks as cores, up to ``most``, and as ``TASK_ROWS`` asks for: a split
+    of a narrow table holds millions of rows.  A table with as many splits is left alone.
     """
-    cores = min(df.sparkSession.sparkContext.defaultParallelism, most)
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    tasks = max(min(df.sparkSession.sparkContext.defaultParallelism, most), -(-df.count() // TASK_ROWS))
+    if df.rdd.getNumPartitions() >= tasks:
+        return df
+    # The number keeps filters, and the heavy work in them, behind the exchange.
+    return df.repartition(tasks).where(F.monotonically_increasing_id() >= 0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
