@@ -17,11 +17,13 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 # A lookup side up to this many bytes of keys and values is broadcast.
 BROADCAST_BYTES = 32 * 1024 * 1024
+# Bytes of keys and values, or of text, that a task of a keyed exchange gets.
+TASK_BYTES = 32 * 1024 * 1024
 # Keys treated as frequent.  Any other key holds less than 1/1000 of the rows.
 FREQUENT_KEYS = 1000
 # Rows that one sort may number.
@@ -201,10 +203,24 @@ def hash_rank(df: DataFrame, digest: Column, name: str = "rank", buckets: int |
     )
 
 
+def _bytes(columns: list[str]) -> Column:
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in columns), F.lit(0))
+    return F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("b")
+
+
 def lookup_bytes(lookup: DataFrame, columns: list[str]) -> int:
     """Bytes that the given columns would take in a broadcast."""
-    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in columns), F.lit(0))
-    return lookup.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("b")).first()["b"]
+    return lookup.agg(_bytes(columns)).first()["b"]
+
+
+def dealt(df: DataFrame, size: int, *keys) -> DataFrame:
+    """Rows dealt by key to as many tasks as ``size`` bytes ask for, so that a task's share does not grow with the table.
+
+    The engine's own number of tasks is fixed, and small partitions are merged into fewer; what
+    fits into one task is left to it.
+    """
+    tasks = -(-size // TASK_BYTES)
+    return df.repartition(tasks, *keys) if tasks > 1 else df
 
 
 def lookup_join(
@@ -226,10 +242,12 @@ def lookup_join(
     """
     limit = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
     wanted = lookup.select(*keys, *values)
-    if lookup_bytes(wanted, keys + values) <= limit:
+    lookup_size = lookup_bytes(wanted, keys + values)
+    if lookup_size <= limit:
         return rows.join(F.broadcast(wanted), keys, "left").select(*quoted(*rows.columns), *values)
     no_key = reduce(Column.__or__, [F.col(k).isNull() for k in keys])
-    top = rows.where(~no_key).groupBy(*keys).agg(F.count("*").alias("_rows")).where("_rows > 1")
+    rows_size = Observation()
+    top = rows.observe(rows_size, _bytes(keys + ([row_id] if row_id else []))).where(~no_key).groupBy(*keys).agg(F.count("*").alias("_rows")).where("_rows > 1")
     top = stash(top.orderBy(F.col("_rows").desc(), *keys).limit(FREQUENT_KEYS).select(*keys))
     # At most FREQUENT_KEYS rows, whatever the lookup holds.
     found = wanted.join(F.broadcast(top), keys)
@@ -247,7 +265,8 @@ def lookup_join(
         *[F.col(k).alias(f"_key_{k}") for k in keys], F.lit(0).alias("_salt"),
         *[F.col(v).alias(f"_rest_{v}") for v in values],
     )
-    joined = keyed.join(rest, [f"_key_{k}" for k in keys] + ["_salt"], "left")
+    places = [f"_key_{k}" for k in keys] + ["_salt"]
+    joined = dealt(keyed, rows_size.get["b"] + lookup_size, *places).join(rest, places, "left")
     return joined.select(
         *quoted(*rows.columns), *[F.coalesce(f"_top_{v}", f"_rest_{v}").alias(v) for v in values]
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import catalogue as cat
 from ..functions.text import bind, each_struct, engine_pattern, quote_replacement
 from . import detect
-from .numbering import lookup_join, number_rows, stash
+from .numbering import dealt, lookup_bytes, lookup_join, number_rows, stash
 
 # Kinds that can be redacted, in order.  Phones and e-mails are the default; the
 # others are reported only, unless asked for.
@@ -191,20 +191,22 @@ def redact_corpus(
     """
     suspect = F.coalesce(detect.has_shape(F.col(text_col), kinds), F.lit(False))
     suspects = df.where(suspect).withColumn("_document", F.xxhash64(id_col, text_col))
-    values = stash(corpus_values(suspects, "_document", text_col, kinds).distinct())  # the patterns run once
+    size = lookup_bytes(suspects, [text_col])
+    found = corpus_values(suspects, "_document", text_col, kinds)
+    values = stash(dealt(found, size, "_document").distinct())  # the patterns run once
     mapping = corpus_mapping(values)
     pairs = lookup_join(
         values, mapping.select("kind", "original", "placeholder", "n_documents"),
         ["kind", "original"], ["placeholder"], row_id="_document",
     )
-    items = pairs.groupBy("_document").agg(
+    items = dealt(pairs, size, "_document").groupBy("_document").agg(
         # A document's own values: bounded by the document, which is one row anyway.
         F.collect_list(
             F.struct((-F.length("original")).alias("shorter"), "kind", "original", "placeholder")
         ).alias("_items")
     )
     replaced = F.when(F.col("_items").isNull(), F.col(text_col)).otherwise(substitute(F.col(text_col), F.col("_items")))
-    touched = suspects.join(items, "_document", "left").withColumn(output_col, replaced).select(*df.columns, output_col)
+    touched = dealt(suspects, size, "_document").join(items, "_document", "left").withColumn(output_col, replaced).select(*df.columns, output_col)
     redacted = touched.unionByName(df.where(~suspect).withColumn(output_col, F.col(text_col)))
     return redacted, mapping.select(
         F.lit("corpus").alias("scope_id"), "kind", "placeholder", "original"

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions.text import PLACEHOLDER_TOKEN, each_value, rewrite_tokens
 from .known import key_filter
 from .mapping import latest_entries, originals_by_scope
-from .numbering import lookup_join, quoted, stash
+from .numbering import dealt, lookup_bytes, lookup_join, quoted, stash
 from .wide import found_name, lookup_columns
 
 
@@ -104,13 +104,14 @@ def restore_corpus(
         tokens = tokens.where(known.might_hold(*[F.col(c) for c in (["scope_id"] if scope_col else [])], F.col("placeholder")))
     keys = ["scope_id", "placeholder"] if scope_col else ["placeholder"]
     found = lookup_join(tokens, latest_entries(mapping, keys), keys, ["original"], row_id="_document")
+    size = lookup_bytes(df, [text_col])
     per_document = (
-        found.where(F.col("original").isNotNull())
+        dealt(found.where(F.col("original").isNotNull()), size, "_document")
         .groupBy("_document")
         # A set: rows that repeat a document repeat its tokens.
         .agg(F.map_from_entries(F.collect_set(F.struct("placeholder", "original"))).alias("_originals"))
     )
-    return _finish(marked.join(per_document, "_document", "left"), untouched, text_col, output_col)
+    return _finish(dealt(marked, size, "_document").join(per_document, "_document", "left"), untouched, text_col, output_col)
 
 
 def unambiguous(mapping: DataFrame) -> DataFrame:
