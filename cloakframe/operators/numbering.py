@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # A lookup side up to this many bytes of keys and values is broadcast.
@@ -203,14 +203,10 @@ def hash_rank(df: DataFrame, digest: Column, name: str = "rank", buckets: int |
     )
 
 
-def _bytes(columns: list[str]) -> Column:
-    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in columns), F.lit(0))
-    return F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("b")
-
-
 def lookup_bytes(lookup: DataFrame, columns: list[str]) -> int:
     """Bytes that the given columns would take in a broadcast."""
-    return lookup.agg(_bytes(columns)).first()["b"]
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in columns), F.lit(0))
+    return lookup.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("b")).first()["b"]
 
 
 def dealt(df: DataFrame, size: int, *keys) -> DataFrame:
@@ -246,8 +242,8 @@ def lookup_join(
     if lookup_size <= limit:
         return rows.join(F.broadcast(wanted), keys, "left").select(*quoted(*rows.columns), *values)
     no_key = reduce(Column.__or__, [F.col(k).isNull() for k in keys])
-    rows_size = Observation()
-    top = rows.observe(rows_size, _bytes(keys + ([row_id] if row_id else []))).where(~no_key).groupBy(*keys).agg(F.count("*").alias("_rows")).where("_rows > 1")
+    size = lookup_size + lookup_bytes(rows, keys + ([row_id] if row_id else []))
+    top = rows.where(~no_key).groupBy(*keys).agg(F.count("*").alias("_rows")).where("_rows > 1")
     top = stash(top.orderBy(F.col("_rows").desc(), *keys).limit(FREQUENT_KEYS).select(*keys))
     # At most FREQUENT_KEYS rows, whatever the lookup holds.
     found = wanted.join(F.broadcast(top), keys)
@@ -261,12 +257,14 @@ def lookup_join(
         {f"_key_{k}": F.when(is_frequent, F.lit(None)).otherwise(F.col(k)) for k in keys}
         | {"_salt": F.when(is_frequent, spread).otherwise(F.lit(0))}
     )
+    # Always 0, but no literal: the optimizer would take that out of the join's keys, and all rows without a key into one task.
+    zero = F.pmod(F.hash(*keys), F.lit(1))
     rest = wanted.select(
-        *[F.col(k).alias(f"_key_{k}") for k in keys], F.lit(0).alias("_salt"),
+        *[F.col(k).alias(f"_key_{k}") for k in keys], zero.alias("_salt"),
         *[F.col(v).alias(f"_rest_{v}") for v in values],
     )
     places = [f"_key_{k}" for k in keys] + ["_salt"]
-    joined = dealt(keyed, rows_size.get["b"] + lookup_size, *places).join(rest, places, "left")
+    joined = dealt(keyed, size, *places).join(rest, places, "left")
     return joined.select(
         *quoted(*rows.columns), *[F.coalesce(f"_top_{v}", f"_rest_{v}").alias(v) for v in values]
     )

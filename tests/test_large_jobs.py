@@ -44,6 +44,22 @@ def test_value_is_decrypted_once(spark, capsys):
         wrong.collect()
 
 
+def test_empty_rows_meet_a_large_lookup(spark):
+    lookup = spark.createDataFrame([("a", "1")], "k string, v string")
+    rows = spark.createDataFrame([], "k string, i int")
+    assert numbering.lookup_join(rows, lookup, ["k"], ["v"], broadcast_bytes=0).count() == 0
+
+
+def test_rows_of_frequent_keys_are_spread(spark, capsys):
+    lookup = spark.createDataFrame([(str(i), i) for i in range(100)], "k string, v int")
+    rows = spark.range(1000).select("id", F.when(F.col("id") % 2 == 0, "7").otherwise((F.col("id") % 120).cast("string")).alias("k"))
+    joined = numbering.lookup_join(rows, lookup, ["k"], ["v"], row_id="id", broadcast_bytes=0)
+    joined.explain("simple")
+    exchanges = [x for x in capsys.readouterr().out.splitlines() if "hashpartitioning(_key_k" in x]
+    assert exchanges and all("_salt" in x for x in exchanges)
+    assert joined.where("v = 7").count() == 509 and joined.count() == 1000
+
+
 def test_join_of_documents_is_dealt_by_their_bytes(spark, capsys, monkeypatch):
     monkeypatch.setattr(numbering, "TASK_BYTES", 1000)
     monkeypatch.setattr(numbering, "BROADCAST_BYTES", 0)
