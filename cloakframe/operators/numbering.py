@@ -205,7 +205,7 @@ def hash_rank(df: DataFrame, digest: Column, name: str = "rank", buckets: int |
 
 def lookup_bytes(lookup: DataFrame, columns: list[str]) -> int:
     """Bytes that the given columns would take in a broadcast."""
-    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in columns), F.lit(0))
+    width = sum((F.coalesce(F.octet_length(c.cast("string")), F.lit(0)) + 16 for c in quoted(*columns)), F.lit(0))
     return lookup.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("b")).first()["b"]
 
 

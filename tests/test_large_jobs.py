@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cloakframe.operators import mapping, monitor, numbering, redact, restore
+from cloakframe.operators import columns, mapping, monitor, numbering, redact, restore
 from workload.inputs import TASK_ROWS, spread
 
 
@@ -73,3 +73,14 @@ def test_join_of_documents_is_dealt_by_their_bytes(spark, capsys, monkeypatch):
     assert "REPARTITION_BY_NUM" in _plan(back, capsys)
     key = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")
     assert sorted(map(tuple, back.select("id", "restored").collect()), key=key) == sorted(rows, key=key)
+
+
+@pytest.mark.parametrize("shuffled", [[], [{"columnName": "Tel.nr", "anonymizationType": "shuffle"}]])
+def test_odd_headers_meet_a_large_lookup(spark, monkeypatch, shuffled):
+    rows = [(i, f"{i}", None if i % 9 == 0 else f"k{i % 30}@x.nl", "x") for i in range(100)]
+    df = spark.createDataFrame(rows, "`rij.nr` long, `Tel.nr` string, `e-mail adres` string, `a.b` string")
+    odd = [*shuffled, {"columnName": "e-mail adres", "reversible": True}, {"columnName": "a.b"}]
+    run = lambda: sorted(map(tuple, columns.mask_table(df, odd, row_id="rij.nr", salt="zout").table.collect()))
+    small = run()
+    monkeypatch.setattr(numbering, "BROADCAST_BYTES", 0)
+    assert run() == small and len(small) == 100
