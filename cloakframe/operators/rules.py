@@ -1,7 +1,7 @@
 """User rules on free text: schema, lint, translation and ordered application.
 
 A rule list comes from a user form, so it is small and lives on the driver; the
-texts it runs over do not.
+texts it runs over do not, nor do literal rules that are a table.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 
 from ..functions import catalogue as cat
 from ..functions.text import each_struct, quote_pattern, quote_replacement, regex_flags
-from .many_terms import apply_terms
+from .many_terms import apply_terms, packed_rules
+from .numbering import quoted
 
 RULE_LOG_TYPE = (
     "array<struct<ruleId:string,originalTermDisplay:string,appliedPattern:string,"
@@ -279,16 +280,42 @@ def _segments(steps: list[_Step], chained: int, many: int) -> list[tuple[Callabl
     return runs
 
 
+def _table_scan(df: DataFrame, rules: DataFrame, order_by: list[str], text_col: str, output_col: str) -> DataFrame:
+    """Literal rules of a table, as one list; they stay off the driver."""
+    if not order_by:
+        raise ValueError("a table of rules needs order_by: columns of it that give the order of the rules")
+    given = dict(zip(rules.columns, quoted(*rules.columns), strict=True))
+    text = lambda name: F.coalesce(given.get(name, F.lit("")), F.lit(""))
+    flag = lambda name: F.coalesce(given.get(name, F.lit(False)), F.lit(False))
+    if not rules.where(flag("isRegex")).isEmpty():
+        raise ValueError("a table of rules holds literal rules only; give regex rules as a list")
+    remove, new = flag("removeInsteadOfReplace"), text("replacementTerm")
+    literal = rules.select(
+        F.struct(*quoted(*order_by)).alias("place"), given.get("id", F.lit("")).alias("id"), text("originalTerm").alias("term"),
+        F.when(remove, cat.REMOVED_DISPLAY).otherwise(new).alias("shown"), F.when(remove, "").otherwise(new).alias("new"),
+        flag("caseSensitive").alias("cased"),
+    ).where("term <> ''")
+    out = apply_terms(df, packed_rules(literal), F.col(text_col), "_rules")
+    return out.withColumn(output_col, F.col("_rules")["text"]).withColumn("rule_log", F.col("_rules")["log"].cast(RULE_LOG_TYPE)).drop("_rules")
+
+
 def apply_rules(
-    df: DataFrame, rules: list, text_col: str = "text", output_col: str = "redacted", chained: int = CHAINED_RULES, many: int = CHAINED_RULES
-) -> DataFrame:
+    df: DataFrame, rules: list | DataFrame, text_col: str = "text", output_col: str = "redacted", chained: int = CHAINED_RULES,
+    many: int = CHAINED_RULES, order_by: list[str] | None = None,
+) -> DataFrame:
     """Rules in order, each on the output of the one before; narrow.
 
     Adds ``output_col`` and ``rule_log``: an entry per rule that matched, with
     its count on the text it saw, and one with count 0 per rule that was skipped.
     Of a list of more than ``chained`` rules, ``many`` literal rules in a row cost one
     pass over the text, see ``many_terms``.
+
+    ``rules`` may be a table of literal rules with columns like the fields of a rule (``id``,
+    ``originalTerm`` …; missing ones have their default) and ``order_by``, the columns that order
+    them.  It may be larger than the driver's memory.
     """
+    if isinstance(rules, DataFrame):
+        return _table_scan(df, rules, order_by or [], text_col, output_col)
     steps = plan_rules(df.sparkSession, rules)
     out, logs = df.withColumn(output_col, F.col(text_col)), []
     for i, (way, segment) in enumerate(_segments(steps, chained, many)):

@@ -87,3 +87,51 @@ def test_a_task_holds_one_automaton_at_a_time(spark, monkeypatch):
     assert plan.count("ArrowEvalPython") <= 1
     got = {r["id"]: r["out"] for r in out.collect()}
     assert got[1]["text"] == "1 2 aap" and [e["ruleId"] for e in got[1]["log"]] == ["r0", "r1", "r2"] and got[2]["text"] is None
+
+
+@pytest.mark.parametrize("chars", [many_terms.AUTOMATON_CHARS, 12])
+def test_a_table_of_rules_is_the_list_of_them(spark, monkeypatch, chars):
+    monkeypatch.setattr(many_terms, "AUTOMATON_CHARS", chars)
+    listed = [*_random_rules(4, 30, ["a", "[N]", "b", "É"]), {"id": "e", "originalTerm": ""}, *_random_rules(5, 10, ["[N]"])]
+    names = ["id", "originalTerm", "replacementTerm", "caseSensitive", "removeInsteadOfReplace"]
+    rows = [(i, *(r.get(n) for n in names)) for i, r in enumerate(listed)]
+    random.Random(1).shuffle(rows)
+    table = spark.createDataFrame(rows, "`n.r` long, id string, originalTerm string, replacementTerm string, caseSensitive boolean, removeInsteadOfReplace boolean")
+    assert _run(spark, TEXTS, table, order_by=["n.r"]) == _run(spark, TEXTS, listed, chained=0, many=1)
+
+
+def test_rules_of_a_table_stay_off_the_driver(spark, monkeypatch):
+    """The driver sees packed portions only, one at a time."""
+    monkeypatch.setattr(many_terms, "AUTOMATON_CHARS", 2000)
+    table = spark.range(5000).selectExpr("id as n", "concat('r', id) as id", "concat('Klant', id, '@') as originalTerm", "'[K]' as replacementTerm")
+    sent, rows = [], []
+    collect = type(table).collect
+    share = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda sc, value: sent.append(value) or share(sc, value))
+    monkeypatch.setattr(type(table), "collect", lambda df: rows.append(collect(df)) or rows[-1])
+    out = rules.apply_rules(spark.range(0, 6000, 100).selectExpr("id", "concat('mail klant', id, '@x') as text"), table, order_by=["n"])
+    monkeypatch.undo()
+    assert len(sent) > 10 and max(map(len, sent)) < 20_000 and max(map(len, rows)) <= 1
+    assert {(r["id"], r["redacted"], len(r["rule_log"])) for r in out.collect()} == {(i, "mail [K]x" if i < 5000 else f"mail klant{i}@x", int(i < 5000)) for i in range(0, 6000, 100)}
+
+
+def test_texts_are_held_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(many_terms, "AUTOMATON_CHARS", 8)
+    monkeypatch.setattr(many_terms, "HELD_CHARS", 500)
+    monkeypatch.setattr(many_terms, "ROW_CHARS", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        texts = [None if i % 11 == 0 else f"aap noot {i} mies" for i in range(300)]
+        _both(spark, texts, [{"id": f"r{i}", "originalTerm": t, "replacementTerm": n} for i, (t, n) in enumerate([("aap", "1"), ("noot", "2"), ("mies", "aap")])])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_no_rule_and_no_regex_in_a_table(spark):
+    none = spark.createDataFrame([], "n long, originalTerm string, isRegex boolean")
+    assert _run(spark, ["abc", None], none, order_by=["n"]) == [("abc", []), (None, [])]
+    regex = spark.createDataFrame([(1, "a+", True)], none.schema)
+    with pytest.raises(ValueError, match="literal"):
+        _run(spark, ["abc"], regex, order_by=["n"])
+    with pytest.raises(ValueError, match="order_by"):
+        _run(spark, ["abc"], none)

@@ -236,10 +236,11 @@ def rules_folded(spark, sf):
 )
 def rules_many_terms(spark, sf):
     """A rule per customer, all of them in one pass."""
-    keys = [r[0] for r in table(spark, sf, "customer").select("c_custkey").collect()]
-    listed = [{"id": f"k{k}", "originalTerm": f"Klant{k}@", "replacementTerm": f"[K{k % 7}]"} for k in keys]
+    listed = table(spark, sf, "customer").where("c_custkey is not null").selectExpr(
+        "c_custkey", "concat('k', c_custkey) as id", "concat('Klant', c_custkey, '@') as originalTerm", "concat('[K', pmod(c_custkey, 7), ']') as replacementTerm"
+    )
     log = F.array_join(F.transform("rule_log", lambda e: F.concat(e["ruleId"], F.lit(":"), e["count"])), ",")
-    return rules.apply_rules(messages(spark, sf), listed).select("doc_id", "redacted", log.alias("log"))
+    return rules.apply_rules(messages(spark, sf), listed, order_by=["c_custkey"]).select("doc_id", "redacted", log.alias("log"))
 
 
 @query(
